@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 Each pre-token is a doubly linked list of byte parts.  A bucket per merge rank
-holds the positions whose pair has that rank; a bitmap tree over the ranks (64
-ranks a word, words of words above) finds the lowest non-empty bucket by
-find-first-set.  Entries are not removed when a neighbour merges: a popped
-entry whose pair has changed is stale and skipped.  Every operation is
-logarithmic in the vocabulary, whatever the length of the pre-token.
+holds the positions whose pair has that rank; a two-level bitmap over the ranks
+(256 ranks a word, one word of words above) finds the lowest non-empty bucket
+by find-first-set.  Entries are not removed when a neighbour merges: a popped
+entry whose pair has changed is stale and skipped.  The cost of a step depends
+on the vocabulary, not on the length of the pre-token.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,94 +21,75 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Encoded pre-tokens that a worker remembers between batches; beyond it, it starts afresh.
-REMEMBERED = 1_000_000
-
-
-class RankQueue:
-    """Positions by rank; ``pop`` gives the lowest rank, and its leftmost position."""
-
-    def __init__(self, ranks: int):
-        self.depth, n = 1, (ranks + 63) >> 6
-        while n > 1:
-            n = (n + 63) >> 6
-            self.depth += 1
-        self.levels: list[dict[int, int]] = [{} for _ in range(self.depth)]
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            word = rank >> 6
-            have = level.get(word, 0)
-            level[word] = have | 1 << (rank & 63)
-            if have:
-                return
-            rank = word
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.buckets:
-            return None
-        rank = 0
-        for level in reversed(self.levels):
-            word = level[rank]
-            rank = rank << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for level in self.levels:
-                word = at >> 6
-                left = level[word] & ~(1 << (at & 63))
-                if left:
-                    level[word] = left
-                    break
-                del level[word]
-                at = word
-        return rank, position
+#: Encoded words, and pre-tokens, that a worker remembers between batches; beyond it, it starts afresh.
+REMEMBERED = 500_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token."""
+    """Token ids of one pre-token.
+
+    The queue is written out here, as calls would cost more than its work:
+    ``words[w]`` has a bit for each non-empty bucket of ranks 256w to 256w+255,
+    ``top`` one for each non-empty word; a bucket holds one position or a heap.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
-    end, before, queue = list(range(1, n + 1)), list(range(-1, n - 1)), RankQueue(len(ranks))
-    alive, get = [True] * n, ranks.get
-    current: list[int | None] = [None] * n  # rank of the pair that starts here
-    for i in range(n - 1):
-        r = get(piece[i : i + 2])
-        if r is not None:
+    n, get = len(piece), ranks.get
+    end, before, current = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n  # current: rank of the pair that starts here
+    top, words, buckets = 0, {}, {}
+    fresh = [(get(piece[i : i + 2]), i) for i in range(n - 1)]
+    while True:
+        for r, i in fresh:
+            if r is None:
+                continue
             current[i] = r
-            queue.push(r, i)
-    while (top := queue.pop()) is not None:
-        rank, i = top
-        if not alive[i] or current[i] != rank:
+            held = buckets.get(r)
+            if held is None:
+                buckets[r] = i
+                w = r >> 8
+                if w in words:
+                    words[w] |= 1 << (r & 255)
+                else:
+                    words[w] = 1 << (r & 255)
+                    top |= 1 << w
+            elif held.__class__ is int:
+                buckets[r] = [held, i] if held < i else [i, held]
+            else:
+                heapq.heappush(held, i)
+        if not top:
+            break
+        w = (top & -top).bit_length() - 1
+        word = words[w]
+        rank = w << 8 | (word & -word).bit_length() - 1
+        held = buckets[rank]
+        if held.__class__ is int or len(held) == 1:
+            i = held if held.__class__ is int else held[0]
+            del buckets[rank]
+            word &= word - 1
+            if word:
+                words[w] = word
+            else:
+                del words[w]
+                top &= top - 1
+        else:
+            i = heapq.heappop(held)
+        fresh = ()
+        if current[i] != rank:
             continue  # stale
         j = end[i]
-        end[i], alive[j] = end[j], False
-        stop = end[i]
+        stop = end[i] = end[j]
+        current[j] = current[i] = -1
         if stop < n:
             before[stop] = i
-            r = get(piece[i : end[stop]])
-            current[i] = r
-            if r is not None:
-                queue.push(r, i)
-        else:
-            current[i] = None
+            fresh = [(get(piece[i : end[stop]]), i)]
         h = before[i]
         if h >= 0:
             r = get(piece[h:stop])
-            if r != current[h]:
-                current[h] = r
-                if r is not None:
-                    queue.push(r, h)
+            if r is None:
+                current[h] = -1
+            elif r != current[h]:
+                fresh = [*fresh, (r, h)]
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -115,6 +97,10 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+#: White space before a space that more white space, or the end, follows: only there may a space go with what precedes it.
+_AWKWARD = re.compile(r"\s \s|\s \Z").search
+
+
 class Codec:
     """Encodes and decodes with the ranks of a file of ``base64 rank`` lines."""
 
@@ -125,22 +111,49 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern).findall
         self.by_text = {str(v): k for k, v in self.ranks.items()}
-        self.memo: dict[str, str] = {}
+        self.pieces: dict[str, str] = {}
+        self.memo: dict[str, tuple[str, bytes]] = {}
 
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.split(text) for i in merge(piece.encode(), self.ranks)]
 
-    def encode_text(self, text: str) -> str:
-        """The ids in decimal, joined by commas."""
-        pieces, memo = self.split(text), self.memo
-        missing = set(pieces).difference(memo)
+    def _chunk(self, chunk: str) -> tuple[str, bytes]:
+        """Ids of a chunk in decimal, joined by commas, and the bytes that they decode to."""
+        ids = []
+        for p in self.split(chunk):
+            t = self.pieces.get(p)
+            if t is None:
+                if len(self.pieces) >= REMEMBERED:
+                    self.pieces.clear()
+                t = self.pieces[p] = ",".join(map(str, merge(p.encode(), self.ranks)))
+            ids.append(t)
+        t = ",".join(ids)
+        return t, self.decode_text(t)
+
+    def both_ways(self, text: str) -> tuple[str, bytes]:
+        """The text's ids in decimal, joined by commas, and the bytes that they decode to.
+
+        A pre-token starts before every space, but for runs of white space; so
+        words with the space before them are encoded apart, each distinct one once.
+        """
+        if not text:
+            return "", b""
+        if _AWKWARD(text):
+            chunks = self.split(text)
+        else:
+            first, *rest = text.split(" ")
+            chunks = [" " + x for x in rest]
+            if first:
+                chunks.insert(0, first)
+        memo = self.memo
+        missing = set(chunks).difference(memo)
         if len(memo) + len(missing) > REMEMBERED:
             memo.clear()
-            missing = set(pieces)
-        ranks = self.ranks
-        for p in missing:
-            memo[p] = ",".join(map(str, merge(p.encode(), ranks)))
-        return ",".join(map(memo.__getitem__, pieces))
+            missing = set(chunks)
+        for c in missing:
+            memo[c] = self._chunk(c)
+        ids, raw = zip(*map(memo.__getitem__, chunks), strict=True)
+        return ",".join(ids), b"".join(raw)
 
     def decode_text(self, ids: str) -> bytes:
         """The bytes of ids in decimal, joined by commas."""
@@ -170,10 +183,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         for batch in batches:
             n, own, back, ids = [], [], [], []
             for x in batch.column("text"):
-                t = c.encode_text(x.as_py() or "")
+                t, raw = c.both_ways(x.as_py() or "")
                 n.append(t.count(",") + 1 if t else 0)
                 own.append(hashlib.sha256(t.encode()).hexdigest())
-                back.append(hashlib.sha256(c.decode_text(t)).hexdigest())
+                back.append(hashlib.sha256(raw).hexdigest())
                 ids.append([int(i) for i in t.split(",")] if with_ids and t else [] if with_ids else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(own), pa.array(back), pa.array(ids, pa.list_(pa.int32()))], schema=schema)
 

@@ -14,9 +14,11 @@ ENC = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.one_of(st.text(max_size=80), st.text(alphabet="abe th", max_size=300)))
+@given(st.one_of(st.text(max_size=80), st.text(alphabet="abe th", max_size=300), st.text(alphabet="a's \n\t1.\u3000", max_size=30)))
 def test_same_ids_as_library(t):
-    assert codec(PATH, P.PATTERN).encode(t) == ENC.encode_ordinary(t)
+    want = ENC.encode_ordinary(t)
+    assert codec(PATH, P.PATTERN).encode(t) == want
+    assert codec(PATH, P.PATTERN).both_ways(t) == (",".join(map(str, want)), t.encode())
 
 
 def test_long_pretokens():
