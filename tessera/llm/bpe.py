@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,15 +181,19 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
         c = codec(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32()))])
-        for batch in batches:
-            n, own, back, ids = [], [], [], []
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+            n, own, back, ids = [], [], [], [np.zeros(0, np.int32)]
             for x in batch.column("text"):
                 t, raw = c.both_ways(x.as_py() or "")
                 n.append(t.count(",") + 1 if t else 0)
                 own.append(hashlib.sha256(t.encode()).hexdigest())
                 back.append(hashlib.sha256(raw).hexdigest())
-                ids.append([int(i) for i in t.split(",")] if with_ids and t else [] if with_ids else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(own), pa.array(back), pa.array(ids, pa.list_(pa.int32()))], schema=schema)
+                if with_ids and t:
+                    ids.append(np.fromstring(t, np.int32, sep=","))
+            all_ids = pa.nulls(batch.num_rows, pa.list_(pa.int32()))
+            if with_ids:
+                all_ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string()), all_ids], schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, kind)
 
