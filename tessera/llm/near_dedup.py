@@ -1,15 +1,17 @@
 """Near-duplicate documents by b-bit MinHash.
 
-A document is the set of its distinct 5-word shingles.  128 minima of 32 bits
-give 32 band keys of 4 minima each; documents that share a key are candidates.
-Of each minimum the low 4 bits are kept (64 bytes a document); candidate pairs
-are compared by counting equal nibbles, corrected for chance collisions, and
-those that may reach the threshold are confirmed on full sets.
+A document is the set of its distinct 5-word shingles.  Of 256 minima of 32
+bits, the first 128 give 32 band keys of 4 minima each; documents that share a
+key are candidates.  Of each minimum the low 4 bits are kept (128 bytes a
+document); candidate pairs are compared by counting equal nibbles, corrected
+for chance collisions, and those that may reach the threshold are confirmed on
+full sets.
 
 No bucket is expanded into its pairs.  Identical sets are one vertex.  Every
 other vertex is first checked against the smallest vertex it shares a key with;
-only members of a bucket that then belong to different components are compared
-further, until no such pair that may reach the threshold is left unconfirmed.
+then, as long as that finds links, every member of a bucket against the one of
+another component that its signature is nearest to.  Pairs of a bucket that are
+in different components after that are confirmed one by one.
 """
 
 from __future__ import annotations
@@ -24,10 +26,9 @@ from pyspark.sql import functions as F
 from .graph import components
 from .shared import mix, shingles, stage, text_slices, word_hashes
 
-HASHES, ROWS, BITS = 128, 4, 4
-BANDS = HASHES // ROWS
+HASHES, BANDS, ROWS, BITS = 256, 32, 4, 4
 #: A pair whose estimate is this far (over five standard deviations of the estimate) below the threshold is not confirmed.
-SLACK = 0.20
+SLACK = 0.14
 #: Members outside the main component of a bucket are compared in lists of about this length.
 LIST = 256
 _rng = np.random.default_rng(77)
@@ -59,7 +60,7 @@ def signatures(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
             low[k] = np.minimum.reduceat(x * _MUL[k] + _ADD[k], starts)
     keys = np.zeros((BANDS, len(starts)), np.uint64)
     for j in range(ROWS):
-        keys = mix(keys ^ low[j::ROWS].astype(np.uint64)) + _SALT[:, None]
+        keys = mix(keys ^ low[j : BANDS * ROWS : ROWS].astype(np.uint64)) + _SALT[:, None]
     keys = mix(keys)
     nib = (low & np.uint32((1 << BITS) - 1)).astype(np.uint8).T
     return keys.T.view(np.int64), nib[:, 0::2] | (nib[:, 1::2] << 4)
@@ -138,8 +139,8 @@ def _confirmed(percent: int):
     return run
 
 
-def _across(threshold: float):
-    """Pairs of different components of a bucket that may reach the threshold."""
+def _across(threshold: float, nearest: bool):
+    """Pairs of different components of a bucket that may reach the threshold; ``nearest``: a row's best only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,8 +150,10 @@ def _across(threshold: float):
                 doc, comp = batch.column("doc_id")[i].as_py(), batch.column("component")[i].as_py()
                 od, oc = np.asarray(others.field("doc_id")), np.asarray(others.field("component"))
                 est = estimate(np.frombuffer(batch.column("sig")[i].as_buffer(), np.uint8), _matrix(others.field("sig")))
-                hit = (oc != comp) & (est >= threshold - SLACK)
-                m = int(hit.sum())
+                hit = np.flatnonzero((oc != comp) & (est >= threshold - SLACK))
+                if nearest and len(hit):
+                    hit = hit[[int(est[hit].argmax())]]
+                m = len(hit)
                 if m:
                     out.append((np.full(m, doc), od[hit], np.full(m, comp), oc[hit], est[hit]))
             cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
@@ -194,25 +197,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         x = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a")
         return x.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b").mapInArrow(_estimated(threshold), "a long, b long")
 
-    star = cand.where("doc_id > head").groupBy(F.col("doc_id").alias("a")).agg(F.min("head").alias("b"))
-    links = stage(spark, confirm(signed(star)), "links")
-    tested = star
-    for last in (False, True):
-        label = components(spark, links)
+    def across(label: DataFrame, nearest: bool) -> DataFrame:
+        """Untested pairs of a bucket in different components: each member's nearest, or all."""
         placed = cand.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         open_keys = placed.groupBy("key").agg(F.min("component").alias("main"), F.max("component").alias("top"), F.count(F.lit(1)).alias("n")).where("main < top").select("key", "main", "n")
         around = placed.join(open_keys, "key").join(sigs, "doc_id")
         lists = around.where("component <> main").withColumn("list", F.expr(f"pmod(xxhash64(doc_id), n div {LIST} + 1)")).groupBy("key", "list").agg(F.collect_list(F.struct("doc_id", "component", "sig")).alias("others"))
-        pairs = around.drop("main", "n").join(lists, "key").mapInArrow(_across(threshold), "a long, b long, ca long, cb long, est double")
+        pairs = around.drop("main", "n").join(lists, "key").mapInArrow(_across(threshold, nearest), "a long, b long, ca long, cb long, est double")
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.greatest("ca", "cb").alias("ca"), F.least("ca", "cb").alias("cb"), "est").distinct()
-        pairs = stage(spark, pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "across")
-        if not pairs.take(1):
+        if nearest:
+            pairs = pairs.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b")
+        return stage(spark, pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "across")
+
+    tested = stage(spark, cand.where("doc_id > head").groupBy(F.col("doc_id").alias("a")).agg(F.min("head").alias("b")), "star")
+    links = stage(spark, confirm(signed(tested)), "links")
+    label, nearest = components(spark, links), True
+    while True:
+        pairs = across(label, nearest)
+        some = bool(pairs.take(1))
+        found = stage(spark, confirm(pairs), "links") if some else None
+        if some and found.take(1):
+            links, tested = links.unionByName(found), tested.unionByName(pairs)
+            label = components(spark, links)
+        elif some:
+            tested = tested.unionByName(pairs)
+        if not nearest:
             return _labelled(own, label)
-        if not last:  # the likeliest pair of each two components first, then whatever is still apart
-            pairs = stage(spark, pairs.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b"), "likely")
-        links = stage(spark, links.unionByName(confirm(pairs.select("a", "b"))), "links")
-        tested = tested.select("a", "b").unionByName(pairs.select("a", "b"))
-    return _labelled(own, components(spark, links))
+        nearest = some and bool(found.take(1))
 
 
 def _labelled(own: DataFrame, label: DataFrame | None) -> DataFrame:
