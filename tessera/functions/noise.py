@@ -24,19 +24,27 @@ GRADIENTS = 16
 _WORD = 0xFFFFFFFF
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def times(a: Column, c: int) -> Column:
     """a * c modulo 2**32 for a in [0, 2**32)."""
     return (a * (c & 0xFFFF) + F.shiftleft((a * (c >> 16)).bitwiseAND(0xFFFF), 16)).bitwiseAND(F.lit(_WORD))
 
 
 def mix(bits: Column) -> Column:
-    down = lambda b, n: b.bitwiseXOR(F.shiftrightunsigned(b, n))
-    return down(times(down(times(down(bits, 16), MIX[0]), 15), MIX[1]), 16)
+    down = lambda n: lambda b: b.bitwiseXOR(F.shiftrightunsigned(b, n))
+    scaled = lambda c: lambda b: times(b, c)
+    for f in (down(16), scaled(MIX[0]), down(15), scaled(MIX[1]), down(16)):
+        bits = let(bits, f)
+    return bits
 
 
 def lattice_hash(x: Column, y: Column, seed: int) -> Column:
     """A repeatable word for a lattice point."""
-    word = lambda v, c: times(v.cast("long").bitwiseAND(F.lit(_WORD)), c)
+    word = lambda v, c: let(v.cast("long").bitwiseAND(F.lit(_WORD)), lambda w: times(w, c))
     start = F.lit(seed * SEED & _WORD).cast("long")
     return mix(mix(start.bitwiseXOR(word(x, X))).bitwiseXOR(word(y, Y)))
 
@@ -51,7 +59,7 @@ def fade(t: Column) -> Column:
 
 
 def lerp(a: Column, b: Column, t: Column) -> Column:
-    return a + (b - a) * t
+    return a * (1 - t) + b * t
 
 
 def smoothstep(low: float, high: float, at: Column) -> Column:
@@ -60,10 +68,14 @@ def smoothstep(low: float, high: float, at: Column) -> Column:
 
 
 def _square(x: Column, y: Column, corner) -> Column:
-    x0, y0 = F.floor(x), F.floor(y)
-    fx, fy = x - x0, y - y0
-    at = lambda dx, dy: corner(x0 + dx, y0 + dy, fx - float(dx), fy - float(dy))
-    return lerp(lerp(at(0, 0), at(1, 0), fade(fx)), lerp(at(0, 1), at(1, 1), fade(fx)), fade(fy))
+    """Faded interpolation of corner(ix, iy, x offset, y offset) over a lattice square."""
+
+    def inside(p: Column) -> Column:
+        at = lambda dx, dy: corner(p["x0"] + dx, p["y0"] + dy, p["fx"] - float(dx), p["fy"] - float(dy))
+        return lerp(lerp(at(0, 0), at(1, 0), fade(p["fx"])), lerp(at(0, 1), at(1, 1), fade(p["fx"])), fade(p["fy"]))
+
+    whole = lambda c: F.struct(F.floor(c["x"]).alias("x0"), F.floor(c["y"]).alias("y0"), (c["x"] - F.floor(c["x"])).alias("fx"), (c["y"] - F.floor(c["y"])).alias("fy"))
+    return let(let(F.struct(x.alias("x"), y.alias("y")), whole), inside)
 
 
 def gradient(x: Column, y: Column, seed: int) -> Column:
@@ -71,7 +83,7 @@ def gradient(x: Column, y: Column, seed: int) -> Column:
 
     def corner(ix: Column, iy: Column, ox: Column, oy: Column) -> Column:
         turn = F.pmod(lattice_hash(ix, iy, seed), F.lit(GRADIENTS)) * (2 * math.pi / GRADIENTS)
-        return F.cos(turn) * ox + F.sin(turn) * oy
+        return let(turn, lambda a: F.cos(a) * ox + F.sin(a) * oy)
 
     return _square(x, y, corner) * math.sqrt(2)
 

@@ -17,7 +17,7 @@ def byte_count(n: Column) -> Column:
     """1.0 KiB, 142.2 GiB; whole bytes below that."""
     out = F.format_string("%d B", n)
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(n >= F.lit(1 << 10 * k), F.format_string(f"%.1f {unit}", n / F.lit(float(1 << 10 * k)))).otherwise(out)
+        out = F.when(n >= F.lit(1 << 10 * k), F.format_string(f"%.1f {unit}", F.bround(n / F.lit(float(1 << 10 * k)), 1))).otherwise(out)
     return out
 
 
@@ -26,7 +26,7 @@ def last_segment(path: Column) -> Column:
 
 
 def without_prefix(text: Column, prefix: str) -> Column:
-    return F.when(text.startswith(prefix), F.expr("substring") if False else F.substring(text, len(prefix) + 1, 1 << 20)).otherwise(text)
+    return F.when(text.startswith(prefix), F.substring(text, len(prefix) + 1, 1 << 20)).otherwise(text)
 
 
 def content_range(text: Column) -> Column:

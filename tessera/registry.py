@@ -1,14 +1,13 @@
-"""Name -> query and oracle of every relational operator."""
+"""Name -> query and oracle of every operator of the library."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import queries as _plans
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return dict(_plans.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return dict(_plans.ORACLES)
