@@ -133,12 +133,12 @@ QUERIES = {"op7_topk": op7_topk}
 ORACLE_SQL = {
     "op7_topk": """
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as bigint)) as v
+  select vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as v
   from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
 ), s as (
   select q.vec_id as query_id, c.vec_id as vec_id,
-         cast(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) as bigint) as score
+         cast(list_sum([p[1] * p[2] for p in list_zip(q.v, c.v)]) as bigint) as score
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
 ), r as (
   select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
