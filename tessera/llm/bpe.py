@@ -23,7 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Encoded words, and pre-tokens, that a worker remembers between batches; beyond it, it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
+
+
+_BIT = [1 << i for i in range(256)]
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -38,7 +41,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     n, get = len(piece), ranks.get
     end, before, current = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n  # current: rank of the pair that starts here
-    top, words, buckets = 0, {}, {}
+    top, words, buckets = 0, [0] * (len(ranks) + 255 >> 8), {}
     fresh = [(get(piece[i : i + 2]), i) for i in range(n - 1)]
     while True:
         for r, i in fresh:
@@ -49,11 +52,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             if held is None:
                 buckets[r] = i
                 w = r >> 8
-                if w in words:
-                    words[w] |= 1 << (r & 255)
-                else:
-                    words[w] = 1 << (r & 255)
-                    top |= 1 << w
+                words[w] |= _BIT[r & 255]
+                top |= _BIT[w] if w < 256 else 1 << w
             elif held.__class__ is int:
                 buckets[r] = [held, i] if held < i else [i, held]
             else:
@@ -67,11 +67,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         if held.__class__ is int or len(held) == 1:
             i = held if held.__class__ is int else held[0]
             del buckets[rank]
-            word &= word - 1
-            if word:
-                words[w] = word
-            else:
-                del words[w]
+            words[w] = word = word & word - 1
+            if not word:
                 top &= top - 1
         else:
             i = heapq.heappop(held)
