@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import discard, stage
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -31,4 +31,5 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         ).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stage(spark, small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "cc")
+        last, now = now, stage(spark, small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "cc")
+        discard(last)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: UTF-8 bytes are handled in slices of about this size, so that the working arrays stay in cache.
 SLICE_BYTES = 1 << 21
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,8 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as a table in the shared folder and read it back, which cuts its lineage durably."""
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")  # once written, nothing reads the shuffle files of this plan again
+    try:
+        df.write.option("compression", codec).parquet(at)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.staged_at = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no plan still to run reads."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.staged_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
