@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import mix, shingles, stage, text_slices, word_hashes
+from .shared import discard, mix, shingles, stage, text_slices, word_hashes
 
 HASHES, BANDS, ROWS, BITS = 256, 32, 4, 4
 #: A pair whose estimate is this far (over five standard deviations of the estimate) below the threshold is not confirmed.
 SLACK = 0.14
-#: Members outside the main component of a bucket are compared in lists of about this length.
+#: Members of a bucket are compared list by list; a list is about this long.
 LIST = 256
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -76,6 +76,11 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (1 - differ / HASHES - chance) / (1 - chance)
 
 
+def fitting(n: np.ndarray, m: np.ndarray | int, threshold: float) -> np.ndarray:
+    """Whether sets of these sizes can reach the threshold: the smaller over the larger bounds it."""
+    return np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9
+
+
 _FEATURES = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sig binary"
 
 
@@ -110,7 +115,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), -1)
+    """Signatures as rows of a matrix; a view of the buffer, since all are equally long."""
+    if not len(col):
+        return np.zeros((0, HASHES * BITS // 8), np.uint8)
+    _, offs, data = col.buffers()
+    offs = np.frombuffer(offs, np.int32)[col.offset : col.offset + len(col) + 1]
+    return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]].reshape(len(col), -1)
 
 
 def _estimated(threshold: float):
@@ -118,7 +128,7 @@ def _estimated(threshold: float):
         for batch in batches:
             if batch.num_rows:
                 est = estimate(_matrix(batch.column("sa")), _matrix(batch.column("sb")))
-                keep = pa.array(est >= threshold - SLACK)
+                keep = pa.array((est >= threshold - SLACK) & fitting(np.asarray(batch.column("na")), np.asarray(batch.column("nb")), threshold))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
 
     return run
@@ -140,22 +150,26 @@ def _confirmed(percent: int):
 
 
 def _across(threshold: float, nearest: bool):
-    """Pairs of different components of a bucket that may reach the threshold; ``nearest``: a row's best only."""
+    """Pairs of different components of two lists of a bucket that may reach the threshold; ``nearest``: a member's best only."""
+    take = lambda col, i: (np.asarray(col[i].values.field("doc_id")), np.asarray(col[i].values.field("component")), np.asarray(col[i].values.field("n_shingles")), _matrix(col[i].values.field("sig")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[np.ndarray, ...]] = []
             for i in range(batch.num_rows):
-                others = batch.column("others")[i].values
-                doc, comp = batch.column("doc_id")[i].as_py(), batch.column("component")[i].as_py()
-                od, oc = np.asarray(others.field("doc_id")), np.asarray(others.field("component"))
-                est = estimate(np.frombuffer(batch.column("sig")[i].as_buffer(), np.uint8), _matrix(others.field("sig")))
-                hit = np.flatnonzero((oc != comp) & (est >= threshold - SLACK))
-                if nearest and len(hit):
-                    hit = hit[[int(est[hit].argmax())]]
-                m = len(hit)
-                if m:
-                    out.append((np.full(m, doc), od[hit], np.full(m, comp), oc[hit], est[hit]))
+                od, oc, on, os = take(batch.column("others"), i)
+                for doc, comp, n, sig in zip(*take(batch.column("members"), i), strict=True):
+                    hit = np.flatnonzero((oc != comp) & fitting(on, n, threshold))
+                    if not len(hit):
+                        continue
+                    est = estimate(sig, os[hit])
+                    near = est >= threshold - SLACK
+                    hit, est = hit[near], est[near]
+                    if nearest and len(hit):
+                        best = int(est.argmax())
+                        hit, est = hit[best : best + 1], est[best : best + 1]
+                    if m := len(hit):
+                        out.append((np.full(m, doc), od[hit], np.full(m, comp), oc[hit], est))
             cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "ca", "cb", "est"])
 
@@ -179,31 +193,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # identical sets are one vertex
     first = feat.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("vertex"))
     own = stage(spark, feat.drop("bands", "sig").join(first, ["f1", "f2", "n_shingles"], "left").select("doc_id", "n_shingles", "vertex"), "vertices")
-    vert = feat.join(own.where("vertex = doc_id").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "bands", "sig")
+    vert = feat.join(own.where("vertex = doc_id").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "bands", "sig", "n_shingles")
     keyed = vert.select("doc_id", F.explode("bands").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last")
     cand = stage(spark, keyed.join(heads.select("key", "head"), "key"), "candidates")
     if not cand.take(1):
+        discard(feat, cand)
         return _labelled(own, None)
-    sigs = stage(spark, vert.select("doc_id", "sig").join(cand.select("doc_id").distinct(), "doc_id", "left_semi"), "signatures")
+    sigs = stage(spark, vert.select("doc_id", "sig", "n_shingles").join(cand.select("doc_id").distinct(), "doc_id", "left_semi"), "signatures")
     sets = slim.where("doc_id is not null").join(sigs.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items binary")
     sets = stage(spark, sets, "sets", "none")
+    discard(feat)
+    spent = [cand, sigs, sets]
 
     def confirm(pairs: DataFrame) -> DataFrame:
         x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("ia")), "a")
         return x.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("ib")), "b").mapInArrow(_confirmed(percent), "a long, b long")
 
     def signed(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a")
-        return x.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b").mapInArrow(_estimated(threshold), "a long, b long")
+        x = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na")), "a")
+        return x.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb")), "b").mapInArrow(_estimated(threshold), "a long, b long")
 
     def across(label: DataFrame, nearest: bool) -> DataFrame:
         """Untested pairs of a bucket in different components: each member's nearest, or all."""
         placed = cand.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         open_keys = placed.groupBy("key").agg(F.min("component").alias("main"), F.max("component").alias("top"), F.count(F.lit(1)).alias("n")).where("main < top").select("key", "main", "n")
-        around = placed.join(open_keys, "key").join(sigs, "doc_id")
-        lists = around.where("component <> main").withColumn("list", F.expr(f"pmod(xxhash64(doc_id), n div {LIST} + 1)")).groupBy("key", "list").agg(F.collect_list(F.struct("doc_id", "component", "sig")).alias("others"))
-        pairs = around.drop("main", "n").join(lists, "key").mapInArrow(_across(threshold, nearest), "a long, b long, ca long, cb long, est double")
+        around = placed.join(open_keys, "key").join(sigs, "doc_id").withColumn("list", F.expr(f"pmod(xxhash64(doc_id), n div {LIST} + 1)"))
+        member = F.struct("doc_id", "component", "sig", "n_shingles")
+        lists = around.groupBy("key", "list").agg(F.collect_list(member).alias("members"), F.collect_list(F.when(F.col("component") != F.col("main"), member)).alias("others"))
+        others = lists.where(F.size("others") > 0).select("key", "others")
+        pairs = lists.select("key", "members").join(others, "key").mapInArrow(_across(threshold, nearest), "a long, b long, ca long, cb long, est double")
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.greatest("ca", "cb").alias("ca"), F.least("ca", "cb").alias("cb"), "est").distinct()
         if nearest:
             pairs = pairs.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b")
@@ -212,16 +231,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = stage(spark, cand.where("doc_id > head").groupBy(F.col("doc_id").alias("a")).agg(F.min("head").alias("b")), "star")
     links = stage(spark, confirm(signed(tested)), "links")
     label, nearest = components(spark, links), True
+    spent += [tested, links]
     while True:
         pairs = across(label, nearest)
         some = bool(pairs.take(1))
         found = stage(spark, confirm(pairs), "links") if some else None
+        spent += [t for t in (pairs, found) if t is not None]
         if some and found.take(1):
             links, tested = links.unionByName(found), tested.unionByName(pairs)
             label = components(spark, links)
         elif some:
             tested = tested.unionByName(pairs)
         if not nearest:
+            discard(*spent)
             return _labelled(own, label)
         nearest = some and bool(found.take(1))
 
