@@ -6,32 +6,39 @@ that a context keeps goes to the words it was not seen with, by their unigram
 probability, with a back-off weight that normalises exactly.  The unigram model
 is discounted alike and leaves its mass to one class of unknown words.
 
-The tables are partitioned and never gathered: words and the pairs that end in
-them are in the bucket of the word, contexts and their back-off weights in the
-bucket of the context.  Batches send their tokens, grouped by word, to the
-buckets of words; each token is there evaluated as far as it can be: a pair
-that was seen by its discounted count, any other by the word's own, with its
-context sent on to the context's bucket for the back-off weight.  Terms that
-hang on global counts of counts travel as tallies.  A count c(h) of a context
+Texts are read once, in batches of a bounded number of tokens.  A batch keeps
+its tokens as numbers of its distinct pairs and asks for the counts of these
+pairs and of its distinct words, so a frequent word or pair costs one entry a
+batch, however often it occurs.  Counts are stored in partitioned tables: words
+in ranges of their hash; pairs in a grid, by the range of the word and a salt
+of the context, so that the pairs of one word, or of one context, lie in many
+partitions.  Back-off weights are summed in each cell of the grid and stored by
+the range of the context.  The answers go back to the batch, which evaluates
+every token.  The driver sees counts of counts only.  A count c(h) of a context
 is that of the word itself, since every word is followed by a token.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import by_bucket, mix, pack, partitions, text_slices, unpack, word_hashes
+from .shared import by_bucket, mix, pack, partitions, stage, text_slices, unpack, word_hashes
 
 MOST = 5  # larger counts are reliable
 GIVE = 0.01
+#: A batch ends with the text that brings it to so many tokens.
+BATCH_TOKENS = 1 << 20
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
-_ROWS = "bucket int, blob binary"
-_SCHEMA = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
+#: Ids that stand for null inside the operator.
+_ABSENT = -(1 << 63) + 1
 
 
 def slim(x: np.ndarray) -> np.ndarray:
@@ -57,193 +64,253 @@ def discounts(tally: np.ndarray) -> np.ndarray:
     return out
 
 
-def _send(buckets: int):
-    """Documents -> tokens by bucket of the word: words, contexts and documents, each as a dictionary and numbers."""
+def discounted(count: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Counts less what they give up."""
+    small = np.minimum(count, MOST).astype(np.int64)
+    return np.where(count > MOST, count - GIVE, small * np.concatenate(([0.0], d))[small])
+
+
+@dataclass(frozen=True)
+class Totals:
+    """What the driver knows of the corpus: tokens, distinct words, texts, discounts, mass left for unknown words."""
+
+    tokens: int
+    words: int
+    texts: int
+    d1: np.ndarray
+    d2: np.ndarray
+    left: float
+
+    @classmethod
+    def of(cls, uni: list[int], bi: list[int]) -> Totals:
+        """From tallies: counts of counts 1 to 6, of larger ones than 5, then (words only) tokens, words, texts."""
+        d1, d2 = discounts(np.array(uni[: MOST + 1])), discounts(np.array(bi[: MOST + 1]))
+        r = np.arange(1, MOST + 1)
+        return cls(*uni[MOST + 2 :], d1, d2, float((np.array(uni[:MOST]) * r * (1 - d1)).sum() + GIVE * uni[MOST + 1]))
+
+    def unigram(self, count: np.ndarray) -> np.ndarray:
+        """Probability by a word's count; without training text, one."""
+        if not self.tokens:
+            return np.ones(len(count))
+        return np.where(count > 0, discounted(count, self.d1), self.left) / self.tokens
+
+    def back_off(self, pair: np.ndarray, context: np.ndarray, weight: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """log10 P(word | context) by counts; ``weight`` is the context's, nan where it was not seen."""
+        lower = np.log10(self.unigram(word))
+        c = np.log10(np.maximum(context, 1))
+        shorter = np.where(np.isnan(weight), lower, weight - c + lower)
+        return np.where(pair > 0, np.log10(np.maximum(discounted(pair, self.d2), 1e-300)) - c, shorter)
+
+
+def tally(counts: np.ndarray) -> list[int]:
+    by = np.bincount(np.minimum(counts, MOST + 2).astype(np.int64), minlength=MOST + 3)
+    return [int(v) for v in by[1 : MOST + 2]] + [int(by[MOST + 1 :].sum())]
+
+
+def pair_keys(h: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return mix(t * np.uint64(0x9E3779B97F4A7C15) ^ mix(h))
+
+
+def _table(schema: str, rows: list[dict]) -> pa.Table:
+    kind = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    return pa.Table.from_pylist(rows, pa.schema([(n, kind[k]) for n, k in (c.split() for c in schema.split(", "))]))
+
+
+_BATCH = "key long, origin long, tokens binary, pairs binary, words binary"
+
+
+def _encode(side: int, limit: int):
+    """Texts -> tokens of a batch (key: batch), its pairs by cell and its words by range (origin: batch)."""
+
+    def rows(batch: int, ids, train, T, N) -> pa.Table:
+        n = np.concatenate(N)
+        w = np.concatenate(T)
+        stop = np.cumsum(n)
+        t = np.insert(w, stop, END)
+        word, ti = np.unique(np.append(t, BEGIN), return_inverse=True)
+        begin, ti = ti[-1], ti[:-1]
+        hi = np.roll(ti, 1)
+        hi[np.cumsum(n + 1) - n - 1] = begin
+        pair, pi = np.unique(hi * len(word) + ti, return_inverse=True)
+        ph, pt = pair // len(word), pair % len(word)
+        mine = np.repeat(np.concatenate(train), n + 1)
+        cw, cp = np.bincount(ti, mine, len(word)).astype(np.int64), np.bincount(pi, mine, len(pair)).astype(np.int64)
+        h, t = word[ph], word[pt]
+        order, edge = by_bucket(bucket_of(t, side) * side + (mix(h) % np.uint64(side)).astype(np.int64), side * side)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        out = [{"key": batch, "tokens": pack(pair=slim(place[pi]), h=slim(ph[order]), t=slim(pt[order]), id=np.concatenate(ids), n=slim(n + 1))}]
+        for b in np.flatnonzero(np.diff(edge)):
+            x = order[edge[b] : edge[b + 1]]
+            out.append({"key": int(b), "origin": batch, "pairs": pack(h=h[x], t=t[x], m=slim(cp[x]))})
+        edge = np.searchsorted(bucket_of(word, side * side), np.arange(side * side + 1))
+        for b in np.flatnonzero(np.diff(edge)):
+            x = slice(edge[b], edge[b + 1])
+            out.append({"key": int(b), "origin": batch, "words": pack(w=word[x], m=slim(cw[x]))})
+        return _table(_BATCH, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            T, H, D, row = [], [], [], 0
-            for ids, data, offs in text_slices(batch.column("doc_id"), batch.column("text"), 1 << 20):
+        batch, held, have = TaskContext.get().partitionId() << 32, ([], [], [], []), 0
+        for rb in batches:
+            at = 0
+            for ids, data, offs in text_slices(rb.column("doc_id"), rb.column("text"), min(1 << 20, 8 * limit)):
                 w, n = word_hashes(data, offs)
-                stop = np.cumsum(n)
-                T.append(np.insert(w, stop, END))
-                H.append(np.insert(w, stop - n, BEGIN))
-                D.append(np.repeat(np.arange(row, row + len(n), dtype=np.uint32), n + 1))
-                row += len(n)
-            if not row:
-                continue
-            t, h, d = np.concatenate(T), np.concatenate(H), np.concatenate(D)
-            ids, train = np.asarray(batch.column("doc_id")), np.asarray(batch.column("train"))
-            del T, H, D
-            order = np.argsort(t)
-            t, h, d = t[order], h[order], d[order]
-            edge = np.searchsorted(bucket_of(t, buckets), np.arange(buckets + 1))
-            which, blobs = [], []
-            for b in np.flatnonzero(np.diff(edge)):
-                x = slice(edge[b], edge[b + 1])
-                word, m = np.unique(t[x], return_counts=True)
-                context, hi = np.unique(h[x], return_inverse=True)
-                doc, di = np.unique(d[x], return_inverse=True)
-                which.append(b)
-                blobs.append(pack(t=word, m=slim(m), h=context, hi=slim(hi), doc=ids[doc] - ids.min(), base=ids.min()[None], train=np.packbits(train[doc]), di=slim(di)))
-            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(blobs, pa.binary())], schema=_SCHEMA)
+                train = np.asarray(rb.column("train").slice(at, len(n)))
+                at += len(n)
+                for held_in, v in zip(held, (np.asarray(ids), train, w, n), strict=True):
+                    held_in.append(v)
+                have += len(w) + len(n)
+                if have >= limit:
+                    yield from rows(batch, *held).to_batches()
+                    batch, held, have = batch + 1, ([], [], [], []), 0
+        if have:
+            yield from rows(batch, *held).to_batches()
 
     return run
 
 
-def _split(kind: int, bucket: np.ndarray, buckets: int, arrays: dict[str, np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    order, edge = by_bucket(bucket, buckets)
-    for b in np.flatnonzero(np.diff(edge)):
-        x = order[edge[b] : edge[b + 1]]
-        part = {k: v[x] for k, v in arrays.items()}
-        yield int(b), pack(kind=np.array([kind]), **{k: slim(v) if v.dtype == np.int64 and k != "doc" else v for k, v in part.items()})
+_PAIRS = "key long, origin long, found binary, pairs binary, tally array<long>"
 
 
-def _words(buckets: int):
-    """A bucket of words -> tallies for all, sums by document, contexts and unseen pairs by bucket of the context."""
+def _count_pairs(table: pa.Table) -> pa.Table:
+    """A cell of pairs -> its stored counts, and the counts each batch asked for (key: batch, origin: cell)."""
+    cell = table["key"][0].as_py()
+    parts = [unpack(b.as_buffer()) for b in table["pairs"]]
+    h, t, m = (np.concatenate([p[c] for p in parts]) for c in ("h", "t", "m"))
+    _, first, inv = np.unique(pair_keys(h, t), return_index=True, return_inverse=True)
+    r = np.bincount(inv, m, len(first)).astype(np.int64)
+    seen = r > 0
+    out = [{"key": cell, "pairs": pack(h=h[first[seen]], t=t[first[seen]], r=slim(r[seen])), "tally": tally(r[seen])}]
+    at = 0
+    for origin, p in zip(table["origin"].to_pylist(), parts, strict=True):
+        out.append({"key": origin, "origin": cell, "found": pack(r=slim(r[inv[at : at + len(p["h"])]]))})
+        at += len(p["h"])
+    return _table(_PAIRS, out)
+
+
+_WORDS = "key long, counts binary, tally array<long>"
+
+
+def _count_words(table: pa.Table) -> pa.Table:
+    """A range of words -> its stored counts."""
+    parts = [unpack(b.as_buffer()) for b in table["words"]]
+    word, inv = np.unique(np.concatenate([p["w"] for p in parts]), return_inverse=True)
+    c = np.bincount(inv, np.concatenate([p["m"] for p in parts]), len(word)).astype(np.int64)
+    word, c = word[c > 0], c[c > 0]
+    sums = [int(c.sum()), len(c), int(c[word == END].sum())]
+    return _table(_WORDS, [{"key": table["key"][0].as_py(), "counts": pack(w=word, c=slim(c)), "tally": tally(c) + sums}])
+
+
+_PARTS = "key long, sums binary"
+
+
+def _sum_weights(totals: Totals, side: int):
+    """A cell of pairs with the counts of its words -> by context, what its pairs give up and the unigram mass they hold."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pairs = [unpack(b.as_buffer()) for b in table["pairs"] if b.is_valid]
+        if not pairs or not len(pairs[0]["h"]):
+            return _table(_PARTS, [])
+        counts = [unpack(b.as_buffer()) for b in table["counts"] if b.is_valid]
+        word, c = (np.concatenate([p[k] for p in counts]) for k in ("w", "c"))
+        order = np.argsort(word)
+        h, t, r = pairs[0]["h"], pairs[0]["t"], pairs[0]["r"].astype(np.int64)
+        q = totals.unigram(c[order][np.searchsorted(word[order], t)])
+        context, inv = np.unique(h, return_inverse=True)
+        lost = np.bincount(inv, r - discounted(r, totals.d2))
+        mass = np.bincount(inv, q)
+        edge = np.searchsorted(bucket_of(context, side * side), np.arange(side * side + 1))
+        cut = [(int(b), slice(edge[b], edge[b + 1])) for b in np.flatnonzero(np.diff(edge))]
+        return _table(_PARTS, [{"key": b, "sums": pack(h=context[x], lost=lost[x], mass=mass[x])} for b, x in cut])
+
+    return run
+
+
+_ANSWERS = "key long, origin long, known binary, weights binary"
+
+
+def _weigh(table: pa.Table) -> pa.Table:
+    """A range of words -> its stored back-off weights, and counts and weights each batch asked for."""
+    b = table["key"][0].as_py()
+    of = lambda c: [unpack(x.as_buffer()) for x in table[c] if x.is_valid]
+    counts, sums = of("counts"), of("sums")
+    word, c = (counts[0]["w"], counts[0]["c"].astype(np.int64)) if counts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    context, inv = np.unique(np.concatenate([s["h"] for s in sums]) if sums else word[:0], return_inverse=True)
+    total = lambda k: np.bincount(inv, np.concatenate([s[k] for s in sums]) if sums else None, len(context))
+    weight = np.log10(total("lost") / np.maximum(1 - total("mass"), 1e-300)) if sums else np.zeros(0)
+    out = [{"key": b, "weights": pack(h=context, weight=weight)}]
+
+    def look(keys, values, asked, missing):
+        place = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+        return np.where(keys[place] == asked, values[place], missing) if len(keys) else np.full(len(asked), missing)
+
+    for origin, blob in zip(table["origin"].to_pylist(), table["words"], strict=True):
+        if blob.is_valid:
+            asked = unpack(blob.as_buffer())["w"]
+            out.append({"key": origin, "origin": b, "known": pack(c=slim(look(word, c, asked, 0)), weight=look(context, weight, asked, np.nan), begin=np.flatnonzero(asked == BEGIN))})
+    return _table(_ANSWERS, out)
+
+
+_OUT = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _evaluate(totals: Totals):
+    """A batch and the answers to it -> a row for each of its texts."""
 
     def run(table: pa.Table) -> pa.Table:
-        T, H, D, ids, train = [], [], [], [], []
+        table = table.sort_by("origin")
+        of = lambda c: [unpack(x.as_buffer()) for x in table[c] if x.is_valid]
+        own, known = of("tokens")[0], of("known")
+        c = np.concatenate([k["c"].astype(np.int64) for k in known])
+        weight = np.concatenate([k["weight"] for k in known])
+        r = np.concatenate([f["r"].astype(np.int64) for f in of("found")])
+        before = c.copy()
         at = 0
-        for blob in table["blob"]:
-            x = unpack(blob.as_buffer())
-            T.append(np.repeat(x["t"], x["m"].astype(np.int64)))
-            H.append(x["h"][x["hi"]])
-            D.append(x["di"].astype(np.uint32) + np.uint32(at))
-            ids.append(x["doc"] + x["base"][0])
-            train.append(np.unpackbits(x["train"])[: len(ids[-1])].astype(bool))
-            at += len(ids[-1])
-        t, h, d, ids, train = (np.concatenate(v) for v in (T, H, D, ids, train))
-        del T, H, D
-        docs = len(ids)
-        mine = train[d]
-        # words
-        word, ti = np.unique(t, return_inverse=True)
-        ct = np.bincount(ti, mine, len(word)).astype(np.int64)
-        # pairs
-        key = mix(t * np.uint64(0x9E3779B97F4A7C15) ^ mix(h))
-        key, first, pi = np.unique(key, return_index=True, return_inverse=True)
-        ch = np.bincount(pi, mine, len(key)).astype(np.int64)
-        del key
-        c, r = ct[ti], ch[pi]
-        tally = lambda x: np.array([(x == k).sum() for k in range(1, MOST + 2)] + [(x > MOST).sum()])
-        rows = [(b, pack(kind=np.array([0]), uni=tally(ct), bi=tally(ch), n=np.array([ct.sum(), (ct > 0).sum(), ct[word == END].sum()]))) for b in range(buckets)]
-        # by document
-        total = lambda v: np.bincount(d, v, docs)
-        log = lambda x: np.log10(np.maximum(x, 1e-300))
-        seen = r > 0
-        big = r > MOST
-        part = np.where(big, log(r - GIVE), np.where(seen, log(r), 0.0)) - np.where((t != END) & (c > 0), log(c), 0.0)
-        away = ~seen
-        part += np.where(away & (c > MOST), log(c - GIVE), np.where(away & (c > 0), log(c), 0.0))
-        sums = {"doc": ids, "part": total(part), "base": total(np.log10(c + 0.1)), "tokens": total(None), "known": total(c > 0).astype(np.int64), "ends": total(t == END).astype(np.int64)}
-        del part
-        for k in range(1, MOST + 1):
-            sums[f"s{k}"] = total(r == k).astype(np.int64)
-        some = np.flatnonzero(sums["tokens"])
-        rows += _split(1, bucket_of(mix(ids[some].view(np.uint64)), buckets), buckets, {k: v[some] for k, v in sums.items()})
-        # words of pairs not seen, by how often the word was
-        ui = np.flatnonzero(away)
-        if len(ui):
-            kind = np.minimum(c[ui], MOST + 1)
-            some, where = np.unique(d[ui], return_inverse=True)
-            grid = np.bincount(where * (MOST + 2) + kind, minlength=len(some) * (MOST + 2)).reshape(-1, MOST + 2)
-            rows += _split(2, bucket_of(mix(ids[some].view(np.uint64)), buckets), buckets, {"doc": ids[some]} | {f"u{k}": grid[:, k] for k in range(MOST + 2)})
-            rows += _split(3, bucket_of(h[ui], buckets), buckets, {"h": h[ui], "doc": ids[d[ui]]})
-        # contexts of pairs seen in training
-        pairs = np.flatnonzero(ch > 0)
-        context, hi, m = np.unique(h[first[pairs]], return_inverse=True, return_counts=True)
-        pr, pc = np.minimum(ch[pairs], MOST + 1), ct[ti[first[pairs]]]
-        one = m[hi] == 1
-        rows += _split(4, bucket_of(context[hi[one]], buckets), buckets, {"h": context[hi[one]], "r": pr[one], "c": pc[one]})
-        number = np.cumsum(m > 1) - 1
-        several, own = context[m > 1], number[hi[~one]]
-        count = lambda mask: np.bincount(own[mask], minlength=len(several))
-        pr, pc = pr[~one], pc[~one]
-        arrays = {"h": several} | {f"r{k}": count(pr == k) for k in range(1, MOST + 2)} | {f"c{k}": count(pc == k) for k in range(1, MOST + 1)}
-        arrays["more"] = np.bincount(own, np.where(pc > MOST, pc - GIVE, 0.0), len(several))
-        rows += _split(5, bucket_of(several, buckets), buckets, arrays)
-        b, blobs = zip(*rows, strict=True)
-        return pa.table([pa.array(b, pa.int32()), pa.array(blobs, pa.binary())], schema=_SCHEMA)
+        for k in known:
+            before[at + k["begin"]] = totals.texts
+            at += len(k["c"])
+        h, t, pair = own["h"].astype(np.int64), own["t"].astype(np.int64), own["pair"].astype(np.int64)
+        n = own["n"].astype(np.int64)
+        start = np.cumsum(n) - n
+        word = t[pair]
+        score = np.add.reduceat(totals.back_off(r, before[h], weight[h], c[t])[pair], start)
+        base = np.add.reduceat(np.log10((c + 0.1) / (totals.tokens + 0.1 * (totals.words + 1)))[word], start)
+        seen = np.add.reduceat((c > 0).astype(np.int64)[word], start)
+        return pa.table(dict(zip((f.split()[0] for f in _OUT.split(", ")), (own["id"], n, seen, np.full(len(n), totals.tokens), base, score), strict=True)))
 
     return run
 
 
-_OUT = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, ends long"
-
-
-def weights(r: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """log10 of back-off weights times c(h): what pairs give up over the unigram mass that is free."""
-    return np.log10(r / np.maximum(1 - q, 1e-300))
-
-
-def _contexts(table: pa.Table) -> pa.Table:
-    """A bucket of contexts and documents -> terms of the scores."""
-    kinds: dict[int, list[dict[str, np.ndarray]]] = {k: [] for k in range(6)}
-    for blob in table["blob"]:
-        x = unpack(blob.as_buffer())
-        kinds[int(x["kind"][0])].append(x)
-    join = lambda k, c: np.concatenate([x[c] for x in kinds[k]]) if kinds[k] else np.zeros(0)
-    uni, bi, (N, V, begins) = (sum(x[c] for x in kinds[0]) for c in ("uni", "bi", "n"))
-    du, db = discounts(uni[: MOST + 1]), discounts(bi[: MOST + 1])
-    k = np.arange(1, MOST + 1)
-    left = float((uni[:MOST] * k * (1 - du)).sum() + GIVE * uni[MOST + 1])
-    ln = np.log10(max(N, 1))
-    out = []
-    if kinds[1]:
-        doc, at = np.unique(join(1, "doc"), return_inverse=True)
-        total = lambda c: np.bincount(at, join(1, c).astype(float), len(doc))
-        score, tokens = total("part"), total("tokens")
-        for i in k:
-            score += total(f"s{i}") * np.log10(db[i - 1])
-        ends = total("ends")
-        out.append((doc, tokens, total("known"), N, total("base") - tokens * np.log10(N + 0.1 * (V + 1)), score, ends))
-    if kinds[2]:
-        doc, at = np.unique(join(2, "doc"), return_inverse=True)
-        price = np.concatenate(([np.log10(left / N) if N else 0.0], np.log10(du) - ln, [-ln]))
-        score = sum(np.bincount(at, join(2, f"u{i}").astype(float), len(doc)) * p for i, p in enumerate(price))
-        out.append((doc, 0, 0, N, 0.0, score, 0))
-    if begins and kinds[1]:  # every text's first context
-        doc, at = np.unique(join(1, "doc"), return_inverse=True)
-        out.append((doc, 0, 0, N, 0.0, -np.log10(begins) * np.bincount(at, join(1, "ends").astype(float), len(doc)), 0))
-    if kinds[3] and (kinds[4] or kinds[5]):
-        lost = np.concatenate((k * (1 - db), [GIVE]))
-        c = join(4, "c").astype(float)
-        qs = np.where(c > MOST, c - GIVE, c * np.concatenate(([0.0], du))[np.minimum(c, MOST).astype(int)])
-        rs = lost[join(4, "r").astype(int) - 1] if kinds[4] else np.zeros(0)
-        rm = sum(join(5, f"r{i + 1}").astype(float) * lost[i] for i in range(MOST + 1))
-        qm = join(5, "more") + sum(join(5, f"c{i}").astype(float) * i * du[i - 1] for i in k)
-        h = np.concatenate([x["h"] for i in (4, 5) for x in kinds[i]])
-        context, at = np.unique(h, return_inverse=True)
-        alpha = weights(np.bincount(at, np.concatenate((rs, rm)), len(context)), np.bincount(at, np.concatenate((qs, qm)), len(context)) / N)
-        asked, doc = join(3, "h"), join(3, "doc")
-        place = np.minimum(np.searchsorted(context, asked), len(context) - 1)
-        found = context[place] == asked
-        doc, at = np.unique(doc[found], return_inverse=True)
-        out.append((doc, 0, 0, N, 0.0, np.bincount(at, alpha[place[found]], len(doc)), 0))
-    cols = [np.concatenate([np.broadcast_to(np.asarray(o[i], float if i in (4, 5) else np.int64), len(o[0])) for o in out]) if out else np.zeros(0, float if i in (4, 5) else np.int64) for i in range(7)]
-    return pa.table({n.split()[0]: c for n, c in zip(_OUT.split(", "), cols, strict=True)})
-
-
-def scores(docs: DataFrame, train, buckets: int | None = None) -> DataFrame:
+def scores(docs: DataFrame, train, side: int | None = None, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probability) of every row.
 
     ``train`` is the condition on doc_id that a document is learned from.  Null
-    and empty texts are the end token alone.  Rows that repeat an id share the
-    mean over them (for repeated rows, their own values).  A row whose id is
-    null is scored, with others like it, and not learned from.  Other columns
-    are ignored.
+    and empty texts are the end token alone.  Rows that repeat an id have a row
+    each.  A row whose id is null is scored and not learned from.  Without
+    training text every score is 0.  Other columns are ignored.  There are
+    ``side`` x ``side`` partitions of each table.
     """
     spark = docs.sparkSession
-    buckets = buckets or max(8, partitions(spark) * 2 // 3)
-    absent = -(1 << 63) + 1
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(absent)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    met = rows.mapInArrow(_send(buckets), _ROWS).groupBy("bucket").applyInArrow(_words(buckets), _ROWS)
-    terms = met.groupBy("bucket").applyInArrow(_contexts, _OUT)
-    by = terms.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score", "ends")), F.max("train_tokens").alias("train_tokens"))
-    by = by.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("ends").cast("int"))))
-    mean = lambda c, t: (F.col(c) / F.col("ends")).cast(t).alias(c)
-    return by.select(F.when(F.col("doc_id") != absent, F.col("doc_id")).alias("doc_id"), mean("n_tokens", "long"), mean("n_known", "long"), "train_tokens", mean("base_score", "double"), mean("score", "double"))
+    side = side or max(3, math.isqrt(partitions(spark) * 2 // 3))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_ABSENT)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    asked = stage(spark, rows.mapInArrow(_encode(side, batch_tokens), _BATCH), "katz-batches")
+    words = asked.where("words is not null").select("key", "origin", "words")
+    counts = stage(spark, words.groupBy("key").applyInArrow(_count_words, _WORDS), "katz-words")
+    pairs = stage(spark, asked.where("pairs is not null").select("key", "origin", "pairs").groupBy("key").applyInArrow(_count_pairs, _PAIRS), "katz-pairs")
+    add = lambda df, n: [v or 0 for v in df.select(*(F.sum(F.get("tally", F.lit(i))) for i in range(n))).first()]
+    totals = Totals.of(add(counts, MOST + 5), add(pairs, MOST + 2))
+    # every cell of the grid meets the counts of its range of words
+    salted = counts.select(F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("salt"), F.col("key"), "counts")
+    salted = salted.select((F.floor(F.col("key") / side) * side + F.col("salt")).cast("long").alias("key"), "counts")
+    stored = pairs.where("pairs is not null").select("key", "pairs")
+    sums = salted.unionByName(stored, allowMissingColumns=True).groupBy("key").applyInArrow(_sum_weights(totals, side), _PARTS)
+    met = words.unionByName(counts.select("key", "counts"), allowMissingColumns=True).unionByName(sums, allowMissingColumns=True)
+    known = stage(spark, met.groupBy("key").applyInArrow(_weigh, _ANSWERS), "katz-weights")
+    back = asked.where("tokens is not null").select("key", "origin", "tokens")
+    back = back.unionByName(pairs.where("found is not null").select("key", "origin", "found"), allowMissingColumns=True)
+    back = back.unionByName(known.where("known is not null").select("key", "origin", "known"), allowMissingColumns=True)
+    out = back.groupBy("key").applyInArrow(_evaluate(totals), _OUT)
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != _ABSENT, F.col("doc_id")))
 
 
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
