@@ -6,21 +6,21 @@ that a context keeps goes to the words it was not seen with, by their unigram
 probability, with a back-off weight that normalises exactly.  The unigram model
 is discounted alike and leaves its mass to one class of unknown words.
 
-Texts are read once, in batches of a bounded number of tokens.  A batch keeps
-its tokens as numbers of its distinct pairs and asks for the counts of these
-pairs and of its distinct words, so a frequent word or pair costs one entry a
-batch, however often it occurs.  Counts are stored in partitioned tables: words
-in ranges of their hash; pairs in a grid, by the range of the word and a salt
-of the context, so that the pairs of one word, or of one context, lie in many
-partitions.  Back-off weights are summed in each cell of the grid and stored by
-the range of the context.  The answers go back to the batch, which evaluates
-every token.  The driver sees counts of counts only.  A count c(h) of a context
-is that of the word itself, since every word is followed by a token.
+Texts are read once, in batches of a bounded number of tokens, which are
+written as numbers of the batch's distinct words.  A batch asks for the counts
+of its distinct words and pairs, so a frequent word or pair costs one entry a
+batch, however often it occurs.  Counts are stored in tables partitioned by the
+hash of the word or of the pair; back-off weights, summed by context in every
+batch first, in a table by the hash of the context.  One of the batches that
+have a pair, told by the table, enters it in the sums of its context.  The
+answers go back to the batch, which evaluates every token, asking for the
+weights of contexts with pairs that were not seen.  The driver sees counts of
+counts only.  A count c(h) of a context is that of the word itself, since every
+word is followed by a token.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import by_bucket, mix, pack, partitions, stage, text_slices, unpack, word_hashes
+from .shared import discard, mix, pack, partitions, stage, text_slices, unpack, word_hashes
 
 MOST = 5  # larger counts are reliable
 GIVE = 0.01
@@ -94,12 +94,9 @@ class Totals:
             return np.ones(len(count))
         return np.where(count > 0, discounted(count, self.d1), self.left) / self.tokens
 
-    def back_off(self, pair: np.ndarray, context: np.ndarray, weight: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 P(word | context) by counts; ``weight`` is the context's, nan where it was not seen."""
-        lower = np.log10(self.unigram(word))
-        c = np.log10(np.maximum(context, 1))
-        shorter = np.where(np.isnan(weight), lower, weight - c + lower)
-        return np.where(pair > 0, np.log10(np.maximum(discounted(pair, self.d2), 1e-300)) - c, shorter)
+    def seen(self, pair: np.ndarray) -> np.ndarray:
+        """log10 of P(word | context) c(context) by a pair's count."""
+        return np.log10(np.maximum(discounted(pair, self.d2), 1e-300))
 
 
 def tally(counts: np.ndarray) -> list[int]:
@@ -116,38 +113,33 @@ def _table(schema: str, rows: list[dict]) -> pa.Table:
     return pa.Table.from_pylist(rows, pa.schema([(n, kind[k]) for n, k in (c.split() for c in schema.split(", "))]))
 
 
-_BATCH = "key long, origin long, tokens binary, pairs binary, words binary"
+def spread(keys: np.ndarray) -> np.ndarray:
+    """Differences of rising keys, the n-th bytes of all together: the leading ones are zero and compress away."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.reshape(-1)
 
 
-def _encode(side: int, limit: int):
-    """Texts -> tokens of a batch (key: batch), its pairs by cell and its words by range (origin: batch)."""
+def gathered(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
-    def rows(batch: int, ids, train, T, N) -> pa.Table:
+
+def ranges(keys: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
+    """The buckets that rising keys fall into."""
+    edge = np.searchsorted(bucket_of(keys, n), np.arange(n + 1))
+    for b in np.flatnonzero(np.diff(edge)):
+        yield int(b), slice(edge[b], edge[b + 1])
+
+
+_BATCH = "key long, tokens binary"
+
+
+def _encode(limit: int):
+    """Texts -> tokens of a batch: distinct words, and the place of each token in them."""
+
+    def row(batch: int, ids, train, T, N) -> pa.RecordBatch:
         n = np.concatenate(N)
-        w = np.concatenate(T)
-        stop = np.cumsum(n)
-        t = np.insert(w, stop, END)
-        word, ti = np.unique(np.append(t, BEGIN), return_inverse=True)
-        begin, ti = ti[-1], ti[:-1]
-        hi = np.roll(ti, 1)
-        hi[np.cumsum(n + 1) - n - 1] = begin
-        pair, pi = np.unique(hi * len(word) + ti, return_inverse=True)
-        ph, pt = pair // len(word), pair % len(word)
-        mine = np.repeat(np.concatenate(train), n + 1)
-        cw, cp = np.bincount(ti, mine, len(word)).astype(np.int64), np.bincount(pi, mine, len(pair)).astype(np.int64)
-        h, t = word[ph], word[pt]
-        order, edge = by_bucket(bucket_of(t, side) * side + (mix(h) % np.uint64(side)).astype(np.int64), side * side)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        out = [{"key": batch, "tokens": pack(pair=slim(place[pi]), h=slim(ph[order]), t=slim(pt[order]), id=np.concatenate(ids), n=slim(n + 1))}]
-        for b in np.flatnonzero(np.diff(edge)):
-            x = order[edge[b] : edge[b + 1]]
-            out.append({"key": int(b), "origin": batch, "pairs": pack(h=h[x], t=t[x], m=slim(cp[x]))})
-        edge = np.searchsorted(bucket_of(word, side * side), np.arange(side * side + 1))
-        for b in np.flatnonzero(np.diff(edge)):
-            x = slice(edge[b], edge[b + 1])
-            out.append({"key": int(b), "origin": batch, "words": pack(w=word[x], m=slim(cw[x]))})
-        return _table(_BATCH, out)
+        word, at = np.unique(np.append(np.insert(np.concatenate(T), np.cumsum(n), END), BEGIN), return_inverse=True)
+        blob = pack(word=word, at=slim(at[:-1]), id=np.concatenate(ids), n=slim(n + 1), train=np.concatenate(train).astype(np.uint8))
+        return _table(_BATCH, [{"key": batch, "tokens": blob}]).to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch, held, have = TaskContext.get().partitionId() << 32, ([], [], [], []), 0
@@ -161,155 +153,170 @@ def _encode(side: int, limit: int):
                     held_in.append(v)
                 have += len(w) + len(n)
                 if have >= limit:
-                    yield from rows(batch, *held).to_batches()
+                    yield row(batch, *held)
                     batch, held, have = batch + 1, ([], [], [], []), 0
         if have:
-            yield from rows(batch, *held).to_batches()
+            yield row(batch, *held)
 
     return run
 
 
-_PAIRS = "key long, origin long, found binary, pairs binary, tally array<long>"
+def read_batch(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """A batch with ``before`` (place of each token's context), ``start`` of each text and ``mine`` (token to learn from)."""
+    at, n = x["at"].astype(np.int64), x["n"].astype(np.int64)
+    before = np.roll(at, 1)
+    before[np.cumsum(n) - n] = np.searchsorted(x["word"], BEGIN)
+    return x | {"at": at, "n": n, "before": before, "start": np.cumsum(n) - n, "mine": np.repeat(x["train"], n)}
 
 
-def _count_pairs(table: pa.Table) -> pa.Table:
-    """A cell of pairs -> its stored counts, and the counts each batch asked for (key: batch, origin: cell)."""
-    cell = table["key"][0].as_py()
-    parts = [unpack(b.as_buffer()) for b in table["pairs"]]
-    h, t, m = (np.concatenate([p[c] for p in parts]) for c in ("h", "t", "m"))
-    _, first, inv = np.unique(pair_keys(h, t), return_index=True, return_inverse=True)
-    r = np.bincount(inv, m, len(first)).astype(np.int64)
-    seen = r > 0
-    out = [{"key": cell, "pairs": pack(h=h[first[seen]], t=t[first[seen]], r=slim(r[seen])), "tally": tally(r[seen])}]
-    at = 0
-    for origin, p in zip(table["origin"].to_pylist(), parts, strict=True):
-        out.append({"key": origin, "origin": cell, "found": pack(r=slim(r[inv[at : at + len(p["h"])]]))})
-        at += len(p["h"])
-    return _table(_PAIRS, out)
+def distinct_pairs(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rising keys of a batch's distinct pairs, a token of each, and the pair of each token."""
+    return np.unique(pair_keys(x["word"][x["before"]], x["word"][x["at"]]), return_index=True, return_inverse=True)
+
+
+_ASK = "key long, origin long, asked binary"
+
 
+def _ask(buckets: int, pairs: bool):
+    """Batches -> their distinct pairs (or words) by bucket, with how often they are to be learned from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for batch, blob in zip(rb.column("key").to_pylist(), rb.column("tokens"), strict=True):
+                x = read_batch(unpack(blob.as_buffer()))
+                key, at = x["word"], x["at"]
+                if pairs:
+                    key, _, at = distinct_pairs(x)
+                m = np.bincount(at, x["mine"], len(key)).astype(np.int64)
+                yield from _table(_ASK, [{"key": b, "origin": batch, "asked": pack(key=spread(key[s]), m=slim(m[s]))} for b, s in ranges(key, buckets)]).to_batches()
+
+    return run
 
-_WORDS = "key long, counts binary, tally array<long>"
 
+_COUNTS = "key long, origin long, found binary, counts binary, tally array<long>"
 
-def _count_words(table: pa.Table) -> pa.Table:
-    """A range of words -> its stored counts."""
-    parts = [unpack(b.as_buffer()) for b in table["words"]]
-    word, inv = np.unique(np.concatenate([p["w"] for p in parts]), return_inverse=True)
-    c = np.bincount(inv, np.concatenate([p["m"] for p in parts]), len(word)).astype(np.int64)
-    word, c = word[c > 0], c[c > 0]
-    sums = [int(c.sum()), len(c), int(c[word == END].sum())]
-    return _table(_WORDS, [{"key": table["key"][0].as_py(), "counts": pack(w=word, c=slim(c)), "tally": tally(c) + sums}])
 
+def _count(table: pa.Table) -> pa.Table:
+    """A bucket of pairs or words -> its stored counts, and those each batch asked for (key: batch, origin: bucket).
+
+    An answer is twice the count, and one more for the batch that enters the pair in sums.
+    """
+    bucket = table["key"][0].as_py()
+    parts = [unpack(b.as_buffer()) for b in table["asked"]]
+    key, first, at = np.unique(np.concatenate([gathered(p["key"]) for p in parts]), return_index=True, return_inverse=True)
+    c = np.bincount(at, np.concatenate([p["m"] for p in parts]), len(key)).astype(np.int64)
+    answer = 2 * c[at]
+    answer[first] += 1
+    seen = c > 0
+    sums = [int(c.sum()), int(seen.sum()), int(c[key == END].sum())]
+    out, i = [{"key": bucket, "counts": pack(key=spread(key[seen]), c=slim(c[seen])), "tally": tally(c[seen]) + sums}], 0
+    for origin, p in zip(table["origin"].to_pylist(), parts, strict=True):
+        out.append({"key": origin, "origin": bucket, "found": pack(r=slim(answer[i : i + len(p["m"])]))})
+        i += len(p["m"])
+    return _table(_COUNTS, out)
 
-_PARTS = "key long, sums binary"
 
+_OPEN = "key long, origin long, texts binary, asked binary, sums binary"
 
-def _sum_weights(totals: Totals, side: int):
-    """A cell of pairs with the counts of its words -> by context, what its pairs give up and the unigram mass they hold."""
+
+def _look(totals: Totals, buckets: int):
+    """A batch with its counts -> its texts without back-off weights, the contexts it asks for, and sums by context."""
 
     def run(table: pa.Table) -> pa.Table:
-        pairs = [unpack(b.as_buffer()) for b in table["pairs"] if b.is_valid]
-        if not pairs or not len(pairs[0]["h"]):
-            return _table(_PARTS, [])
-        counts = [unpack(b.as_buffer()) for b in table["counts"] if b.is_valid]
-        word, c = (np.concatenate([p[k] for p in counts]) for k in ("w", "c"))
-        order = np.argsort(word)
-        h, t, r = pairs[0]["h"], pairs[0]["t"], pairs[0]["r"].astype(np.int64)
-        q = totals.unigram(c[order][np.searchsorted(word[order], t)])
-        context, inv = np.unique(h, return_inverse=True)
-        lost = np.bincount(inv, r - discounted(r, totals.d2))
-        mass = np.bincount(inv, q)
-        edge = np.searchsorted(bucket_of(context, side * side), np.arange(side * side + 1))
-        cut = [(int(b), slice(edge[b], edge[b + 1])) for b in np.flatnonzero(np.diff(edge))]
-        return _table(_PARTS, [{"key": b, "sums": pack(h=context[x], lost=lost[x], mass=mass[x])} for b, x in cut])
+        table = table.sort_by("origin")
+        of = lambda c: [unpack(v.as_buffer()) for v in table[c] if v.is_valid]
+        batch, x = table["key"][0].as_py(), read_batch(of("tokens")[0])
+        _, token, pair = distinct_pairs(x)
+        h, t, word = x["before"][token], x["at"][token], x["word"]
+        c = np.concatenate([k["r"].astype(np.int64) for k in of("words")]) >> 1
+        found = np.concatenate([k["r"].astype(np.int64) for k in of("pairs")])
+        r, mine = found >> 1, (found & 1).astype(bool)
+        before = np.where(word == BEGIN, totals.texts, c)
+        one = totals.unigram(c)
+        less = np.log10(np.maximum(before, 1))[h]
+        value = np.where(r > 0, totals.seen(r), np.log10(one)[t]) - less
+        total = lambda v: np.add.reduceat(v, x["start"])
+        base = np.log10((c + 0.1) / (totals.tokens + 0.1 * (totals.words + 1)))
+        # pairs that were not seen, of contexts that were
+        lacks = np.flatnonzero(((r == 0) & (before[h] > 0))[pair])
+        context, at = np.unique(x["before"][lacks], return_inverse=True)
+        doc = np.repeat(np.arange(len(x["n"])), x["n"])[lacks]
+        out = [{"key": batch, "texts": pack(id=x["id"], n=slim(x["n"]), known=slim(total((c > 0)[x["at"]].astype(np.int64))), base=total(base[x["at"]]), score=total(value[pair]), doc=slim(doc), at=slim(at))}]
+        asked = word[context]
+        out += [{"key": b, "origin": batch, "asked": pack(w=asked[s])} for b, s in ranges(asked, buckets)]
+        own = np.flatnonzero(mine & (r > 0))
+        context, at = np.unique(h[own], return_inverse=True)
+        lost = np.bincount(at, r[own] - discounted(r[own], totals.d2), len(context))
+        mass = np.bincount(at, one[t[own]], len(context))
+        out += [{"key": b, "sums": pack(h=word[context[s]], lost=lost[s], mass=mass[s])} for b, s in ranges(word[context], buckets)]
+        return _table(_OPEN, out)
 
     return run
 
 
-_ANSWERS = "key long, origin long, known binary, weights binary"
+_WEIGHTS = "key long, origin long, given binary, weights binary"
 
 
 def _weigh(table: pa.Table) -> pa.Table:
-    """A range of words -> its stored back-off weights, and counts and weights each batch asked for."""
-    b = table["key"][0].as_py()
-    of = lambda c: [unpack(x.as_buffer()) for x in table[c] if x.is_valid]
-    counts, sums = of("counts"), of("sums")
-    word, c = (counts[0]["w"], counts[0]["c"].astype(np.int64)) if counts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    context, inv = np.unique(np.concatenate([s["h"] for s in sums]) if sums else word[:0], return_inverse=True)
-    total = lambda k: np.bincount(inv, np.concatenate([s[k] for s in sums]) if sums else None, len(context))
-    weight = np.log10(total("lost") / np.maximum(1 - total("mass"), 1e-300)) if sums else np.zeros(0)
-    out = [{"key": b, "weights": pack(h=context, weight=weight)}]
-
-    def look(keys, values, asked, missing):
-        place = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
-        return np.where(keys[place] == asked, values[place], missing) if len(keys) else np.full(len(asked), missing)
-
-    for origin, blob in zip(table["origin"].to_pylist(), table["words"], strict=True):
+    """Sums by context and contexts asked for -> stored log10 weights (times c(h)), and those each batch asked for."""
+    bucket = table["key"][0].as_py()
+    sums = [unpack(v.as_buffer()) for v in table["sums"] if v.is_valid]
+    join = lambda k: np.concatenate([s[k] for s in sums]) if sums else np.zeros(0, np.uint64 if k == "h" else float)
+    context, at = np.unique(join("h"), return_inverse=True)
+    weight = np.log10(np.bincount(at, join("lost"), len(context)) / np.maximum(1 - np.bincount(at, join("mass"), len(context)), 1e-300))
+    out = [{"key": bucket, "weights": pack(context=context, weight=weight)}]
+    for origin, blob in zip(table["origin"].to_pylist(), table["asked"], strict=True):
         if blob.is_valid:
-            asked = unpack(blob.as_buffer())["w"]
-            out.append({"key": origin, "origin": b, "known": pack(c=slim(look(word, c, asked, 0)), weight=look(context, weight, asked, np.nan), begin=np.flatnonzero(asked == BEGIN))})
-    return _table(_ANSWERS, out)
+            out.append({"key": origin, "origin": bucket, "given": pack(w=weight[np.searchsorted(context, unpack(blob.as_buffer())["w"])])})
+    return _table(_WEIGHTS, out)
 
 
 _OUT = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _evaluate(totals: Totals):
-    """A batch and the answers to it -> a row for each of its texts."""
+def _finish(totals: Totals):
+    """A batch's texts and the weights that it asked for -> a row for each text."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("origin")
-        of = lambda c: [unpack(x.as_buffer()) for x in table[c] if x.is_valid]
-        own, known = of("tokens")[0], of("known")
-        c = np.concatenate([k["c"].astype(np.int64) for k in known])
-        weight = np.concatenate([k["weight"] for k in known])
-        r = np.concatenate([f["r"].astype(np.int64) for f in of("found")])
-        before = c.copy()
-        at = 0
-        for k in known:
-            before[at + k["begin"]] = totals.texts
-            at += len(k["c"])
-        h, t, pair = own["h"].astype(np.int64), own["t"].astype(np.int64), own["pair"].astype(np.int64)
-        n = own["n"].astype(np.int64)
-        start = np.cumsum(n) - n
-        word = t[pair]
-        score = np.add.reduceat(totals.back_off(r, before[h], weight[h], c[t])[pair], start)
-        base = np.add.reduceat(np.log10((c + 0.1) / (totals.tokens + 0.1 * (totals.words + 1)))[word], start)
-        seen = np.add.reduceat((c > 0).astype(np.int64)[word], start)
-        return pa.table(dict(zip((f.split()[0] for f in _OUT.split(", ")), (own["id"], n, seen, np.full(len(n), totals.tokens), base, score), strict=True)))
+        of = lambda c: [unpack(v.as_buffer()) for v in table[c] if v.is_valid]
+        x, given = of("texts")[0], of("given")
+        n = len(x["id"])
+        score = x["score"]
+        if given:
+            score = score + np.bincount(x["doc"], np.concatenate([g["w"] for g in given])[x["at"]], n)
+        cols = x["id"], x["n"].astype(np.int64), x["known"].astype(np.int64), np.full(n, totals.tokens), x["base"], score
+        return pa.table(dict(zip((f.split()[0] for f in _OUT.split(", ")), cols, strict=True)))
 
     return run
 
 
-def scores(docs: DataFrame, train, side: int | None = None, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
+def scores(docs: DataFrame, train, buckets: int | None = None, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probability) of every row.
 
     ``train`` is the condition on doc_id that a document is learned from.  Null
     and empty texts are the end token alone.  Rows that repeat an id have a row
     each.  A row whose id is null is scored and not learned from.  Without
-    training text every score is 0.  Other columns are ignored.  There are
-    ``side`` x ``side`` partitions of each table.
+    training text every score is 0.  Other columns are ignored.  Each table has
+    ``buckets`` partitions.
     """
     spark = docs.sparkSession
-    side = side or max(3, math.isqrt(partitions(spark) * 2 // 3))
+    buckets = buckets or max(8, partitions(spark))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_ABSENT)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    asked = stage(spark, rows.mapInArrow(_encode(side, batch_tokens), _BATCH), "katz-batches")
-    words = asked.where("words is not null").select("key", "origin", "words")
-    counts = stage(spark, words.groupBy("key").applyInArrow(_count_words, _WORDS), "katz-words")
-    pairs = stage(spark, asked.where("pairs is not null").select("key", "origin", "pairs").groupBy("key").applyInArrow(_count_pairs, _PAIRS), "katz-pairs")
-    add = lambda df, n: [v or 0 for v in df.select(*(F.sum(F.get("tally", F.lit(i))) for i in range(n))).first()]
-    totals = Totals.of(add(counts, MOST + 5), add(pairs, MOST + 2))
-    # every cell of the grid meets the counts of its range of words
-    salted = counts.select(F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("salt"), F.col("key"), "counts")
-    salted = salted.select((F.floor(F.col("key") / side) * side + F.col("salt")).cast("long").alias("key"), "counts")
-    stored = pairs.where("pairs is not null").select("key", "pairs")
-    sums = salted.unionByName(stored, allowMissingColumns=True).groupBy("key").applyInArrow(_sum_weights(totals, side), _PARTS)
-    met = words.unionByName(counts.select("key", "counts"), allowMissingColumns=True).unionByName(sums, allowMissingColumns=True)
-    known = stage(spark, met.groupBy("key").applyInArrow(_weigh, _ANSWERS), "katz-weights")
-    back = asked.where("tokens is not null").select("key", "origin", "tokens")
-    back = back.unionByName(pairs.where("found is not null").select("key", "origin", "found"), allowMissingColumns=True)
-    back = back.unionByName(known.where("known is not null").select("key", "origin", "known"), allowMissingColumns=True)
-    out = back.groupBy("key").applyInArrow(_evaluate(totals), _OUT)
+    batches = stage(spark, rows.mapInArrow(_encode(batch_tokens), _BATCH), "katz-batches")
+    count = lambda pairs, name: stage(spark, batches.mapInArrow(_ask(buckets, pairs), _ASK).groupBy("key").applyInArrow(_count, _COUNTS), name)
+    words, pairs = count(False, "katz-words"), count(True, "katz-pairs")
+    tallies = lambda df: [v or 0 for v in df.select(*(F.sum(F.get("tally", F.lit(i))) for i in range(MOST + 5))).first()]
+    totals = Totals.of(tallies(words), tallies(pairs))
+    found = lambda df, name: df.where("found is not null").select("key", "origin", F.col("found").alias(name))
+    met = batches.unionByName(found(words, "words"), allowMissingColumns=True).unionByName(found(pairs, "pairs"), allowMissingColumns=True)
+    texts = stage(spark, met.groupBy("key").applyInArrow(_look(totals, buckets), _OPEN), "katz-texts")
+    discard(batches)
+    asked = texts.where("texts is null").select("key", "origin", "asked", "sums")
+    weights = stage(spark, asked.groupBy("key").applyInArrow(_weigh, _WEIGHTS), "katz-weights")
+    last = texts.where("texts is not null").select("key", "origin", "texts")
+    last = last.unionByName(weights.where("given is not null").select("key", "origin", "given"), allowMissingColumns=True)
+    out = last.groupBy("key").applyInArrow(_finish(totals), _OUT)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != _ABSENT, F.col("doc_id")))
 
 

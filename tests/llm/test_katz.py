@@ -46,8 +46,8 @@ class Plain:
         return (1 - sum(self.star(c, self.db) for c in own.values() if c) / n) / (1 - sum(self.one(x) for x in own if own[x])) * self.one(w)
 
 
-@pytest.mark.parametrize("side,limit", [(1, 50), (3, 1 << 20)])
-def test_matches_plain_model(spark, side, limit):
+@pytest.mark.parametrize("buckets,limit", [(1, 50), (7, 1 << 20)])
+def test_matches_plain_model(spark, buckets, limit):
     rnd = random.Random(8)
     words = [f"W{int(rnd.paretovariate(0.6)) % 150}é" for _ in range(4000)]
     rows = [(i, " ".join(words[rnd.randrange(3900) :][: rnd.randrange(0, 60)])) for i in range(90)] + [(100, None), (101, "w1é  new\n"), (102, "")]
@@ -56,7 +56,7 @@ def test_matches_plain_model(spark, side, limit):
     for h in ("<s>", "w1é", "w2é", "nowhere"):
         assert math.isclose(sum(m.p(h, w) for w in list(m.uni)) + m.p(h, "unknown"), 1, rel_tol=1e-9)
     df = spark.createDataFrame([(i, t, 1.0, 2) for i, t in rows], "doc_id long, text string, score double, ends int").repartition(4)
-    got = {r.doc_id: r for r in scores(df, TRAIN(), side, limit).collect()}
+    got = {r.doc_id: r for r in scores(df, TRAIN(), buckets, limit).collect()}
     assert len(got) == len(rows) and any(held(i) for i, _ in rows)
     for i, t in rows:
         w = tokens(t)
@@ -78,12 +78,13 @@ def test_edges(spark):
 
 def test_hot_word_costs_an_entry_a_batch(spark):
     """A word and a pair that make up most of the text come once for each batch that has them."""
-    from tessera.llm.katz import _BATCH, _encode
+    from tessera.llm.katz import _ASK, _BATCH, _ask, _encode
     from tessera.llm.shared import unpack
 
     rows = [(i, "x y " * 300, True) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string, train boolean").coalesce(1)
-    out = df.mapInArrow(_encode(2, 1000), _BATCH).collect()
-    batches = sum(r.tokens is not None for r in out)
-    entries = sum(len(unpack(bytes(r.pairs))["m"]) for r in out if r.pairs is not None)
-    assert batches > 1 and entries == 4 * batches  # begin x, x y, y x, y end
+    batches = df.mapInArrow(_encode(1000), _BATCH).cache()
+    out = batches.mapInArrow(_ask(4, True), _ASK).collect()
+    entries = [unpack(bytes(r.asked))["m"] for r in out]
+    assert batches.count() > 1 and sum(map(len, entries)) == 4 * batches.count()  # begin x, x y, y x, y end
+    assert sum(int(m.sum()) for m in entries) == 20 * 601
