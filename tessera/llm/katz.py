@@ -122,6 +122,16 @@ def gathered(planes: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers by as few bytes as the largest one has, the n-th bytes of all together."""
+    planes = x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T
+    return planes[: max(1, (int(x.max()).bit_length() + 7) // 8)].reshape(-1)
+
+
+def widened(planes: np.ndarray, n: int) -> np.ndarray:
+    return sum(p.astype(np.int64) << (8 * i) for i, p in enumerate(planes.reshape(-1, n)))
+
+
 def ranges(keys: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
     """The buckets that rising keys fall into."""
     edge = np.searchsorted(bucket_of(keys, n), np.arange(n + 1))
@@ -138,7 +148,7 @@ def _encode(limit: int):
     def row(batch: int, ids, train, T, N) -> pa.RecordBatch:
         n = np.concatenate(N)
         word, at = np.unique(np.append(np.insert(np.concatenate(T), np.cumsum(n), END), BEGIN), return_inverse=True)
-        blob = pack(word=word, at=slim(at[:-1]), id=np.concatenate(ids), n=slim(n + 1), train=np.concatenate(train).astype(np.uint8))
+        blob = pack(word=spread(word), at=narrow(at[:-1]), id=np.concatenate(ids), n=slim(n + 1), train=np.concatenate(train).astype(np.uint8))
         return _table(_BATCH, [{"key": batch, "tokens": blob}]).to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,10 +173,11 @@ def _encode(limit: int):
 
 def read_batch(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """A batch with ``before`` (place of each token's context), ``start`` of each text and ``mine`` (token to learn from)."""
-    at, n = x["at"].astype(np.int64), x["n"].astype(np.int64)
+    word, n = gathered(x["word"]), x["n"].astype(np.int64)
+    at = widened(x["at"], int(n.sum()))
     before = np.roll(at, 1)
-    before[np.cumsum(n) - n] = np.searchsorted(x["word"], BEGIN)
-    return x | {"at": at, "n": n, "before": before, "start": np.cumsum(n) - n, "mine": np.repeat(x["train"], n)}
+    before[np.cumsum(n) - n] = np.searchsorted(word, BEGIN)
+    return x | {"word": word, "at": at, "n": n, "before": before, "start": np.cumsum(n) - n, "mine": np.repeat(x["train"], n)}
 
 
 def distinct_pairs(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,12 +254,12 @@ def _look(totals: Totals, buckets: int):
         doc = np.repeat(np.arange(len(x["n"])), x["n"])[lacks]
         out = [{"key": batch, "texts": pack(id=x["id"], n=slim(x["n"]), known=slim(total((c > 0)[x["at"]].astype(np.int64))), base=total(base[x["at"]]), score=total(value[pair]), doc=slim(doc), at=slim(at))}]
         asked = word[context]
-        out += [{"key": b, "origin": batch, "asked": pack(w=asked[s])} for b, s in ranges(asked, buckets)]
+        out += [{"key": b, "origin": batch, "asked": pack(w=spread(asked[s]))} for b, s in ranges(asked, buckets)]
         own = np.flatnonzero(mine & (r > 0))
         context, at = np.unique(h[own], return_inverse=True)
         lost = np.bincount(at, r[own] - discounted(r[own], totals.d2), len(context))
         mass = np.bincount(at, one[t[own]], len(context))
-        out += [{"key": b, "sums": pack(h=word[context[s]], lost=lost[s], mass=mass[s])} for b, s in ranges(word[context], buckets)]
+        out += [{"key": b, "sums": pack(h=spread(word[context[s]]), lost=lost[s], mass=mass[s])} for b, s in ranges(word[context], buckets)]
         return _table(_OPEN, out)
 
     return run
@@ -261,13 +272,13 @@ def _weigh(table: pa.Table) -> pa.Table:
     """Sums by context and contexts asked for -> stored log10 weights (times c(h)), and those each batch asked for."""
     bucket = table["key"][0].as_py()
     sums = [unpack(v.as_buffer()) for v in table["sums"] if v.is_valid]
-    join = lambda k: np.concatenate([s[k] for s in sums]) if sums else np.zeros(0, np.uint64 if k == "h" else float)
+    join = lambda k: np.concatenate([gathered(s[k]) if k == "h" else s[k] for s in sums]) if sums else np.zeros(0, np.uint64 if k == "h" else float)
     context, at = np.unique(join("h"), return_inverse=True)
     weight = np.log10(np.bincount(at, join("lost"), len(context)) / np.maximum(1 - np.bincount(at, join("mass"), len(context)), 1e-300))
     out = [{"key": bucket, "weights": pack(context=context, weight=weight)}]
     for origin, blob in zip(table["origin"].to_pylist(), table["asked"], strict=True):
         if blob.is_valid:
-            out.append({"key": origin, "origin": bucket, "given": pack(w=weight[np.searchsorted(context, unpack(blob.as_buffer())["w"])])})
+            out.append({"key": origin, "origin": bucket, "given": pack(w=weight[np.searchsorted(context, gathered(unpack(blob.as_buffer())["w"]))])})
     return _table(_WEIGHTS, out)
 
 
