@@ -10,13 +10,18 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Powers modulo a prime miss a fixed share of the residues, which leaves holes in a raster that all rows go into.
+_ROOT = "(l_orderkey * 64 + l_partkey) % 4096"
+_SQUARE = f"({_ROOT}) * ({_ROOT}) % 4093"
+
+
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    """64 x 64 heights, with holes."""
-    t = table(spark, d, "lineitem").where("l_quantity > 45")
-    return t.groupBy((F.col("l_orderkey") % 64).alias("x"), (F.col("l_partkey") % 64).alias("y")).agg(F.max(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("h"))
+    """64 x 64 heights, about half of them holes."""
+    t = table(spark, d, "lineitem").select(F.expr(_SQUARE).alias("c"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("h"))
+    return t.groupBy(F.expr("c % 64").alias("x"), F.expr("c div 64").alias("y")).agg(F.max("h").alias("h"))
 
 
-CELLS = "cells as (select l_orderkey % 64 as x, l_partkey % 64 as y, max(cast(round(l_extendedprice * 100) as bigint)) as h from lineitem where l_quantity > 45 group by 1, 2)"
+CELLS = f"squares as (select {_SQUARE} as c, cast(round(l_extendedprice * 100) as bigint) as h from lineitem), cells as (select c % 64 as x, c // 64 as y, max(h) as h from squares group by 1, 2)"
 
 
 def ids(spark: SparkSession, d: str) -> DataFrame:
@@ -26,14 +31,18 @@ def ids(spark: SparkSession, d: str) -> DataFrame:
 IDS = "ids as (select l_orderkey % 16 as x, l_suppkey % 16 as y, l_partkey % 7 as id, l_partkey % 7 % 3 as prec from lineitem)"
 
 
+#: Tiers cover a third, a half and a sixth of the cells, with overlaps.
+_TIER = "case l_returnflag when 'A' then 1 when 'R' then 2 else 3 end"
+_POWER = f"case {_TIER} when 1 then ({_SQUARE}) * ({_ROOT}) % 4093 when 2 then {_SQUARE} else 2 * (({_SQUARE}) * ({_SQUARE}) % 4093) * ({_SQUARE}) % 4093 end"
+
+
 def tiers(spark: SparkSession, d: str) -> list[DataFrame]:
-    t = table(spark, d, "lineitem").where("l_quantity > 40")
-    part = lambda flag: t.where(F.col("l_returnflag") == flag).groupBy((F.col("l_orderkey") % 64).alias("x"), (F.col("l_partkey") % 64).alias("y")).agg(F.max(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("h"))
-    return [part(f) for f in "ARN"]
+    t = table(spark, d, "lineitem").select(F.expr(_TIER).alias("tier"), F.expr(_POWER).alias("c"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("h"))
+    return [t.where(F.col("tier") == k).groupBy(F.expr("c % 64").alias("x"), F.expr("c div 64").alias("y")).agg(F.max("h").alias("h")) for k in (1, 2, 3)]
 
 
-TIERS = """tiers as (select l_orderkey % 64 as x, l_partkey % 64 as y, case l_returnflag when 'A' then 1 when 'R' then 2 else 3 end as tier,
-  max(cast(round(l_extendedprice * 100) as bigint)) as h from lineitem where l_quantity > 40 and l_returnflag in ('A', 'R', 'N') group by 1, 2, 3),
+TIERS = f"""powers as (select {_TIER} as tier, {_POWER} as c, cast(round(l_extendedprice * 100) as bigint) as h from lineitem),
+tiers as (select c % 64 as x, c // 64 as y, tier, max(h) as h from powers group by 1, 2, 3),
 filled as (select x, y, arg_min(h, tier) as h, min(tier) as tier from tiers group by 1, 2)"""
 
 
