@@ -143,7 +143,7 @@ def paint(covers: DataFrame, ident: str = "id") -> DataFrame:
 
 
 def nearest_distance(cells: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
-    """x, y, distance: the 3-4 chamfer distance to the nearest seed within a box of ``reach`` cells.
+    """x, y, distance of every cell: the 3-4 chamfer distance to the nearest seed within a box of ``reach`` cells, null where there is none.
 
     Seeds are binned by the reach, so that a cell meets those of nine bins only.
     """
@@ -151,4 +151,5 @@ def nearest_distance(cells: DataFrame, seeds: DataFrame, reach: int) -> DataFram
     around = F.array(*(F.struct((F.floor(F.col("x") / reach) + i).alias("bx"), (F.floor(F.col("y") / reach) + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     near = cells.select("x", "y", F.inline(around)).join(seeds.select(F.col("x").alias("sx"), F.col("y").alias("sy"), *bins), ["bx", "by"])
     dx, dy = F.abs(F.col("x") - F.col("sx")), F.abs(F.col("y") - F.col("sy"))
-    return near.where((dx <= reach) & (dy <= reach)).groupBy("x", "y").agg(F.min(3 * F.greatest(dx, dy) + F.least(dx, dy)).alias("distance"))
+    found = near.where((dx <= reach) & (dy <= reach)).groupBy("x", "y").agg(F.min(3 * F.greatest(dx, dy) + F.least(dx, dy)).alias("distance"))
+    return cells.select("x", "y").join(found, ["x", "y"], "left")

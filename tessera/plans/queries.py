@@ -360,7 +360,31 @@ def segment_clip(spark: SparkSession, d: str) -> DataFrame:
 select x, y, min(3 * u + v) as distance from n group by 1, 2""")
 def nearest_fill_distance(spark: SparkSession, d: str) -> DataFrame:
     c = cells(spark, d)
-    return vector.nearest_distance(c, c.where("h % 50 = 0"), 6)
+    return vector.nearest_distance(c, c.where("h % 50 = 0"), 6).where("distance is not null")
+
+
+#: Cover of the mapped cells, an eighth of it water; holes have id 0.
+_COVER = "case when h is null then 0 when h % 8 = 0 then 511 when h % 8 < 4 then 1023 else 1804 end"
+#: 4000 m at 4 m a cell, 3 a side.
+_FILL_LIMIT = 3000
+
+
+def _filled(spark: SparkSession, d: str) -> DataFrame:
+    lattice = spark.range(4096).selectExpr("id % 64 as x", "id div 64 as y")
+    cover = lattice.join(cells(spark, d), ["x", "y"], "left").selectExpr("0L as grid", "x", "y", f"cast({_COVER} as long) as id")
+    return terrain.fill_from_nearest(cover, _FILL_LIMIT)
+
+
+@query(f"""with {CELLS}, {_GRID.format(0, 0, 64, 64)}, s as (select x, y from cells where {_COVER} not in (0, 511)),
+ n as (select g.x, g.y, min(3 * greatest(abs(g.x - s.x), abs(g.y - s.y)) + least(abs(g.x - s.x), abs(g.y - s.y))) as distance from g left join s on true group by 1, 2)
+select x, y, case when distance <= {_FILL_LIMIT} then distance end as distance from n""")
+def nearest_fill(spark: SparkSession, d: str) -> DataFrame:
+    return _filled(spark, d).select("x", "y", "distance")
+
+
+@query()
+def nearest_fill_ids(spark: SparkSession, d: str) -> DataFrame:
+    return _filled(spark, d).select("x", "y", "id")
 
 
 @query()

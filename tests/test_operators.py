@@ -104,6 +104,21 @@ def test_nearest_ids():
             assert out[r, c] in ({ids[p] for p, v in d.items() if v == best} if best <= 30 else {0})
 
 
+def test_fill_keeps_cells_out_of_reach(spark):
+    c = spark.createDataFrame([(x, 0) for x in range(20)], "x long, y long")
+    got = {r.x: r.distance for r in vector.nearest_distance(c, c.where("x = 2"), 6).collect()}
+    assert got == {x: 3 * abs(x - 2) if x <= 8 else None for x in range(20)}
+    rows = [(0, x, y, 770 if (x, y) == (0, 0) else 511 if x == 3 else 0) for x in range(9) for y in range(5)]
+    df = spark.createDataFrame(rows, "grid long, x long, y long, id long")
+    out = {(r.x, r.y): (r.distance, r.id) for r in terrain.fill_from_nearest(df, 15).collect()}
+    assert len(out) == len(rows)
+    for _, x, y, i in rows:  # the water keeps its id and does not spread, though distance goes across it
+        d = 3 * max(x, y) + min(x, y)
+        assert out[x, y] == ((d if d <= 15 else None), i or (770 if d <= 15 else 0))
+    none = terrain.fill_from_nearest(df.where("id <> 770"), 15)
+    assert none.count() == len(rows) and none.where("distance is not null").count() == 0
+
+
 def test_rays_match_fine_steps():
     h = 10 + 4 * np.sin(np.arange(33)[None, :] / 3) * np.cos(np.arange(33)[:, None] / 4)
     m, hits = rays.bounds_of(h), 0
