@@ -104,10 +104,10 @@ def _matrix(data: np.ndarray, start: np.ndarray, size: np.ndarray, symbol: np.nd
     return np.concatenate((np.full((len(start), 1), symbol[32]), body), 1)
 
 
-def _edges(t: Trie, sym: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(start, end, words, pieces) of every piece that fits, by start."""
+def _edges(t: Trie, sym: np.ndarray, back: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(start, end, words, pieces) of every piece that fits, by start; ``back``: the last start first."""
     n, width = sym.shape
-    for s in range(width):
+    for s in reversed(range(width)) if back else range(width):
         rows = np.flatnonzero(sym[:, s] >= 0)
         node = np.zeros(len(rows), np.int32)
         for e in range(s, min(width, s + LONGEST)):
@@ -124,6 +124,16 @@ def _edges(t: Trie, sym: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.
                 yield s, e + 1, rows[hit], p[hit]
 
 
+def _lift(window: np.ndarray, scale: np.ndarray) -> None:
+    """Bring columns that became small back to a top of 1, in place; ``scale`` is the logarithm of what was divided out."""
+    top = window.max(0)
+    low = (top > 0) & (top < 1e-100)
+    if low.any():
+        factor = np.where(low, 1 / np.where(low, top, 1), 1.0)
+        window *= factor
+        scale -= np.log(factor)
+
+
 def forward(t: Trie, sym: np.ndarray, prob: np.ndarray) -> np.ndarray:
     """Log-likelihood of each word under each column of ``prob`` (pieces by languages)."""
     n, width = sym.shape
@@ -132,12 +142,7 @@ def forward(t: Trie, sym: np.ndarray, prob: np.ndarray) -> np.ndarray:
     scale, last = np.zeros((n, prob.shape[1])), -1
     for s, e, rows, p in _edges(t, sym):
         if s > last and s % 8 == 0 and s:
-            top = alpha[s : s + LONGEST + 1].max(0)
-            low = (top > 0) & (top < 1e-100)
-            if low.any():
-                factor = np.where(low, 1 / np.where(low, top, 1), 1.0)
-                alpha[s : s + LONGEST + 1] *= factor
-                scale -= np.log(factor)
+            _lift(alpha[s : s + LONGEST + 1], scale)
         last = s
         alpha[e, rows] += alpha[s, rows] * prob[p]
     size = (sym >= 0).sum(1)
@@ -152,24 +157,31 @@ def learn(t: Trie, words: list[bytes], count: np.ndarray, rounds: int = 4) -> np
     prob = np.full(t.size, 1.0 / t.size)
     for _ in range(rounds if len(words) else 0):
         expected = np.full(t.size, 0.05)
-        for idx in _chunks(np.minimum(size, 60)):
-            idx = idx[size[idx] <= 60]  # longer ones would underflow here and say little
-            if not len(idx):
-                continue
+        for idx in _chunks(size):
             sym = _matrix(data, start[idx], size[idx], t.symbol)
             n, width = sym.shape
-            edges = list(_edges(t, sym))
+            full, own = (sym >= 0).sum(1), np.arange(n)
             alpha, beta = np.zeros((width + 1, n)), np.zeros((width + 1, n))
-            alpha[0] = 1
-            for s, e, rows, p in edges:
+            alpha[0], beta[full, own] = 1, 1
+            # What alpha[s] was divided by when it was done, and what all of beta in reach is divided by.
+            done, scale, other, last = np.zeros((width, n)), np.zeros(n), np.zeros(n), -1
+            for s, e, rows, p in _edges(t, sym):
+                if s != last:
+                    if s % 8 == 0 and s:
+                        _lift(alpha[s : s + LONGEST + 1], scale)
+                    done[s], last = scale, s
                 alpha[e, rows] += alpha[s, rows] * prob[p]
-            full = (sym >= 0).sum(1)
-            beta[full, np.arange(n)] = 1
-            for s, e, rows, p in reversed(edges):
-                beta[s, rows] += beta[e, rows] * prob[p]
-            weight = count[idx] / alpha[full, np.arange(n)]
-            for s, e, rows, p in edges:
-                np.add.at(expected, p, weight[rows] * alpha[s, rows] * prob[p] * beta[e, rows])
+            total = np.log(alpha[full, own]) + scale
+            for s, e, rows, p in _edges(t, sym, True):
+                if s != last:
+                    if s % 8 == 0:
+                        _lift(beta[s + 1 : s + LONGEST + 1], other)
+                    last = s
+                step = beta[e, rows] * prob[p]
+                beta[s, rows] += step
+                with np.errstate(divide="ignore"):
+                    share = np.log(alpha[s, rows]) + np.log(step) + (done[s] + other - total)[rows]
+                np.add.at(expected, p, count[idx[rows]] * np.exp(share))
         prob = expected / expected.sum()
     return prob
 

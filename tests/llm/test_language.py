@@ -43,6 +43,29 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(L.forward(t, L._matrix(long, np.array([0]), np.array([4000]), t.symbol), prob)).all()
 
 
+def test_learns_from_runs_of_every_length(spark):
+    t = L.trie(L.vocabulary("byte_bpe_multi_50k.tiktoken"))
+    word = b"thenation" * 150
+    sym = L._matrix(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]), t.symbol)
+    edges = [(s, e, p[0]) for s, e, _, p in L._edges(t, sym)]
+    alpha, beta = np.full(len(word) + 2, -np.inf), np.full(len(word) + 2, -np.inf)
+    alpha[0] = beta[-1] = 0
+    each = -math.log(t.size)
+    for s, e, _ in edges:
+        alpha[e] = np.logaddexp(alpha[e], alpha[s] + each)
+    for s, e, _ in reversed(edges):
+        beta[s] = np.logaddexp(beta[s], beta[e] + each)
+    want = np.full(t.size, 0.05)
+    for s, e, p in edges:
+        want[p] += 3 * math.exp(alpha[s] + each + beta[e] - alpha[-1])
+    assert np.allclose(L.learn(t, [word], np.array([3.0]), 1), want / want.sum(), rtol=1e-9, atol=0)
+
+    texts = {"ja": "これはにほんごのぶんしょうです。とてもながいのでくぎりがありません。", "zh": "这是一篇中文文章，其中没有空格，因此每一段都很长。我们不知道怎样区分。"}
+    df = spark.createDataFrame([(i, v[i % 7 :] + v * 3, k) for k, v in texts.items() for i in range(60)], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, texts["ja"][3:] * 2), (2, texts["zh"][4:] * 2)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in L.predict(asked, L.train(df)).collect()} == {1: "ja", 2: "zh"}
+
+
 def test_held_out_accuracy(spark):
     got = L.op3_language(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     assert len(got) == 1000 and all(0 <= r.score <= 1 for r in got)
