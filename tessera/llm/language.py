@@ -25,7 +25,8 @@ from .shared import BYTE_EXACT, BYTE_WORD, LOWER, prefix_hash, range_hash, text_
 TRAIN_DOCS = 300
 #: Distinct words a language, most frequent first, that expectation-maximisation runs over.
 TRAIN_WORDS = 30_000
-LONGEST = 12
+#: Bytes of the longest usable piece of the default vocabulary; a trie knows its own.
+LONGEST = 33
 CELLS = 1 << 20
 #: Distinct words whose likelihoods a worker remembers.
 REMEMBERED = 2_000_000
@@ -44,8 +45,9 @@ class Trie:
         self.symbol = np.zeros(256, np.int64)
         used = np.flatnonzero(_WORDY)
         self.symbol[used] = np.arange(len(used))
-        pieces = [p for p in pieces if len(p) <= LONGEST and _WORDY[list(p)].all() and 32 not in p[1:] and p != b" "]
+        pieces = [p for p in pieces if _WORDY[list(p)].all() and 32 not in p[1:] and p != b" "]
         pieces = list(dict.fromkeys([bytes([b]) for b in used.tolist()] + pieces))
+        self.longest = max(map(len, pieces))
         rows, self.piece = [[0] * len(used)], [-1]
         for number, p in enumerate(pieces):
             node = 0
@@ -110,7 +112,7 @@ def _edges(t: Trie, sym: np.ndarray, back: bool = False) -> Iterator[tuple[int,
     for s in reversed(range(width)) if back else range(width):
         rows = np.flatnonzero(sym[:, s] >= 0)
         node = np.zeros(len(rows), np.int32)
-        for e in range(s, min(width, s + LONGEST)):
+        for e in range(s, min(width, s + t.longest)):
             c = sym[rows, e]
             ok = c >= 0
             node = t.child[node[ok], c[ok]]
@@ -142,7 +144,7 @@ def forward(t: Trie, sym: np.ndarray, prob: np.ndarray) -> np.ndarray:
     scale, last = np.zeros((n, prob.shape[1])), -1
     for s, e, rows, p in _edges(t, sym):
         if s > last and s % 8 == 0 and s:
-            _lift(alpha[s : s + LONGEST + 1], scale)
+            _lift(alpha[s : s + t.longest + 1], scale)
         last = s
         alpha[e, rows] += alpha[s, rows] * prob[p]
     size = (sym >= 0).sum(1)
@@ -168,14 +170,14 @@ def learn(t: Trie, words: list[bytes], count: np.ndarray, rounds: int = 4) -> np
             for s, e, rows, p in _edges(t, sym):
                 if s != last:
                     if s % 8 == 0 and s:
-                        _lift(alpha[s : s + LONGEST + 1], scale)
+                        _lift(alpha[s : s + t.longest + 1], scale)
                     done[s], last = scale, s
                 alpha[e, rows] += alpha[s, rows] * prob[p]
             total = np.log(alpha[full, own]) + scale
             for s, e, rows, p in _edges(t, sym, True):
                 if s != last:
                     if s % 8 == 0:
-                        _lift(beta[s + 1 : s + LONGEST + 1], other)
+                        _lift(beta[s + 1 : s + t.longest + 1], other)
                     last = s
                 step = beta[e, rows] * prob[p]
                 beta[s, rows] += step

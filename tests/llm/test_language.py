@@ -1,3 +1,4 @@
+import base64
 import math
 
 import numpy as np
@@ -43,6 +44,25 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(L.forward(t, L._matrix(long, np.array([0]), np.array([4000]), t.symbol), prob)).all()
 
 
+def test_no_piece_is_too_long():
+    path = L.vocabulary("byte_bpe_multi_50k.tiktoken")
+    t = L.trie(path)
+    with open(path, "rb") as f:
+        known = {base64.b64decode(line.split()[0]) for line in f}
+    known = {p for p in known if all(97 <= b < 123 or b >= 128 for b in p.removeprefix(b" ")) and p != b" "} | {bytes([b]) for b in range(256) if L._WORDY[b]}
+    assert t.size == len(known) and t.longest == L.LONGEST == max(map(len, known))
+    for w in (" international", " understanding", " particularly", " действительно"):
+        raw = w.encode()
+        sym = L._matrix(np.frombuffer(raw, np.uint8), np.array([1]), np.array([len(raw) - 1]), t.symbol)
+        own = {raw[s:e]: p[0] for s, e, _, p in L._edges(t, sym)}
+        assert set(own) == {raw[s:e] for s in range(len(raw)) for e in range(s + 1, len(raw) + 1)} & known and raw in own
+        prob = np.random.default_rng(3).random((t.size, 1)) / t.size
+        total = [1.0]
+        for e in range(1, len(raw) + 1):
+            total.append(sum(total[s] * prob[own[raw[s:e]], 0] for s in range(e) if raw[s:e] in own))
+        assert math.isclose(L.forward(t, sym, prob)[0, 0], math.log(total[-1]))
+
+
 def test_learns_from_runs_of_every_length(spark):
     t = L.trie(L.vocabulary("byte_bpe_multi_50k.tiktoken"))
     word = b"thenation" * 150
