@@ -31,7 +31,14 @@ _END = b"\r\n"
 
 
 def url_key(url: str | None) -> str:
-    """Reversed host, then path and query, all lower case: http://a.example.com:80/X?y -> com,example,a)/x?y."""
+    """Reversed host, then path and query, all lower case: http://a.example.com:80/X?y -> com,example,a)/x?y.
+
+    Tabs and line ends, which cut the lines of the index, are escaped before keys are sorted.
+    """
+    return _key(url).replace("\t", "%09").replace("\n", "%0a")
+
+
+def _key(url: str | None) -> str:
     try:
         u = urlsplit((url or "").strip())
         host, port = (u.hostname or ""), u.port
@@ -150,8 +157,7 @@ def write_index(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
             return pa.RecordBatch.from_pylist([{"block_id": name, "first_key": rows[0][0], "last_key": rows[-1][0], "n": len(rows), "lines": zlib.compress(text)}], schema)
 
         for batch in batches:
-            keys = (k.replace("\t", "%09").replace("\n", "%0a") for k in batch.column("key").to_pylist())
-            held += zip(keys, *(batch.column(c).to_pylist() for c in ("page_id", "archive_id", "offset", "length")), strict=True)
+            held += zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "archive_id", "offset", "length")), strict=True)
             while len(held) >= BLOCK_LINES:
                 yield block(held[:BLOCK_LINES])
                 held = held[BLOCK_LINES:]
@@ -162,18 +168,55 @@ def write_index(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
     return blocks, blocks.select("block_id", "first_key", "last_key", "n")
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"key": pa.string(), "page_id": pa.int64(), "archive_id": pa.string(), "offset": pa.int64(), "length": pa.int64()}
-    for batch in batches:
-        for x in batch.column("lines").to_pylist():
-            rows = [line.split("\t") for line in zlib.decompress(x).decode().split("\n")[:-1]]
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()).cast(t) for c, t in zip(cols, kinds.values(), strict=True)], names=list(kinds))
+_CAPTURE = "key string, page_id long, archive_id string, offset long, length long"
+_KINDS = {"key": pa.string(), "page_id": pa.int64(), "archive_id": pa.string(), "offset": pa.int64(), "length": pa.int64()}
+
+
+def _lines(block: bytes, wanted: set[str] | None = None) -> pa.RecordBatch:
+    """The captures of a block, of all keys or of the wanted ones."""
+    rows = [line.split("\t") for line in zlib.decompress(block).decode().split("\n")[:-1]]
+    cols = list(zip(*(r for r in rows if wanted is None or r[0] in wanted), strict=True)) or [()] * len(_KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()).cast(t) for c, t in zip(cols, _KINDS.values(), strict=True)], names=list(_KINDS))
 
 
 def captures(blocks: DataFrame) -> DataFrame:
     """key, page_id, archive_id, offset, length of every line of index blocks."""
-    return blocks.select("lines").mapInArrow(_lines, "key string, page_id long, archive_id string, offset long, length long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("lines").to_pylist():
+                yield _lines(x)
+
+    return blocks.select("lines").mapInArrow(run, _CAPTURE)
+
+
+def named(firsts: list[str], lasts: list[str], key: str) -> range:
+    """Places in the sorted directory of the blocks that may hold a key, by binary search."""
+    return range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key))
+
+
+def find(blocks: DataFrame, directory: DataFrame, pages: DataFrame) -> DataFrame:
+    """The captures of the urls of ``pages``, each line once.
+
+    Every url is searched in the sparse directory, which all tasks get; of the
+    blocks, only those that it names are read.
+    """
+    table = sorted((r["first_key"], r["last_key"], r["block_id"]) for r in directory.collect())
+    shared = pages.sparkSession.sparkContext.broadcast(tuple(list(c) for c in zip(*table, strict=True)) or ([], [], []))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, lasts, names = shared.value
+        for batch in batches:
+            hits = [(names[i], k) for k in {url_key(u) for u in batch.column("url").to_pylist()} for i in named(firsts, lasts, k)]
+            yield pa.RecordBatch.from_arrays([pa.array([h[j] for h in hits], pa.string()) for j in (0, 1)], names=["block_id", "key"])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, keys in zip(batch.column("lines").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+                yield _lines(x, set(keys))
+
+    wanted = pages.select("url").mapInArrow(search, "block_id string, key string").groupBy("block_id").agg(F.collect_set("key").alias("keys"))
+    return blocks.select("block_id", "lines").join(wanted, "block_id").select("lines", "keys").mapInArrow(pick, _CAPTURE)
 
 
 _RECORD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
@@ -204,17 +247,14 @@ def read_ranges(archives: DataFrame, found: DataFrame, with_payload: bool = Fals
 def lookup(archives: DataFrame, blocks: DataFrame, directory: list[tuple[str, str, str]], url: str) -> DataFrame:
     """Records of a URL.  ``directory``: (first_key, last_key, block_id) of all blocks, sorted; it is sparse, a row for each block."""
     key = url_key(url)
-    first = bisect.bisect_right([d[0] for d in directory], key) - 1
-    while first > 0 and directory[first - 1][1] >= key:
-        first -= 1
-    names = [b for low, high, b in directory[max(first, 0) :] if low <= key <= high]
+    names = [directory[i][2] for i in named([d[0] for d in directory], [d[1] for d in directory], key)]
     return read_ranges(archives, captures(blocks.where(F.col("block_id").isin(names))).where(F.col("key") == key), True)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    blocks, _ = write_index(archives)
-    return read_ranges(archives, captures(blocks))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    archives = write_archives(pages)
+    return read_ranges(archives, find(*write_index(archives), pages))
 
 
 QUERIES = {"op10_warc": op10_warc}

@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from tessera.llm import warc
 
 
@@ -35,6 +37,31 @@ def test_archives_index_and_lookup(spark, monkeypatch):
         assert sorted(r.page_id for r in warc.lookup(archives, blocks, table, url).collect()) == want
 
 
+def test_query_searches_the_directory(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 5}.example.com/p{i % 40}" if i % 9 else f"a\tb{i}", f"page {i}") for i in range(120)] + [(900, None, "n")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archives = warc.write_archives(df)
+    blocks, directory = warc.write_index(archives)
+    assert sorted(r.page_id for r in warc.find(blocks, directory, df).collect()) == [r[0] for r in rows]
+    one = df.where("page_id = 3")
+    table = {r.block_id: (r.first_key, r.last_key) for r in directory.collect()}
+    need = [b for b, (low, high) in table.items() if low <= warc.url_key(rows[3][1]) <= high]
+    assert 0 < len(need) < len(table)
+    damaged = blocks.withColumn("lines", F.when(F.col("block_id").isin(need), F.col("lines")).otherwise(F.lit(b"x")))
+    assert sorted(r.page_id for r in warc.find(damaged, directory, one).collect()) == sorted(i for i, u, _ in rows if u == rows[3][1])
+
+    sf = "/root/testdata/sf0.001"
+    whole, index = warc.op10_warc(spark, sf).count(), warc.write_index
+    assert whole == spark.read.parquet(f"{sf}/pages.parquet").count()
+
+    def less(archives):
+        blocks, directory = index(archives)
+        return blocks, directory.where(F.col("block_id") != directory.first().block_id)
+
+    monkeypatch.setattr(warc, "write_index", less)
+    assert warc.op10_warc(spark, sf).count() < whole
+
+
 def test_empty(spark):
     archives = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read_ranges(archives, warc.captures(warc.write_index(archives)[0])).count() == 0
