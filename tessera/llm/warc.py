@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,11 +51,11 @@ def _key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + (f":{port}" if port not in (None, 80, 443) else "") + ")" + tail.lower()
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
-    """A gzip member with one record; ``first``: the page that this one revisits, if any."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
+    """A gzip member with one record; ``first``: the page that this one revisits, if any.  A page without id has an empty one in its urn."""
     clean = (url or "").replace("\r", "").replace("\n", "")
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>",
+        "WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Target-URI: {clean}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}",
     ]
     if first is not None:
@@ -97,12 +98,12 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records -> archives and, for each, its captures (key, page, offset, length) as lines."""
     held: list[bytes] = []
-    lines: list[tuple[str, int, int, int]] = []
-    at = 0
+    lines: list[tuple[str, int | None, int, int]] = []
+    at, place, number = 0, TaskContext.get().partitionId(), 0
 
     def full() -> pa.RecordBatch:
         data = b"".join(held)
-        name = hashlib.sha256(data + repr(lines[0][1]).encode()).hexdigest()[:32]
+        name = hashlib.sha256(data + f"{place},{number}".encode()).hexdigest()[:32]  # equal rows can make equal archives
         kind = pa.list_(pa.struct([("key", pa.string()), ("page_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())]))
         captures = [{"key": k, "page_id": p, "offset": o, "length": n} for k, p, o, n in lines]
         return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary()), pa.array([captures], kind)], names=["archive_id", "data", "captures"])
@@ -117,7 +118,7 @@ def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += len(member)
             if at >= ARCHIVE_BYTES:
                 yield full()
-                held, lines, at = [], [], 0
+                held, lines, at, number = [], [], 0, number + 1
     if held:
         yield full()
 
@@ -127,14 +128,15 @@ def revisit(member: bytes, page: int, url: str | None, digest: str, first: int)
     return record(page, url, parse(member)[1], digest, first)
 
 
-def write_archives(pages: DataFrame) -> DataFrame:
+def write_archives(pages: DataFrame, unnamed: bool = False) -> DataFrame:
     """archive_id, data, captures.  Of equal payloads of 100 bytes or more the smallest page_id is stored; the others revisit it.
 
     A null html is an empty payload, a null url an empty key.  Rows without
-    page_id are left out.  Rows that repeat a page_id are records of their own.
+    page_id are plain responses if ``unnamed``, else left out.  Rows that
+    repeat a page_id are records of their own.
     """
     spark = pages.sparkSession
-    rec = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_digests, "page_id long, url string, digest string, size long, member binary")
+    rec = (pages if unnamed else pages.where("page_id is not null")).select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_digests, "page_id long, url string, digest string, size long, member binary")
     small = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
     first = small.where(f"size >= {LEAST}").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     rec = rec.join(first, "digest", "left").select("page_id", "url", "digest", "size", "member", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("first"))
@@ -152,7 +154,7 @@ def write_index(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
         held: list[tuple] = []
 
         def block(rows: list[tuple]) -> pa.RecordBatch:
-            text = "".join(f"{k}\t{p}\t{a}\t{o}\t{n}\n" for k, p, a, o, n in rows).encode()
+            text = "".join(f"{k}\t{'' if p is None else p}\t{a}\t{o}\t{n}\n" for k, p, a, o, n in rows).encode()
             name = hashlib.sha256(text).hexdigest()[:32]
             return pa.RecordBatch.from_pylist([{"block_id": name, "first_key": rows[0][0], "last_key": rows[-1][0], "n": len(rows), "lines": zlib.compress(text)}], schema)
 
@@ -174,7 +176,7 @@ _KINDS = {"key": pa.string(), "page_id": pa.int64(), "archive_id": pa.string(),
 
 def _lines(block: bytes, wanted: set[str] | None = None) -> pa.RecordBatch:
     """The captures of a block, of all keys or of the wanted ones."""
-    rows = [line.split("\t") for line in zlib.decompress(block).decode().split("\n")[:-1]]
+    rows = [[x or None if i == 1 else x for i, x in enumerate(line.split("\t"))] for line in zlib.decompress(block).decode().split("\n")[:-1]]
     cols = list(zip(*(r for r in rows if wanted is None or r[0] in wanted), strict=True)) or [()] * len(_KINDS)
     return pa.RecordBatch.from_arrays([pa.array(c, pa.string()).cast(t) for c, t in zip(cols, _KINDS.values(), strict=True)], names=list(_KINDS))
 
@@ -232,7 +234,7 @@ def read_ranges(archives: DataFrame, found: DataFrame, with_payload: bool = Fals
                 data, rows, size = data.as_buffer(), [], 0
                 for r in sorted(own, key=lambda r: r["offset"]):
                     f, p = parse(data.slice(r["offset"], r["length"]).to_pybytes())
-                    urn = lambda x: int(x.strip("<>").rpartition(":")[2]) if x else None
+                    urn = lambda x: int(n) if x and (n := x.strip("<>").rpartition(":")[2]) else None
                     rows.append({"page_id": urn(f["warc-record-id"]), "payload_bytes": int(f["x-payload-length"]), "payload_digest": f["warc-payload-digest"].partition(":")[2], "record_type": f["warc-type"], "refers_to": urn(f.get("warc-refers-to")), "payload": p if with_payload else None})
                     size += len(p)
                     if with_payload and size > 8 << 20:
@@ -253,7 +255,7 @@ def lookup(archives: DataFrame, blocks: DataFrame, directory: list[tuple[str, st
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    archives = write_archives(pages)
+    archives = write_archives(pages, unnamed=True)
     return read_ranges(archives, find(*write_index(archives), pages))
 
 

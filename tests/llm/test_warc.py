@@ -62,6 +62,15 @@ def test_query_searches_the_directory(spark, monkeypatch):
     assert warc.op10_warc(spark, sf).count() < whole
 
 
+def test_query_keeps_pages_without_id(spark, tmp_path):
+    same = "z" * 120
+    rows = [(None, "u", same), (5, "u", same), (None, None, None), (7, "v", same), (None, "u", same)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op10_warc(spark, str(tmp_path)).collect()]
+    want = [(i, len(h or ""), hashlib.sha256((h or "").encode()).hexdigest(), "revisit" if i == 7 else "response", 5 if i == 7 else None) for i, _, h in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_empty(spark):
     archives = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read_ranges(archives, warc.captures(warc.write_index(archives)[0])).count() == 0
