@@ -4,8 +4,8 @@ A payload becomes two logical streams in one physical stream: packets of 8-bit
 samples, and an index with a packet for every 16 of those (their CRC-32s).
 Pages carry lacing values, sequence numbers, granule positions (samples so far)
 and checksums.  Reading verifies the checksums, demultiplexes by serial number,
-reassembles packets that span pages from the lacing values, and derives times
-from granule positions.
+reassembles packets that span pages from the lacing values, and derives the
+start and end time of every packet from the granule positions of the pages.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ def write(payload: bytes) -> bytes:
 
 
 def demultiplex(data: bytes) -> dict[int, dict]:
-    """Per serial number: packets, granules of their pages, pages.  A bad checksum, a gap or an open packet raises."""
+    """Per serial number: packets, the page that each ends in, granules of the pages (-1: no packet ends).  A bad checksum, a gap or an open packet raises."""
     streams: dict[int, dict] = {}
     at = 0
     while at < len(data):
@@ -75,19 +75,18 @@ def demultiplex(data: bytes) -> dict[int, dict]:
         stop = at + 27 + n + sum(lace)
         if magic != b"OggS" or version or stop > len(data) or checksum(data[at : at + 22] + b"\0\0\0\0" + data[at + 26 : stop]) != crc:
             raise ValueError(f"damaged page at byte {at}")
-        s = streams.setdefault(serial, {"packets": [], "granule": 0, "pages": 0, "open": [], "ended": False})
-        if sequence != s["pages"] or bool(flags & 1) != bool(s["open"]):
+        s = streams.setdefault(serial, {"packets": [], "ends": [], "granules": [], "open": [], "ended": False})
+        if sequence != len(s["granules"]) or bool(flags & 1) != bool(s["open"]):
             raise ValueError(f"page out of sequence at byte {at}")
-        s["pages"] += 1
+        s["granules"].append(granule)
         at += 27 + n
         for size in lace:
             s["open"].append(data[at : at + size])
             at += size
             if size < 255:
                 s["packets"].append(b"".join(s["open"]))
+                s["ends"].append(sequence)
                 s["open"] = []
-        if granule >= 0:
-            s["granule"] = granule
         s["ended"] = bool(flags & 4)
     for s in streams.values():
         if s["open"] or not s["ended"]:
@@ -95,6 +94,31 @@ def demultiplex(data: bytes) -> dict[int, dict]:
     return streams
 
 
+def spans(stream: dict, lengths: list[int]) -> list[tuple[int, int]]:
+    """Start and end, in samples, of every packet of a stream, given how many samples each lasts.
+
+    A page's granule is the end of the last packet that it completes.  Those
+    before it end where the next one starts; a granule that does not follow
+    from the one before raises.  A last packet may be cut short by its granule.
+    """
+    out: list[tuple[int, int]] = []
+    at = k = 0
+    for page, granule in enumerate(stream["granules"]):
+        first = k
+        while k < len(lengths) and stream["ends"][k] == page:
+            k += 1
+        if (granule < 0) != (k == first):
+            raise ValueError("a page's granule does not fit its packets")
+        for j in range(first, k):
+            end = granule if j == k - 1 else at + lengths[j]
+            short = j == len(lengths) - 1 and at < end <= at + lengths[j]
+            if end != at + lengths[j] and not short:
+                raise ValueError("granules and packets differ")
+            out.append((at, end))
+            at = end
+    return out
+
+
 def read(data: bytes) -> tuple[bytes, dict]:
     """(payload, features) of a stream written by ``write``."""
     streams = demultiplex(data)
@@ -103,9 +127,21 @@ def read(data: bytes) -> tuple[bytes, dict]:
     rate, size = struct.unpack_from("<IQ", sound["packets"][0], 9)
     payload = b"".join(sound["packets"][1:])
     own = b"".join(struct.pack("<I", zlib.crc32(p)) for p in sound["packets"][1:])
-    if len(payload) != size or sound["granule"] != size or own != b"".join(index["packets"][1:]):
+    if len(payload) != size or own != b"".join(index["packets"][1:]):
         raise ValueError("the index does not fit the samples")
-    return payload, {"pages": sum(s["pages"] for s in streams.values()), "packets": sum(len(s["packets"]) for s in streams.values()), "seconds": sound["granule"] / rate}
+    times = [
+        [(a / rate, b / rate) for a, b in spans(sound, [0] + [len(p) for p in sound["packets"][1:]])],
+        [(a / rate, b / rate) for a, b in spans(index, [0] + [len(p) // 4 * PACKET for p in index["packets"][1:]])],
+    ]
+    if times[0][-1][1] != size / rate or times[1][-1][1] != size / rate:
+        raise ValueError("granules and samples differ")
+    pages, packets = (sum(len(s[k]) for s in streams.values()) for k in ("granules", "packets"))
+    return payload, {"pages": pages, "packets": packets, "seconds": times[0][-1][1], "times": times}
+
+
+def digest(times: list[list[tuple[float, float]]]) -> str:
+    """A short digest of the start and end times of the packets of both streams."""
+    return hashlib.sha256(b"".join(struct.pack("<I", len(t)) + b"".join(struct.pack("<dd", *x) for x in t) for t in times)).hexdigest()[:16]
 
 
 def padded(text: bytes) -> bytes:
@@ -136,7 +172,7 @@ def from_media(media: DataFrame) -> DataFrame:
             for i, n, x in zip(batch.column("doc_id"), batch.column("n_bytes"), batch.column("media"), strict=True):
                 data = x.as_buffer().to_pybytes()
                 p, f = read(data)
-                rows.append((i.as_py(), n.as_py(), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"pages={f['pages']};packets={f['packets']};seconds={f['seconds']:.3f}"))
+                rows.append((i.as_py(), n.as_py(), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"pages={f['pages']};packets={f['packets']};seconds={f['seconds']:.3f};times={digest(f['times'])}"))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], t.type) for t in schema], schema=schema)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -35,6 +35,24 @@ def test_round_trip(n):
             ogg.read(bytes(bad))
 
 
+@pytest.mark.parametrize("n", [64, 4000 * 16, 4000 * 40 + 64, 1 << 20])
+def test_times_of_packets(spark, n):
+    payload = random.Random(n).randbytes(n)
+    data = ogg.write(payload)
+    sound, index = ogg.read(data)[1]["times"]
+    cut = lambda size: [(0.0, 0.0)] + [(a / ogg.RATE, min(n, a + size) / ogg.RATE) for a in range(0, n, size)]
+    assert sound == cut(ogg.PACKET) and index == cut(16 * ogg.PACKET)
+    for s in ogg.demultiplex(data).values():
+        ended = [g for g in s["granules"] if g >= 0]
+        assert len(s["ends"]) == len(s["packets"]) and ended == sorted(ended) and ended[-1] == n
+        wrong = [g + 1 if i == len(s["granules"]) // 2 else g for i, g in enumerate(s["granules"])]
+        with pytest.raises(ValueError):  # a granule that no packet leads to
+            ogg.spans(s | {"granules": wrong}, [0] + [ogg.PACKET] * (len(s["packets"]) - 2) + [1] * (len(s["packets"]) > 1))
+    text = spark.createDataFrame([(1, "x" * n)], "doc_id long, text string")
+    feature = ogg.from_media(ogg.to_media(text)).first().feature
+    assert feature.endswith("times=" + ogg.digest([sound, index]))
+
+
 def test_frame(spark):
     rows = [(1, None), (2, ""), (3, "é" * 50), (3, "é" * 50), (None, "x" * 64), (5, "long " * 60000)]
     df = spark.createDataFrame([(i, t, b"", "f") for i, t in rows], "doc_id long, text string, media binary, feature string")
