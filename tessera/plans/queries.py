@@ -465,14 +465,19 @@ def flow_area(spark: SparkSession, d: str) -> DataFrame:
     return terrain.drainage(cells(spark, d).withColumn("grid", F.expr("x div 32 + 2 * (y div 32)")))
 
 
+#: The reference's rounds of cutting and of settling, and its droplets a cell.
+_ROUNDS = 80 + 12
+_DROPLETS = 3
+
+
 @query()
 def incision(spark: SparkSession, d: str) -> DataFrame:
-    return terrain.on_grids(cells(spark, d).withColumn("grid", F.expr("x div 32 + 2 * (y div 32)")), lambda h: {"bed": terrain.incise(h, 2, 0.01)}, "bed double", "grid")
+    return terrain.on_grids(cells(spark, d).withColumn("grid", F.expr("x div 32 + 2 * (y div 32)")), lambda h: {"bed": terrain.incise(h, _ROUNDS, 0.01)}, "bed double", "grid")
 
 
 @query()
 def droplet_erosion(spark: SparkSession, d: str) -> DataFrame:
-    return terrain.on_grids(cells(spark, d).withColumn("grid", F.expr("x div 32 + 2 * (y div 32)")), lambda h: {"h": terrain.droplets(h, 200)}, "h double", "grid")
+    return terrain.on_grids(cells(spark, d).withColumn("grid", F.expr("x div 32 + 2 * (y div 32)")), lambda h: {"h": terrain.droplets(h, _DROPLETS * h.size)}, "h double", "grid")
 
 
 @query()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import crs, grid, materials, noise, text
 from tessera.operators import rays, terrain, vector
+from tessera.plans import queries
 from tessera.sources import catalog
 from tessera.streaming import track
 
@@ -93,6 +94,17 @@ def test_flood_and_accumulation():
     assert math.isclose(terrain.droplets(h, 100).sum(), h.sum())
 
 
+def test_erosion_covers_its_grids(spark):
+    sf = "/root/testdata/sf0.001"
+    c = queries.cells(spark, sf).toPandas()
+    c = c[(c["x"] < 32) & (c["y"] < 32)]
+    h = np.full((32, 32), float(c["h"].min()))
+    h[c["y"], c["x"]] = c["h"]
+    for q, column, want in ((queries.droplet_erosion, "h", terrain.droplets(h, 3 * 32 * 32)), (queries.incision, "bed", terrain.incise(h, 80 + 12, 0.01))):
+        got = q(spark, sf).where("grid = 0").toPandas()
+        assert len(got) == h.size and np.allclose(got.sort_values(["y", "x"])[column], want.ravel())
+
+
 def test_nearest_ids():
     ids = np.where(RNG.random((15, 18)) < 0.1, RNG.integers(1, 9, (15, 18)), 0)
     out = terrain.nearest_ids(ids, ids > 0, 30)
