@@ -7,11 +7,15 @@ document); candidate pairs are compared by counting equal nibbles, corrected
 for chance collisions, and those that may reach the threshold are confirmed on
 full sets.
 
-No bucket is expanded into its pairs.  Identical sets are one vertex.  Every
-other vertex is first checked against the smallest vertex it shares a key with;
-then, as long as that finds links, every member of a bucket against the one of
-another component that its signature is nearest to.  Pairs of a bucket that are
-in different components after that are confirmed one by one.
+No bucket is expanded into its pairs, and what a task emits is linear in the
+members it reads.  Identical sets are one vertex, buckets with the same members
+one bucket.  First every member is confirmed against the member that its
+signature is nearest to in its list (a bucket's members are dealt into lists of
+bounded length) and, where a bucket has several lists, against the bucket's
+most central member.  Buckets that then still touch several components are
+settled whole: their lists travel with the full sets, pairs across components
+are confirmed inside the task, and only the links that join two components
+(a spanning forest) leave it.
 """
 
 from __future__ import annotations
@@ -24,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import discard, mix, shingles, stage, text_slices, word_hashes
+from .shared import discard, lean, mix, shingles, skew_join, stage, text_slices, word_hashes
 
 HASHES, BANDS, ROWS, BITS = 256, 32, 4, 4
 #: A pair whose estimate is this far (over five standard deviations of the estimate) below the threshold is not confirmed.
 SLACK = 0.14
-#: Members of a bucket are compared list by list; a list is about this long.
-LIST = 256
+#: Members of a bucket are compared list by list; a list has about this many members and shingles.
+LIST, LIST_ITEMS = 256, 1 << 19
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -84,6 +88,7 @@ def fitting(n: np.ndarray, m: np.ndarray | int, threshold: float) -> np.ndarray:
 _FEATURES = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sig binary"
 
 
+@lean
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
     for batch in batches:
@@ -105,6 +110,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@lean
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ids, data, offs in text_slices(batch.column(0), batch.column(1)):
@@ -124,6 +130,7 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 def _estimated(threshold: float):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -134,118 +141,197 @@ def _estimated(threshold: float):
     return run
 
 
+def linked(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sorted sets are linked with the sorted set x."""
+    size = np.array([len(o) for o in others])
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+    same = np.add.reduceat((x[at] == flat).astype(np.int64), np.cumsum(size) - size)
+    return 100 * same >= percent * (len(x) + size - same)
+
+
 def _confirmed(percent: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("ia"), batch.column("ib"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((p, q))
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * same >= percent * (len(p) + len(q) - same))
+            ok = [bool(linked(np.frombuffer(x.as_buffer(), np.uint64), [np.frombuffer(y.as_buffer(), np.uint64)], percent)[0]) for x, y in zip(batch.column("ia"), batch.column("ib"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _across(threshold: float, nearest: bool):
-    """Pairs of different components of two lists of a bucket that may reach the threshold; ``nearest``: a member's best only."""
-    take = lambda col, i: (np.asarray(col[i].values.field("doc_id")), np.asarray(col[i].values.field("component")), np.asarray(col[i].values.field("n_shingles")), _matrix(col[i].values.field("sig")))
-
+@lean
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each member of a list: the member that its signature is nearest to, and its mean similarity to the list."""
+    for batch in batches:
+        out: list[tuple[np.ndarray, ...]] = []
+        for i in range(batch.num_rows):
+            rows = batch.column("members")[i].values
+            doc, sig = np.asarray(rows.field("doc_id")), _matrix(rows.field("sig"))
+            best, score, mean = np.empty_like(doc), np.empty(len(doc)), np.empty(len(doc))
+            for m in range(len(doc)):
+                est = estimate(sig[m], sig)
+                mean[m] = est.mean()
+                est[doc == doc[m]] = -2.0
+                at = int(est.argmax())
+                best[m], score[m] = doc[at], est[at]
+            out.append((np.full(len(doc), batch.column("key")[i].as_py()), doc, best, score, mean))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "a", "b", "est", "mean"])
+
+
+def forest(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, items: list[np.ndarray], few: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join different components: of the members ``few`` with all, or of all with all where ``few`` holds every one.
+
+    Signatures choose what is compared, full sets decide.  Components grow with
+    each link, and pairs inside one are not compared any more.
+    """
+    comp, threshold, out = comp.copy(), percent / 100, []
+    everyone = len(few) == len(doc)
+    for i in few:
+        hit = comp != comp[i]
+        if everyone:
+            hit[:i] = False
+        hit = np.flatnonzero(hit & fitting(n, n[i], threshold))
+        if len(hit):
+            hit = hit[estimate(sig[i], sig[hit]) >= threshold - SLACK]
+        if not len(hit):
+            continue
+        for j in hit[linked(items[i], [items[j] for j in hit], percent)]:
+            if comp[j] != comp[i]:
+                comp[comp == comp[j]] = comp[i]
+                out.append((int(doc[i]), int(doc[j])))
+    return out
+
+
+def _settled(percent: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[np.ndarray, ...]] = []
+            out: list[tuple[int, int]] = []
             for i in range(batch.num_rows):
-                od, oc, on, os = take(batch.column("others"), i)
-                for doc, comp, n, sig in zip(*take(batch.column("members"), i), strict=True):
-                    hit = np.flatnonzero((oc != comp) & fitting(on, n, threshold))
-                    if not len(hit):
-                        continue
-                    est = estimate(sig, os[hit])
-                    near = est >= threshold - SLACK
-                    hit, est = hit[near], est[near]
-                    if nearest and len(hit):
-                        best = int(est.argmax())
-                        hit, est = hit[best : best + 1], est[best : best + 1]
-                    if m := len(hit):
-                        out.append((np.full(m, doc), od[hit], np.full(m, comp), oc[hit], est))
-            cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "ca", "cb", "est"])
+                rows = batch.column("members")[i].values
+                doc, comp, n, other = (np.asarray(rows.field(c)) for c in ("doc_id", "component", "n_shingles", "other"))
+                items = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.field("items")]
+                few = np.flatnonzero(other) if other.any() else np.arange(len(doc))
+                out += forest(doc, comp, n, _matrix(rows.field("sig")), items, few, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
+_SET = ["f1", "f2", "n_shingles"]
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest id reachable), kept.
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their
     shingle sets.  Null and empty texts have no shingles and are linked with
     nothing; texts under five words are one shingle.  Identical texts always
-    link.  A row whose id is null takes no part in links and keeps itself.
-    Rows that repeat an id are one vertex with the set of each of its rows
-    linked to it.  Other columns of ``docs`` are ignored.
+    link.  A row whose id is null takes no part in links, has a null component
+    and is kept.  Rows that repeat an id are one vertex that has the sets of all
+    of them.  Other columns of ``docs`` are ignored, whatever their names.
     """
     spark: SparkSession = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     feat = stage(spark, slim.mapInArrow(_features, _FEATURES), "minhash")
-    threshold = percent / 100
-    # identical sets are one vertex
-    first = feat.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("vertex"))
-    own = stage(spark, feat.drop("bands", "sig").join(first, ["f1", "f2", "n_shingles"], "left").select("doc_id", "n_shingles", "vertex"), "vertices")
-    vert = feat.join(own.where("vertex = doc_id").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "bands", "sig", "n_shingles")
-    keyed = vert.select("doc_id", F.explode("bands").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last")
-    cand = stage(spark, keyed.join(heads.select("key", "head"), "key"), "candidates")
-    if not cand.take(1):
-        discard(feat, cand)
-        return _labelled(own, None)
-    sigs = stage(spark, vert.select("doc_id", "sig", "n_shingles").join(cand.select("doc_id").distinct(), "doc_id", "left_semi"), "signatures")
-    sets = slim.where("doc_id is not null").join(sigs.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items binary")
-    sets = stage(spark, sets, "sets", "none")
-    discard(feat)
-    spent = [cand, sigs, sets]
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("ia")), "a")
-        return x.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("ib")), "b").mapInArrow(_confirmed(percent), "a long, b long")
-
-    def signed(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na")), "a")
-        return x.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb")), "b").mapInArrow(_estimated(threshold), "a long, b long")
-
-    def across(label: DataFrame, nearest: bool) -> DataFrame:
-        """Untested pairs of a bucket in different components: each member's nearest, or all."""
-        placed = cand.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("main"), F.max("component").alias("top"), F.count(F.lit(1)).alias("n")).where("main < top").select("key", "main", "n")
-        around = placed.join(open_keys, "key").join(sigs, "doc_id").withColumn("list", F.expr(f"pmod(xxhash64(doc_id), n div {LIST} + 1)"))
-        member = F.struct("doc_id", "component", "sig", "n_shingles")
-        lists = around.groupBy("key", "list").agg(F.collect_list(member).alias("members"), F.collect_list(F.when(F.col("component") != F.col("main"), member)).alias("others"))
-        others = lists.where(F.size("others") > 0).select("key", "others")
-        pairs = lists.select("key", "members").join(others, "key").mapInArrow(_across(threshold, nearest), "a long, b long, ca long, cb long, est double")
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.greatest("ca", "cb").alias("ca"), F.least("ca", "cb").alias("cb"), "est").distinct()
-        if nearest:
-            pairs = pairs.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b")
-        return stage(spark, pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "across")
-
-    tested = stage(spark, cand.where("doc_id > head").groupBy(F.col("doc_id").alias("a")).agg(F.min("head").alias("b")), "star")
-    links = stage(spark, confirm(signed(tested)), "links")
-    label, nearest = components(spark, links), True
-    spent += [tested, links]
-    while True:
-        pairs = across(label, nearest)
-        some = bool(pairs.take(1))
-        found = stage(spark, confirm(pairs), "links") if some else None
-        spent += [t for t in (pairs, found) if t is not None]
-        if some and found.take(1):
-            links, tested = links.unionByName(found), tested.unionByName(pairs)
-            label = components(spark, links)
-        elif some:
-            tested = tested.unionByName(pairs)
-        if not nearest:
-            discard(*spent)
-            return _labelled(own, label)
-        nearest = some and bool(found.take(1))
+    own = _vertices(spark, feat)
+    alone = own.where("doc_id = vertex").select("doc_id", "n_shingles").distinct()
+    vert = feat.where("n_shingles > 0").join(alone, ["doc_id", "n_shingles"], "left_semi").select("doc_id", "bands", "sig", "n_shingles")
+    keyed = vert.select("doc_id", F.explode("bands").alias("key")).distinct()
+    marks = [F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.sum(F.hash("doc_id").cast("long")).alias("m1"), F.bit_xor(F.xxhash64("doc_id")).alias("m2")]
+    buckets = keyed.groupBy("key").agg(*marks).where("n > 1").groupBy("n", "head", "last", "m1", "m2").agg(F.min("key").alias("key"))
+    buckets = stage(spark, buckets.select("key", "n", "head", "last"), "buckets")
+    spent = [feat, own, buckets]
+    several = own.groupBy("doc_id").agg(F.min("vertex").alias("low"), F.max("vertex").alias("high")).where("low < high").select("doc_id")
+    links = own.select("doc_id", "vertex").distinct().join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("vertex").alias("b")).where("a <> b")
+    label = None
+    if buckets.take(1):
+        more = buckets.where("n > 2").select("key", "n")
+        cand = stage(spark, skew_join(keyed, more, ["key"], more, "doc_id").select("key", "n", "doc_id"), "candidates")
+        two = buckets.where("n = 2").select(F.col("last").alias("a"), F.col("head").alias("b"))
+        docs_in = cand.select("doc_id").union(two.select("a")).union(two.select("b")).distinct()
+        sigs = stage(spark, vert.select("doc_id", "sig", "n_shingles").join(docs_in, "doc_id", "left_semi"), "signatures")
+        sets = slim.where("doc_id is not null").join(sigs.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items binary")
+        sets = stage(spark, sets, "sets", "none")
+        pairs = stage(spark, two.unionByName(_chosen(cand, sigs)).distinct(), "pairs")
+        near = stage(spark, _signed(pairs, sigs, percent), "near")
+        found = stage(spark, _compared(near, sets, percent).unionByName(links), "links")
+        label = components(spark, found)
+        late = stage(spark, _open(cand, sigs, sets, label, percent), "late")
+        if late.take(1):
+            label = components(spark, label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
+        spent += [cand, sigs, sets, pairs, near, found, late]
+    elif links.take(1):
+        label = components(spark, links)
+    out = _labelled(own, label)
+    if label is not None:
+        out = stage(spark, out, "near_duplicates")
+        discard(*spent)
+    return out
+
+
+def _vertices(spark: SparkSession, feat: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, vertex: the smallest id with the same set; null without shingles or id."""
+    copies = feat.where("n_shingles > 0 and doc_id is not null").groupBy(*_SET).agg(F.min("doc_id").alias("vertex"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = stage(spark, copies, "copies")
+    own = skew_join(feat.select("doc_id", *_SET), copies.drop("n"), _SET, copies.select(*_SET, "n"), "doc_id", "left")
+    vertex = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("vertex", "doc_id")))
+    return stage(spark, own.select("doc_id", "n_shingles", vertex.alias("vertex")), "vertices")
+
+
+def _chosen(cand: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(a, b): each member with the nearest of its lists, and with the most central member of a bucket of several lists."""
+    dealt = cand.withColumn("lists", F.expr(f"n div {LIST} + 1")).withColumn("list", F.expr("pmod(xxhash64(doc_id), lists)"))
+    lists = dealt.join(sigs, "doc_id").groupBy("key", "list").agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
+    near = stage(cand.sparkSession, lists.mapInArrow(_nearest, "key long, a long, b long, est double, mean double"), "nearest")
+    best = near.where(f"est > {-1.5}").groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
+    wide = dealt.where("lists > 1").select("key", "doc_id", "n")
+    centre = near.groupBy("key").agg(F.max_by("a", F.struct("mean", "a")).alias("centre"), F.max("mean").alias("mean"))
+    to_centre = skew_join(wide.drop("n"), centre, ["key"], wide.groupBy("key").agg(F.max("n").alias("n")), "doc_id")
+    to_centre = to_centre.where("doc_id <> centre").groupBy(F.col("doc_id").alias("a")).agg(F.max_by("centre", F.struct("mean", "centre")).alias("b"))
+    return best.unionByName(to_centre)
+
+
+def _signed(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose signatures and set sizes leave them a chance."""
+    x = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na")), "a")
+    x = skew_join(x, sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb")), ["b"], pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "a")
+    return x.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_estimated(percent / 100), "a long, b long").distinct()
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that are linked, by their full sets."""
+    x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("ia")), "a")
+    x = skew_join(x, sets.select(F.col("doc_id").alias("b"), F.col("items").alias("ib")), ["b"], pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "a")
+    return x.select("a", "b", "ia", "ib").mapInArrow(_confirmed(percent), "a long, b long")
+
+
+def _open(cand: DataFrame, sigs: DataFrame, sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across components inside buckets that touch several.
+
+    Members outside a bucket's largest component (its others) meet all members:
+    lists of others travel to every list of members.
+    """
+    sized = sigs.groupBy("doc_id").agg(F.max("n_shingles").alias("size"))
+    placed = cand.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(sized, "doc_id").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), "size")
+    placed = stage(cand.sparkSession, placed, "placed")
+    parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("w"))
+    still = parts.groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("top"), F.sum("w").alias("w"), F.max_by("component", F.struct("c", "component")).alias("main"), F.max_by("w", F.struct("c", "component")).alias("wm")).where("n > top")
+    lists = F.greatest(F.expr(f"n div {LIST}"), F.expr(f"w div {LIST_ITEMS}")) + 1
+    groups = F.greatest(F.expr(f"(n - top) div {LIST}"), F.expr(f"(w - wm) div {LIST_ITEMS}")) + 1
+    still = stage(cand.sparkSession, still.select("key", "n", "main", lists.alias("lists"), groups.alias("groups")), "open")
+    around = skew_join(placed.drop("size"), still.drop("n"), ["key"], still.select("key", "n"), "doc_id")
+    single, each = F.col("lists") == 1, lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    base = ["key", "doc_id", "component"]
+    whole = around.where(single).select(*base, F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(False).alias("other"))
+    around = around.where(~single)
+    members = around.select(*base, F.expr("pmod(xxhash64(doc_id), lists)").alias("i"), each("groups").alias("j"), F.lit(False).alias("other"))
+    others = around.where("component <> main").withColumn("j", F.expr("pmod(xxhash64(doc_id), groups)")).select(*base, each("lists").alias("i"), "j", F.lit(True).alias("other"))
+    rows = whole.unionByName(members).unionByName(others).join(sigs.select("doc_id", "sig", "n_shingles"), "doc_id").join(sets, "doc_id")
+    lists = rows.groupBy("key", "i", "j").agg(F.collect_list(F.struct("doc_id", "component", "n_shingles", "sig", "items", "other")).alias("members"))
+    return lists.select("members").mapInArrow(_settled(percent), "a long, b long").distinct()
 
 
 def _labelled(own: DataFrame, label: DataFrame | None) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: UTF-8 bytes are handled in slices of about this size, so that the working arrays stay in cache.
 SLICE_BYTES = 1 << 21
@@ -45,6 +49,28 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """left join right on columns of which a few values may hold much of ``left``.
+
+    ``counts`` (on, n) says how often left holds a key; keys may be left out if
+    they are rare.  Keys with over a thousandth of all counted rows are dealt
+    over as many salts, by the hash of ``by``, and their rows of ``right`` are
+    repeated once a salt.  There are under 1000 such keys and 2000 repeats, so
+    their table is broadcast.
+    """
+    spark = left.sparkSession
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    share = max(total // 1000, 64)
+    hot = counts.where(F.col("n") > share).select(*on, (F.floor(F.col("n") / share) + 1).cast("long").alias("__salts")).collect()
+    if not hot:
+        return left.join(right, on, how)
+    kind = counts.select(*on, F.lit(1).cast("long").alias("__salts")).schema
+    hot = F.broadcast(spark.createDataFrame(hot, kind))
+    left = left.join(hot, on, "left").withColumn("__salt", F.coalesce(F.expr(f"pmod(xxhash64({by}), __salts)"), F.lit(0))).drop("__salts")
+    right = right.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("__salts"), F.lit(1)) - 1))).drop("__salts")
+    return left.join(right, [*on, "__salt"], how).drop("__salt")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -70,6 +96,27 @@ def text_slices(ids: pa.Array, texts: pa.Array, limit: int = SLICE_BYTES) -> Ite
         i = j
 
 
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A batch function whose task gives its memory back to the system when it ends; workers are reused for other tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
 # --- words -----------------------------------------------------------------
 
 _RNG = np.random.default_rng(20240607)
