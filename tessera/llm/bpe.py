@@ -22,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import lean
+
 #: Encoded words, and pre-tokens, that a worker remembers between batches; beyond it, it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED, ENTRY, LONG = 48 << 20, 400, 64
 
 
 _BIT = [1 << i for i in range(256)]
@@ -111,6 +113,7 @@ class Codec:
         self.by_text = {str(v): k for k, v in self.ranks.items()}
         self.pieces: dict[str, str] = {}
         self.memo: dict[str, tuple[str, bytes]] = {}
+        self.held = [0, 0]
 
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.split(text) for i in merge(piece.encode(), self.ranks)]
@@ -121,9 +124,13 @@ class Codec:
         for p in self.split(chunk):
             t = self.pieces.get(p)
             if t is None:
-                if len(self.pieces) >= REMEMBERED:
-                    self.pieces.clear()
-                t = self.pieces[p] = ",".join(map(str, merge(p.encode(), self.ranks)))
+                t = ",".join(map(str, merge(p.encode(), self.ranks)))
+                if len(p) <= LONG:
+                    self.held[0] += ENTRY
+                    if self.held[0] > REMEMBERED:
+                        self.pieces.clear()
+                        self.held[0] = ENTRY
+                    self.pieces[p] = t
             ids.append(t)
         t = ",".join(ids)
         return t, self.decode_text(t)
@@ -143,14 +150,17 @@ class Codec:
             chunks = [" " + x for x in rest]
             if first:
                 chunks.insert(0, first)
-        memo = self.memo
+        memo, long = self.memo, {}
         missing = set(chunks).difference(memo)
-        if len(memo) + len(missing) > REMEMBERED:
+        if self.held[1] + len(missing) * ENTRY > REMEMBERED:
             memo.clear()
-            missing = set(chunks)
+            self.held[1], missing = 0, set(chunks)
         for c in missing:
-            memo[c] = self._chunk(c)
-        ids, raw = zip(*map(memo.__getitem__, chunks), strict=True)
+            (memo if len(c) <= LONG else long)[c] = self._chunk(c)
+        self.held[1] = len(memo) * ENTRY
+        if self.held[1] > REMEMBERED:  # one text with very many different words
+            self.memo, self.held[1] = {}, 0
+        ids, raw = zip(*map((memo | long if long else memo).__getitem__, chunks), strict=True)
         return ",".join(ids), b"".join(raw)
 
     def decode_text(self, ids: str) -> bytes:
@@ -173,6 +183,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     """
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
@@ -198,6 +209,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     """doc_id and the bytes that the ids stand for; null ids give no bytes, ids outside the vocabulary fail."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 

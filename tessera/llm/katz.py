@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, mix, pack, partitions, stage, text_slices, unpack, word_hashes
+from .shared import discard, lean, mix, pack, partitions, stage, text_slices, unpack, word_hashes
 
 MOST = 5  # larger counts are reliable
 GIVE = 0.01
@@ -151,6 +151,7 @@ def _encode(limit: int):
         blob = pack(word=spread(word), at=narrow(at[:-1]), id=np.concatenate(ids), n=slim(n + 1), train=np.concatenate(train).astype(np.uint8))
         return _table(_BATCH, [{"key": batch, "tokens": blob}]).to_batches()[0]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch, held, have = TaskContext.get().partitionId() << 32, ([], [], [], []), 0
         for rb in batches:
@@ -191,6 +192,7 @@ _ASK = "key long, origin long, asked binary"
 def _ask(buckets: int, pairs: bool):
     """Batches -> their distinct pairs (or words) by bucket, with how often they are to be learned from."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for batch, blob in zip(rb.column("key").to_pylist(), rb.column("tokens"), strict=True):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BYTE_EXACT, BYTE_WORD, LOWER, prefix_hash, range_hash, text_slices
+from .shared import BYTE_EXACT, BYTE_WORD, LOWER, lean, prefix_hash, range_hash, text_slices
 
 #: Documents a language that the model learns from, about.
 TRAIN_DOCS = 300
@@ -267,6 +267,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import lean
+
 RATE = 8000
 PACKET = 4000
 PAGE_SEGMENTS = 255
@@ -152,6 +154,7 @@ def padded(text: bytes) -> bytes:
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and media (the Ogg bytes) of every row; null texts count as empty; other columns are ignored."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in range(0, batch.num_rows, 512):
@@ -166,6 +169,7 @@ def from_media(media: DataFrame) -> DataFrame:
     """What the stored bytes hold, with digests and features; rows are independent, damaged bytes raise."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BYTE_EXACT, mix, prefix_hash, range_hash, shingles, text_slices, word_spans
+from .shared import BYTE_EXACT, lean, mix, prefix_hash, range_hash, shingles, text_slices, word_spans
 
 SPACE_BITS = 19
 #: Rows of each label that the model is fitted on, at most.
@@ -157,6 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows_p
     few = F.broadcast(spark.createDataFrame(chosen, "doc_id long, y int"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offs in text_slices(pa.array(range(batch.num_rows)), batch.column("text")):
@@ -178,6 +179,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("score")
     schema = docs.withColumn("score", F.lit(0.0)).schema
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, out = batch.schema.get_field_index("text"), [np.zeros(0)]

@@ -140,7 +140,7 @@ def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
         full = np.full(max(n, SLICE_BYTES + 4096), base, np.uint64)
         full[0] = 1
         have = np.multiply.accumulate(full)
-        if len(have) <= 4 * SLICE_BYTES:
+        if len(have) <= SLICE_BYTES + 4096:  # those for a longer text are not kept
             _powers[str(base)] = have
     return have[:n]
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BYTE_EXACT, by_bucket, mix, pack, partitions, prefix_hash, range_hash, stage, text_slices, unpack
+from .shared import BYTE_EXACT, by_bucket, lean, mix, pack, partitions, prefix_hash, range_hash, stage, text_slices, unpack
 
 LENGTH, ANCHOR = 100, 40
 BEFORE = LENGTH - ANCHOR
@@ -92,6 +92,7 @@ def _settle(doc: np.ndarray, pos: np.ndarray, anchor: np.ndarray, context: np.nd
 
 
 def _scan(buckets: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
@@ -208,6 +209,7 @@ def _mark(keep_text: bool):
 def _contexts(buckets: int):
     """Open rows -> the bytes around each open anchor, by bucket."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             A, D, P, B, R, S = [], [], [], [], [], []

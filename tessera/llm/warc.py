@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import partitions, stage
+from .shared import lean, partitions, stage
 
 ARCHIVE_BYTES = 4 << 20
 BLOCK_LINES = 1024
@@ -81,6 +81,7 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     return fields, payload
 
 
+@lean
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages -> digest, size and the whole record as a response, compressed before anything is shuffled."""
     names = ["page_id", "url", "digest", "size", "member"]
@@ -95,6 +96,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=names)
 
 
+@lean
 def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records -> archives and, for each, its captures (key, page, offset, length) as lines."""
     held: list[bytes] = []
@@ -150,6 +152,7 @@ def write_index(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = lines.repartitionByRange(partitions(spark), "key", "page_id").sortWithinPartitions("key", "page_id", "archive_id", "offset")
     schema = pa.schema([("block_id", pa.string()), ("first_key", pa.string()), ("last_key", pa.string()), ("n", pa.int32()), ("lines", pa.binary())])
 
+    @lean
     def pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
@@ -184,6 +187,7 @@ def _lines(block: bytes, wanted: set[str] | None = None) -> pa.RecordBatch:
 def captures(blocks: DataFrame) -> DataFrame:
     """key, page_id, archive_id, offset, length of every line of index blocks."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column("lines").to_pylist():
@@ -206,12 +210,14 @@ def find(blocks: DataFrame, directory: DataFrame, pages: DataFrame) -> DataFrame
     table = sorted((r["first_key"], r["last_key"], r["block_id"]) for r in directory.collect())
     shared = pages.sparkSession.sparkContext.broadcast(tuple(list(c) for c in zip(*table, strict=True)) or ([], [], []))
 
+    @lean
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         firsts, lasts, names = shared.value
         for batch in batches:
             hits = [(names[i], k) for k in {url_key(u) for u in batch.column("url").to_pylist()} for i in named(firsts, lasts, k)]
             yield pa.RecordBatch.from_arrays([pa.array([h[j] for h in hits], pa.string()) for j in (0, 1)], names=["block_id", "key"])
 
+    @lean
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, keys in zip(batch.column("lines").to_pylist(), batch.column("keys").to_pylist(), strict=True):
@@ -228,6 +234,7 @@ def read_ranges(archives: DataFrame, found: DataFrame, with_payload: bool = Fals
     """The records that captures name, each read from its range of its archive."""
     ranges = found.groupBy("archive_id").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, own in zip(batch.column("data"), batch.column("ranges").to_pylist(), strict=True):
