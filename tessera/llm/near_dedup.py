@@ -13,9 +13,10 @@ one bucket.  First every member is confirmed against the member that its
 signature is nearest to in its list (a bucket's members are dealt into lists of
 bounded length) and, where a bucket has several lists, against the bucket's
 most central member.  Buckets that then still touch several components are
-settled whole: their lists travel with the full sets, pairs across components
-are confirmed inside the task, and only the links that join two components
-(a spanning forest) leave it.
+settled whole: their lists travel with the signatures, then, of members that
+signatures leave a chance, with the full sets; pairs across components are
+confirmed inside the task, and only the links that join two components (a
+spanning forest) leave it.
 """
 
 from __future__ import annotations
@@ -204,6 +205,29 @@ def forest(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, it
     return out
 
 
+def _hopeful(threshold: float):
+    """(key, doc_id) of members with a partner in another component that signatures and sizes do not rule out."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, found = [], [np.zeros(0, np.int64)]
+            for i in range(batch.num_rows):
+                rows = batch.column("members")[i].values
+                doc, comp, n, other = (np.asarray(rows.field(c)) for c in ("doc_id", "component", "n_shingles", "other"))
+                sig, near = _matrix(rows.field("sig")), np.zeros(len(doc), bool)
+                for m in np.flatnonzero(other) if other.any() else range(len(doc)):
+                    hit = np.flatnonzero((comp != comp[m]) & fitting(n, n[m], threshold))
+                    hit = hit[estimate(sig[m], sig[hit]) >= threshold - SLACK]
+                    near[hit] = True
+                    near[m] |= len(hit) > 0
+                found.append(np.unique(doc[near]))
+                keys += [batch.column("key")[i].as_py()] * len(found[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate(found))], names=["key", "doc_id"])
+
+    return run
+
+
 def _settled(percent: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,15 +259,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark: SparkSession = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    feat = stage(spark, slim.mapInArrow(_features, _FEATURES), "minhash")
-    own = _vertices(spark, feat)
-    alone = own.where("doc_id = vertex").select("doc_id", "n_shingles").distinct()
-    vert = feat.where("n_shingles > 0").join(alone, ["doc_id", "n_shingles"], "left_semi").select("doc_id", "bands", "sig", "n_shingles")
-    keyed = vert.select("doc_id", F.explode("bands").alias("key")).distinct()
+    own = _vertices(spark, stage(spark, slim.mapInArrow(_features, _FEATURES), "minhash"))
+    vert = own.where("bands is not null").select("doc_id", "bands", "sig", "n_shingles")
+    keyed = vert.select("doc_id", F.explode("bands").alias("key"))
     marks = [F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.sum(F.hash("doc_id").cast("long")).alias("m1"), F.bit_xor(F.xxhash64("doc_id")).alias("m2")]
-    buckets = keyed.groupBy("key").agg(*marks).where("n > 1").groupBy("n", "head", "last", "m1", "m2").agg(F.min("key").alias("key"))
+    buckets = keyed.groupBy("key").agg(*marks).where("head < last").groupBy("n", "head", "last", "m1", "m2").agg(F.min("key").alias("key"))
     buckets = stage(spark, buckets.select("key", "n", "head", "last"), "buckets")
-    spent = [feat, own, buckets]
+    spent = [own, buckets]
     several = own.groupBy("doc_id").agg(F.min("vertex").alias("low"), F.max("vertex").alias("high")).where("low < high").select("doc_id")
     links = own.select("doc_id", "vertex").distinct().join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("vertex").alias("b")).where("a <> b")
     label = None
@@ -253,7 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         two = buckets.where("n = 2").select(F.col("last").alias("a"), F.col("head").alias("b"))
         docs_in = cand.select("doc_id").union(two.select("a")).union(two.select("b")).distinct()
         sigs = stage(spark, vert.select("doc_id", "sig", "n_shingles").join(docs_in, "doc_id", "left_semi"), "signatures")
-        sets = slim.where("doc_id is not null").join(sigs.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items binary")
+        sets = slim.where("doc_id is not null").join(sigs.select("doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items binary")
         sets = stage(spark, sets, "sets", "none")
         pairs = stage(spark, two.unionByName(_chosen(cand, sigs)).distinct(), "pairs")
         near = stage(spark, _signed(pairs, sigs, percent), "near")
@@ -273,12 +295,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _vertices(spark: SparkSession, feat: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, vertex: the smallest id with the same set; null without shingles or id."""
+    """feat with ``vertex``, the smallest id with the same set (null without shingles or id); only the rows of that id keep bands and signature."""
     copies = feat.where("n_shingles > 0 and doc_id is not null").groupBy(*_SET).agg(F.min("doc_id").alias("vertex"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = stage(spark, copies, "copies")
-    own = skew_join(feat.select("doc_id", *_SET), copies.drop("n"), _SET, copies.select(*_SET, "n"), "doc_id", "left")
+    own = skew_join(feat, copies.drop("n"), _SET, copies.select(*_SET, "n"), "doc_id", "left")
     vertex = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("vertex", "doc_id")))
-    return stage(spark, own.select("doc_id", "n_shingles", vertex.alias("vertex")), "vertices")
+    own = own.withColumn("vertex", vertex)
+    only = lambda c: F.when(F.col("doc_id") == F.col("vertex"), F.col(c)).alias(c)
+    own = stage(spark, own.select("doc_id", "n_shingles", "vertex", only("bands"), only("sig")), "vertices")
+    discard(feat, copies)
+    return own
 
 
 def _chosen(cand: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -312,7 +338,8 @@ def _open(cand: DataFrame, sigs: DataFrame, sets: DataFrame, label: DataFrame, p
     """Links (a, b) across components inside buckets that touch several.
 
     Members outside a bucket's largest component (its others) meet all members:
-    lists of others travel to every list of members.
+    lists of others travel to every list of members, with signatures first and
+    then, where those leave a pair a chance, with the full sets.
     """
     sized = sigs.groupBy("doc_id").agg(F.max("n_shingles").alias("size"))
     placed = cand.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(sized, "doc_id").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), "size")
@@ -329,8 +356,12 @@ def _open(cand: DataFrame, sigs: DataFrame, sets: DataFrame, label: DataFrame, p
     around = around.where(~single)
     members = around.select(*base, F.expr("pmod(xxhash64(doc_id), lists)").alias("i"), each("groups").alias("j"), F.lit(False).alias("other"))
     others = around.where("component <> main").withColumn("j", F.expr("pmod(xxhash64(doc_id), groups)")).select(*base, each("lists").alias("i"), "j", F.lit(True).alias("other"))
-    rows = whole.unionByName(members).unionByName(others).join(sigs.select("doc_id", "sig", "n_shingles"), "doc_id").join(sets, "doc_id")
-    lists = rows.groupBy("key", "i", "j").agg(F.collect_list(F.struct("doc_id", "component", "n_shingles", "sig", "items", "other")).alias("members"))
+    rows = whole.unionByName(members).unionByName(others).join(sigs.select("doc_id", "sig", "n_shingles"), "doc_id")
+    fields = ["doc_id", "component", "n_shingles", "sig", "other"]
+    lists = rows.groupBy("key", "i", "j").agg(F.collect_list(F.struct(*fields)).alias("members"))
+    hope = stage(cand.sparkSession, lists.select("key", "members").mapInArrow(_hopeful(percent / 100), "key long, doc_id long").distinct(), "hope")
+    rows = rows.join(hope, ["key", "doc_id"], "left_semi").join(sets, "doc_id")
+    lists = rows.groupBy("key", "i", "j").agg(F.collect_list(F.struct(*fields, "items")).alias("members"))
     return lists.select("members").mapInArrow(_settled(percent), "a long, b long").distinct()
 
 
