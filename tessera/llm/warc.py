@@ -22,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import lean, partitions, stage
+from .shared import lean, partitions, skew_join, stage
 
 ARCHIVE_BYTES = 4 << 20
 BLOCK_LINES = 1024
+#: Blocks of a run of the directory; only the first and last key of each run (a row for 262144 captures) reach every task.
+SHELF = 256
 #: Smaller payloads are stored whole even where they repeat.
 LEAST = 100
 _END = b"\r\n"
@@ -51,12 +53,12 @@ def _key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + (f":{port}" if port not in (None, 80, 443) else "") + ")" + tail.lower()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
-    """A gzip member with one record; ``first``: the page that this one revisits, if any.  A page without id has an empty one in its urn."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, size: int | None = None) -> bytes:
+    """A gzip member with one record; ``first``: the page that this one revisits, if any (then only the payload's ``size`` matters).  A page without id has an empty one in its urn."""
     clean = (url or "").replace("\r", "").replace("\n", "")
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        f"WARC-Target-URI: {clean}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}",
+        f"WARC-Target-URI: {clean}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload) if size is None else size}",
     ]
     if first is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{first}>"]
@@ -113,8 +115,8 @@ def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "size", "member", "first")), strict=True):
             page, url, digest, size, member, first = r
-            if first is not None and first != page:
-                member = revisit(member, page, url, digest, first)
+            if first is not None:
+                member = record(page, url, b"", digest, first, size)
             held.append(member)
             lines.append((url_key(url), page, at, len(member)))
             at += len(member)
@@ -125,52 +127,56 @@ def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield full()
 
 
-def revisit(member: bytes, page: int, url: str | None, digest: str, first: int) -> bytes:
-    """The record of a response, as one that refers to an earlier page."""
-    return record(page, url, parse(member)[1], digest, first)
-
-
 def write_archives(pages: DataFrame, unnamed: bool = False) -> DataFrame:
     """archive_id, data, captures.  Of equal payloads of 100 bytes or more the smallest page_id is stored; the others revisit it.
 
     A null html is an empty payload, a null url an empty key.  Rows without
     page_id are plain responses if ``unnamed``, else left out.  Rows that
-    repeat a page_id are records of their own.
+    repeat a page_id are records of their own.  Bodies are joined with the
+    (small) table of revisits by page, so that no digest, however common, is a key.
     """
     spark = pages.sparkSession
     rec = (pages if unnamed else pages.where("page_id is not null")).select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_digests, "page_id long, url string, digest string, size long, member binary")
     small = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
-    first = small.where(f"size >= {LEAST}").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rec = rec.join(first, "digest", "left").select("page_id", "url", "digest", "size", "member", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("first"))
+    small = small.where(f"size >= {LEAST}").select("page_id", "digest")
+    first = stage(spark, small.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "payloads")
+    again = skew_join(small, first.drop("n"), ["digest"], first.select("digest", "n"), "page_id").where("page_id <> first").distinct()
+    rec = rec.join(again, ["page_id", "digest"], "left").select("page_id", "url", "digest", "size", "member", "first")
     return stage(spark, rec.mapInArrow(_archives, "archive_id string, data binary, captures array<struct<key: string, page_id: long, offset: long, length: long>>"), "warc", "none")
 
 
 def write_index(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(blocks: block_id, lines compressed; directory: block_id, first_key, last_key, n), sorted by key."""
+    """(blocks: block_id, lines compressed; directory: shelf, block_id, first_key, last_key, n), sorted by key.
+
+    Lines with a null url have an empty key, those without page id an empty
+    one; equal lines stay apart.  ``shelf`` names runs of ``SHELF`` consecutive
+    blocks.  No archives give no blocks.
+    """
     spark = archives.sparkSession
     lines = archives.select("archive_id", F.explode("captures").alias("c")).select("c.key", "c.page_id", "archive_id", "c.offset", "c.length")
     lines = lines.repartitionByRange(partitions(spark), "key", "page_id").sortWithinPartitions("key", "page_id", "archive_id", "offset")
-    schema = pa.schema([("block_id", pa.string()), ("first_key", pa.string()), ("last_key", pa.string()), ("n", pa.int32()), ("lines", pa.binary())])
+    schema = pa.schema([("shelf", pa.string()), ("block_id", pa.string()), ("first_key", pa.string()), ("last_key", pa.string()), ("n", pa.int32()), ("lines", pa.binary())])
 
     @lean
     def pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        place, number = TaskContext.get().partitionId(), 0
 
         def block(rows: list[tuple]) -> pa.RecordBatch:
             text = "".join(f"{k}\t{'' if p is None else p}\t{a}\t{o}\t{n}\n" for k, p, a, o, n in rows).encode()
             name = hashlib.sha256(text).hexdigest()[:32]
-            return pa.RecordBatch.from_pylist([{"block_id": name, "first_key": rows[0][0], "last_key": rows[-1][0], "n": len(rows), "lines": zlib.compress(text)}], schema)
+            return pa.RecordBatch.from_pylist([{"shelf": f"{place}-{number // SHELF}", "block_id": name, "first_key": rows[0][0], "last_key": rows[-1][0], "n": len(rows), "lines": zlib.compress(text)}], schema)
 
         for batch in batches:
             held += zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "archive_id", "offset", "length")), strict=True)
             while len(held) >= BLOCK_LINES:
                 yield block(held[:BLOCK_LINES])
-                held = held[BLOCK_LINES:]
+                held, number = held[BLOCK_LINES:], number + 1
         if held:
             yield block(held)
 
-    blocks = stage(spark, lines.mapInArrow(pack_blocks, "block_id string, first_key string, last_key string, n int, lines binary"), "cdx", "none")
-    return blocks, blocks.select("block_id", "first_key", "last_key", "n")
+    blocks = stage(spark, lines.mapInArrow(pack_blocks, "shelf string, block_id string, first_key string, last_key string, n int, lines binary"), "cdx", "none")
+    return blocks.select("block_id", "lines"), blocks.select("shelf", "block_id", "first_key", "last_key", "n")
 
 
 _CAPTURE = "key string, page_id long, archive_id string, offset long, length long"
@@ -204,18 +210,28 @@ def named(firsts: list[str], lasts: list[str], key: str) -> range:
 def find(blocks: DataFrame, directory: DataFrame, pages: DataFrame) -> DataFrame:
     """The captures of the urls of ``pages``, each line once.
 
-    Every url is searched in the sparse directory, which all tasks get; of the
-    blocks, only those that it names are read.
+    Every url is searched among the directory's runs, whose outermost keys all
+    tasks get, then in the directory of the run; of the blocks, only those that
+    it names are read.  Null urls look for the empty key.
     """
-    table = sorted((r["first_key"], r["last_key"], r["block_id"]) for r in directory.collect())
-    shared = pages.sparkSession.sparkContext.broadcast(tuple(list(c) for c in zip(*table, strict=True)) or ([], [], []))
+    top = sorted((r["first"], r["last"], r["shelf"]) for r in directory.groupBy("shelf").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).collect())
+    shared = pages.sparkSession.sparkContext.broadcast(tuple(list(c) for c in zip(*top, strict=True)) or ([], [], []))
 
     @lean
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         firsts, lasts, names = shared.value
         for batch in batches:
             hits = [(names[i], k) for k in {url_key(u) for u in batch.column("url").to_pylist()} for i in named(firsts, lasts, k)]
-            yield pa.RecordBatch.from_arrays([pa.array([h[j] for h in hits], pa.string()) for j in (0, 1)], names=["block_id", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array([h[j] for h in hits], pa.string()) for j in (0, 1)], names=["shelf", "key"])
+
+    @lean
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, keys in zip(batch.column("rows").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+                own = sorted((r["first_key"], r["last_key"], r["block_id"]) for r in rows)
+                firsts, lasts, names = (list(c) for c in zip(*own, strict=True))
+                hits = [(names[i], k) for k in keys for i in named(firsts, lasts, k)]
+                yield pa.RecordBatch.from_arrays([pa.array([h[j] for h in hits], pa.string()) for j in (0, 1)], names=["block_id", "key"])
 
     @lean
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +239,9 @@ def find(blocks: DataFrame, directory: DataFrame, pages: DataFrame) -> DataFrame
             for x, keys in zip(batch.column("lines").to_pylist(), batch.column("keys").to_pylist(), strict=True):
                 yield _lines(x, set(keys))
 
-    wanted = pages.select("url").mapInArrow(search, "block_id string, key string").groupBy("block_id").agg(F.collect_set("key").alias("keys"))
+    asked = pages.select("url").mapInArrow(runs, "shelf string, key string").groupBy("shelf").agg(F.collect_set("key").alias("keys"))
+    shelves = directory.groupBy("shelf").agg(F.collect_list(F.struct("first_key", "last_key", "block_id")).alias("rows"))
+    wanted = asked.join(shelves, "shelf").select("rows", "keys").mapInArrow(search, "block_id string, key string").groupBy("block_id").agg(F.collect_set("key").alias("keys"))
     return blocks.select("block_id", "lines").join(wanted, "block_id").select("lines", "keys").mapInArrow(pick, _CAPTURE)
 
 
@@ -253,11 +271,10 @@ def read_ranges(archives: DataFrame, found: DataFrame, with_payload: bool = Fals
     return out if with_payload else out.drop("payload")
 
 
-def lookup(archives: DataFrame, blocks: DataFrame, directory: list[tuple[str, str, str]], url: str) -> DataFrame:
-    """Records of a URL.  ``directory``: (first_key, last_key, block_id) of all blocks, sorted; it is sparse, a row for each block."""
-    key = url_key(url)
-    names = [directory[i][2] for i in named([d[0] for d in directory], [d[1] for d in directory], key)]
-    return read_ranges(archives, captures(blocks.where(F.col("block_id").isin(names))).where(F.col("key") == key), True)
+def lookup(archives: DataFrame, blocks: DataFrame, directory: DataFrame, url: str | None) -> DataFrame:
+    """Records of a URL with their payloads; none if the index has no such key."""
+    one = archives.sparkSession.createDataFrame([(url,)], "url string")
+    return read_ranges(archives, find(blocks, directory, one), True)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

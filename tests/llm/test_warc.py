@@ -34,7 +34,7 @@ def test_archives_index_and_lookup(spark, monkeypatch):
     assert len(table) > 5
     for url in ("http://h1.example.com/p1?", "http://q.org/", "http://absent.org/"):
         want = sorted(i for i, u, _ in rows if i is not None and warc.url_key(u) == warc.url_key(url))
-        assert sorted(r.page_id for r in warc.lookup(archives, blocks, table, url).collect()) == want
+        assert sorted(r.page_id for r in warc.lookup(archives, blocks, directory, url).collect()) == want
 
 
 def test_query_searches_the_directory(spark, monkeypatch):
@@ -74,3 +74,25 @@ def test_query_keeps_pages_without_id(spark, tmp_path):
 def test_empty(spark):
     archives = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read_ranges(archives, warc.captures(warc.write_index(archives)[0])).count() == 0
+
+
+def test_repeated_ids_and_pages_over_8_mb(spark, tmp_path):
+    """Rows that repeat a page_id are records of their own; each payload is matched by its own digest."""
+    big, other = "é" * (5 << 20), "y" * 150
+    rows = [(3, "http://a.org/", other), (3, "http://a.org/", big), (4, "http://a.org/", big), (4, "http://b.org/", other), (4, "http://b.org/", other)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op10_warc(spark, str(tmp_path)).collect()]
+    want = [(i, len(h.encode()), hashlib.sha256(h.encode()).hexdigest(), "response" if i == 3 else "revisit", None if i == 3 else 3) for i, _, h in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_runs_of_the_directory(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 3)
+    monkeypatch.setattr(warc, "SHELF", 2)
+    rows = [(i, f"http://h{i % 9}.example.com/p{i % 13}", f"page {i}") for i in range(150)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archives = warc.write_archives(df)
+    blocks, directory = warc.write_index(archives)
+    assert directory.select("shelf").distinct().count() >= 20
+    assert sorted(r.page_id for r in warc.find(blocks, directory, df).collect()) == list(range(150))
+    assert sorted(r.page_id for r in warc.lookup(archives, blocks, directory, rows[5][1]).collect()) == [i for i, u, _ in rows if u == rows[5][1]]
