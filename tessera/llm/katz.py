@@ -37,8 +37,6 @@ GIVE = 0.01
 #: A batch ends with the text that brings it to so many tokens.
 BATCH_TOKENS = 1 << 20
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
-#: Ids that stand for null inside the operator.
-_ABSENT = -(1 << 63) + 1
 
 
 def slim(x: np.ndarray) -> np.ndarray:
@@ -145,27 +143,27 @@ _BATCH = "key long, tokens binary"
 def _encode(limit: int):
     """Texts -> tokens of a batch: distinct words, and the place of each token in them."""
 
-    def row(batch: int, ids, train, T, N) -> pa.RecordBatch:
+    def row(batch: int, ids, null, train, T, N) -> pa.RecordBatch:
         n = np.concatenate(N)
         word, at = np.unique(np.append(np.insert(np.concatenate(T), np.cumsum(n), END), BEGIN), return_inverse=True)
-        blob = pack(word=spread(word), at=narrow(at[:-1]), id=np.concatenate(ids), n=slim(n + 1), train=np.concatenate(train).astype(np.uint8))
+        blob = pack(word=spread(word), at=narrow(at[:-1]), id=np.concatenate(ids), null=np.concatenate(null).astype(np.uint8), n=slim(n + 1), train=np.concatenate(train).astype(np.uint8))
         return _table(_BATCH, [{"key": batch, "tokens": blob}]).to_batches()[0]
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch, held, have = TaskContext.get().partitionId() << 32, ([], [], [], []), 0
+        batch, held, have = TaskContext.get().partitionId() << 32, ([], [], [], [], []), 0
         for rb in batches:
             at = 0
             for ids, data, offs in text_slices(rb.column("doc_id"), rb.column("text"), min(1 << 20, 8 * limit)):
                 w, n = word_hashes(data, offs)
                 train = np.asarray(rb.column("train").slice(at, len(n)))
                 at += len(n)
-                for held_in, v in zip(held, (np.asarray(ids), train, w, n), strict=True):
+                for held_in, v in zip(held, (np.asarray(ids.fill_null(0)), np.asarray(ids.is_null()), train, w, n), strict=True):
                     held_in.append(v)
                 have += len(w) + len(n)
                 if have >= limit:
                     yield row(batch, *held)
-                    batch, held, have = batch + 1, ([], [], [], []), 0
+                    batch, held, have = batch + 1, ([], [], [], [], []), 0
         if have:
             yield row(batch, *held)
 
@@ -254,7 +252,7 @@ def _look(totals: Totals, buckets: int):
         lacks = np.flatnonzero(((r == 0) & (before[h] > 0))[pair])
         context, at = np.unique(x["before"][lacks], return_inverse=True)
         doc = np.repeat(np.arange(len(x["n"])), x["n"])[lacks]
-        out = [{"key": batch, "texts": pack(id=x["id"], n=slim(x["n"]), known=slim(total((c > 0)[x["at"]].astype(np.int64))), base=total(base[x["at"]]), score=total(value[pair]), doc=slim(doc), at=slim(at))}]
+        out = [{"key": batch, "texts": pack(id=x["id"], null=x["null"], n=slim(x["n"]), known=slim(total((c > 0)[x["at"]].astype(np.int64))), base=total(base[x["at"]]), score=total(value[pair]), doc=slim(doc), at=slim(at))}]
         asked = word[context]
         out += [{"key": b, "origin": batch, "asked": pack(w=spread(asked[s]))} for b, s in ranges(asked, buckets)]
         own = np.flatnonzero(mine & (r > 0))
@@ -298,7 +296,7 @@ def _finish(totals: Totals):
         score = x["score"]
         if given:
             score = score + np.bincount(x["doc"], np.concatenate([g["w"] for g in given])[x["at"]], n)
-        cols = x["id"], x["n"].astype(np.int64), x["known"].astype(np.int64), np.full(n, totals.tokens), x["base"], score
+        cols = pa.array(x["id"], mask=x["null"].astype(bool)), x["n"].astype(np.int64), x["known"].astype(np.int64), np.full(n, totals.tokens), x["base"], score
         return pa.table(dict(zip((f.split()[0] for f in _OUT.split(", ")), cols, strict=True)))
 
     return run
@@ -315,7 +313,7 @@ def scores(docs: DataFrame, train, buckets: int | None = None, batch_tokens: int
     """
     spark = docs.sparkSession
     buckets = buckets or max(8, partitions(spark))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_ABSENT)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     batches = stage(spark, rows.mapInArrow(_encode(batch_tokens), _BATCH), "katz-batches")
     count = lambda pairs, name: stage(spark, batches.mapInArrow(_ask(buckets, pairs), _ASK).groupBy("key").applyInArrow(_count, _COUNTS), name)
     words, pairs = count(False, "katz-words"), count(True, "katz-pairs")
@@ -329,8 +327,7 @@ def scores(docs: DataFrame, train, buckets: int | None = None, batch_tokens: int
     weights = stage(spark, asked.groupBy("key").applyInArrow(_weigh, _WEIGHTS), "katz-weights")
     last = texts.where("texts is not null").select("key", "origin", "texts")
     last = last.unionByName(weights.where("given is not null").select("key", "origin", "given"), allowMissingColumns=True)
-    out = last.groupBy("key").applyInArrow(_finish(totals), _OUT)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != _ABSENT, F.col("doc_id")))
+    return last.groupBy("key").applyInArrow(_finish(totals), _OUT)
 
 
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

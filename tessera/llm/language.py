@@ -11,20 +11,20 @@ with the space before it).
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import BYTE_EXACT, BYTE_WORD, LOWER, lean, prefix_hash, range_hash, text_slices
 
-#: Documents a language that the model learns from, about.
+#: Documents a language that the model learns from, at most.
 TRAIN_DOCS = 300
-#: Distinct words a language, most frequent first, that expectation-maximisation runs over.
-TRAIN_WORDS = 30_000
 #: Bytes of the longest usable piece of the default vocabulary; a trie knows its own.
 LONGEST = 33
 CELLS = 1 << 20
@@ -228,27 +228,42 @@ class Model:
         return total, n
 
 
+@lean
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) -> lang, word (lower case), n."""
+    for batch in batches:
+        for lang in batch.column("lang").unique().to_pylist():
+            texts = batch.filter(pc.equal(batch.column("lang"), lang)).column("text")
+            count: Counter[bytes] = Counter()
+            for _, data, offs in text_slices(texts, texts):
+                start, end, _ = words_of(data, offs)
+                low = LOWER[data].tobytes()
+                count.update(low[b:e] for b, e in zip(start.tolist(), end.tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(count), pa.string()), pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["lang", "word", "n"])
+
+
 def train(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken", docs_per_lang: int = TRAIN_DOCS) -> Model:
-    """Learn from about ``docs_per_lang`` documents of each language (by a hash of the id) outside the held-out fold."""
+    """Learn from ``docs_per_lang`` documents of each language outside the held-out fold, those with the smallest hashes of their ids.
+
+    Ties go to the smaller id; rows that repeat an id count each.  Rows whose
+    text, language or id is null teach nothing.  Counts of words, not texts,
+    come to the driver, and all words of the chosen documents are learned from.
+    """
     usable = docs.where("text is not null and lang is not null and doc_id is not null and crc32(cast(doc_id as string)) % 4 <> 2").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     total = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     langs = sorted(total)
     if not langs:
         return Model([], np.zeros((1, 0)), np.zeros(0), name)
-    rate = F.broadcast(docs.sparkSession.createDataFrame([(k, docs_per_lang / v) for k, v in total.items()], "lang string, rate double"))
-    rows = usable.join(rate, "lang").where("pmod(xxhash64(doc_id), 1000003) < 1000003 * rate").select("doc_id", "lang", "text").collect()
+    # hashes below a bound that leaves four times as many as are wanted, then the smallest of them
+    rate = F.broadcast(docs.sparkSession.createDataFrame([(k, 4 * docs_per_lang / v + 64 / v) for k, v in total.items()], "lang string, rate double"))
+    few = usable.join(rate, "lang").where(F.col("rate") > F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
+    few = few.withColumn("rank", rank).where(F.col("rank") <= docs_per_lang)
+    rows = few.select("lang", "text").mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
     t, prob = trie(vocabulary(name)), []
     for lang in langs:
-        texts = pa.array([r["text"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"])) if r["lang"] == lang], pa.string())
-        count: dict[bytes, int] = {}
-        for _, data, offs in text_slices(texts, texts):
-            start, end, _ = words_of(data, offs)
-            low = LOWER[data].tobytes()
-            for b, e in zip(start.tolist(), end.tolist(), strict=True):
-                w = low[b:e]
-                count[w] = count.get(w, 0) + 1
-        best = sorted(count.items(), key=lambda x: (-x[1], x[0]))[:TRAIN_WORDS]
-        prob.append(learn(t, [w for w, _ in best], np.array([c for _, c in best], float)))
+        own = sorted((bytes(r["word"]), r["n"]) for r in rows if r["lang"] == lang)
+        prob.append(learn(t, [w for w, _ in own], np.array([n for _, n in own], float)))
     prior = np.log(np.array([total[k] for k in langs]) / sum(total.values()))
     return Model(langs, np.array(prob).T.copy(), prior, name)
 

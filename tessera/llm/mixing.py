@@ -116,7 +116,7 @@ def _sized(docs: DataFrame, source_col: str, text_col: str, seed: int) -> tuple[
     slim = stage(spark, slim, "sizes")
     sources = stage(spark, targets(slim), "sources")
     named = sources.withColumnRenamed("source", "own")
-    sized = slim.join(F.broadcast(named) if sources.count() <= 10_000 else named, F.col("source").eqNullSafe(F.col("own"))).drop("own")
+    sized = slim.join(named, F.col("source").eqNullSafe(F.col("own"))).drop("own")
     sized = sized.withColumn("block", block_of("doc_id", seed))
     return sized, sources, stage(spark, plan(sized, sources, seed), "plan")
 
@@ -126,15 +126,18 @@ def block_of(id_col: str, seed: int) -> Column:
 
 
 def accounting(docs: DataFrame, source_col: str = "source", text_col: str = "text", seed: int = 1) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words that the mix takes, repeats counted) of every row.
+    """doc_id, size, source_size, target, taken (words that the mix takes, repeats counted), shards of every row.
 
-    A null text has size 0; a null source is a source of its own; rows that
-    repeat an id are taken together.  Reruns agree.
+    ``shards`` lists the output shard of each time that the row is taken, as the
+    splitting tree deals them; ``taken`` is the size times their number.  A null
+    text has size 0; a null source is a source of its own; sources of equal
+    weight share by it alone, so ties need no rule; rows that repeat an id are
+    taken together.  Reruns agree.
     """
     sized, _, drawn = _sized(docs, source_col, text_col, seed)
-    takes = drawn.groupBy(F.col("source").alias("own"), F.col("block").alias("b")).agg(F.count(F.lit(1)).alias("takes"))
+    takes = drawn.groupBy(F.col("source").alias("own"), F.col("block").alias("b")).agg(F.array_sort(F.collect_list("shard")).alias("shards"))
     out = sized.join(takes, F.col("source").eqNullSafe(F.col("own")) & (F.col("block") == F.col("b")), "left")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("takes", F.lit(0))).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce(F.size("shards"), F.lit(0))).alias("taken"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
 
 
 def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", seed: int = 1) -> DataFrame:

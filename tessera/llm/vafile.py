@@ -42,7 +42,18 @@ def bounds(cell: np.ndarray, edges: np.ndarray, query: np.ndarray) -> tuple[np.n
     dims = np.arange(cell.shape[1])
     low, high = edges[cell, dims].astype(np.float64), edges[np.minimum(cell + 1, CELLS), dims].astype(np.float64)
     plus, minus = np.maximum(query, 0).astype(np.float64), np.minimum(query, 0).astype(np.float64)
-    return plus @ low.T + minus @ high.T, plus @ high.T + minus @ low.T
+    # beyond 2**50 doubles round: both bounds give way by more than that can come to
+    slack = np.abs(query).max(initial=0).astype(float) * max(np.abs(low).max(initial=0), np.abs(high).max(initial=0)) * len(dims)
+    slack = slack * len(dims) * 2.0**-50 if slack > 2.0**50 else 0.0
+    return plus @ low.T + minus @ high.T - slack, plus @ high.T + minus @ low.T + slack
+
+
+def products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products; those that may leave 64 bits are added up in whole numbers of any size, and fail if they do."""
+    most = float(np.abs(x.astype(float)).max(initial=0)) * float(np.abs(query.astype(float)).max(initial=0)) * max(1, x.shape[1])
+    if most < 2.0**62:
+        return x @ query
+    return np.array([sum(map(int.__mul__, row, query.tolist())) for row in x.tolist()], np.int64)
 
 
 def search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -66,7 +77,7 @@ def search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, query: np.ndarray,
                     break
                 part = may[s : s + STEP]
                 read += len(part)
-                score, found = np.concatenate((score, x[part] @ query[b + q])), np.concatenate((found, part))
+                score, found = np.concatenate((score, products(x[part], query[b + q]))), np.concatenate((found, part))
                 best = np.lexsort((found, -score))[:k]
                 score, found = score[best], found[best]
             out.append((np.full(len(found), qids[b + q]), ids[found], score))
@@ -101,11 +112,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
 
     Vectors are arrays of whole numbers.  Null ids and null vectors, and vectors
     with a null in them, take no part; vectors of fewer dimensions count as
-    padded with zeros.  Rows that repeat an id are rows of their own.  No
+    padded with zeros, empty ones too.  Equal scores go to the smaller id.  Rows
+    that repeat an id are rows of their own.  A score outside 64 bits fails.  No
     queries or no vectors give no rows.
     """
     spark = vectors.sparkSession
-    pick = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vec_col, lambda x: x.cast("int")).alias("v")).where("vec_id is not null and v is not null and not exists(v, x -> x is null)")
+    pick = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vec_col, lambda x: x.cast("long")).alias("v")).where("vec_id is not null and v is not null and not exists(v, x -> x is null)")
     data, asked = stage(spark, pick(vectors), "vectors"), stage(spark, pick(queries), "queries")
     rows, cols = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-data.count() // DATA_BLOCK))
     spread = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(n)).cast("int")
@@ -138,7 +150,7 @@ with v as (
   where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
 ), s as (
   select q.vec_id as query_id, c.vec_id as vec_id,
-         cast(list_sum([p[1] * p[2] for p in list_zip(q.v, c.v)]) as bigint) as score
+         cast(coalesce(list_sum([p[1] * p[2] for p in list_zip(q.v, c.v)]), 0) as bigint) as score
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
 ), r as (
   select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s

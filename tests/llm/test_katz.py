@@ -88,3 +88,9 @@ def test_hot_word_costs_an_entry_a_batch(spark):
     entries = [unpack(bytes(r.asked))["m"] for r in out]
     assert batches.count() > 1 and sum(map(len, entries)) == 4 * batches.count()  # begin x, x y, y x, y end
     assert sum(int(m.sum()) for m in entries) == 20 * 601
+
+
+def test_least_id_and_null_ids(spark):
+    rows = [(-(1 << 63), "a b"), (-(1 << 63) + 1, "a"), (None, "b"), (0, None)]
+    got = scores(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).collect()
+    assert sorted(repr(r.doc_id) for r in got) == sorted(repr(i) for i, _ in rows) and sum(r.n_tokens for r in got) == 8

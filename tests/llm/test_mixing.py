@@ -1,7 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
-from tessera.llm.mixing import accounting, mix, op1_mixing
+from tessera.llm.mixing import _sized, accounting, mix, op1_mixing
 
 SF = "/root/testdata/sf0.01"
 
@@ -55,6 +55,36 @@ def test_mix_agrees_and_shards_are_even(spark):
     assert out[0].block == out[0].doc_id and out[0].shard == "s"
     pieces = Counter(r.mix_shard for r in out)
     assert len(pieces) == 16 and max(pieces.values()) < 2.5 * min(pieces.values())
+    dealt = {r.doc_id: sorted(o.mix_shard for o in out if o.doc_id == r.doc_id) for r in rows}
+    assert all(r.shards == dealt[r.doc_id] for r in rows)
+
+
+def test_shards_are_exact_and_follow_the_law(spark):
+    """Blocks of a shard: the exact quota in all; of a source: hypergeometric, so near its share of the mean and spread around it."""
+    data = [(i, "w", "abc"[min(2, i % 5)], 0) for i in range(1500)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, __row int")
+    first = []
+    for seed in range(1, 6):
+        _, _, drawn = _sized(docs, "source", "text", seed)
+        got = drawn.groupBy("shard", "source").count().collect()
+        n, each = sum(r["count"] for r in got), Counter()
+        for r in got:
+            each[r["shard"]] += r["count"]
+        assert [each[s] for s in range(16)] == [n * (s + 1) // 16 - n * s // 16 for s in range(16)]
+        assert drawn.select("source", "block", "pass").distinct().count() == n
+        k = sum(r["count"] for r in got if r["source"] == "a")
+        first.append((sum(r["count"] for r in got if r["source"] == "a" and r["shard"] < 4), each[0] + each[1] + each[2] + each[3], k, n))
+    z = [(x - m * k / n) / (m * (k / n) * (1 - k / n) * (n - m) / (n - 1)) ** 0.5 for x, m, k, n in first]
+    assert abs(sum(z)) / len(z) ** 0.5 < 4 and 0 < sum(v * v for v in z) / len(z) < 6
+
+
+def test_long_text_equal_weights_and_own_names(spark):
+    long = "w " * 400_000
+    docs = spark.createDataFrame([(1, long, "a", 1), (2, "x y", "d", 2), (3, "z", "d", 3), (3, "z", "d", 4)], "doc_id long, text string, source string, mix_shard int")
+    rows = accounting(docs).collect()
+    assert {r.doc_id: r.size for r in rows} == {1: 400_000, 2: 2, 3: 1}
+    assert all(r.taken == r.size * len(r.shards) <= 3 * r.size for r in rows)
+    assert set(mix(docs).columns) == {"doc_id", "text", "source", "mix_shard", "mix_pass", "mix_order"}
 
 
 def test_empty(spark):

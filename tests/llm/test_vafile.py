@@ -32,3 +32,17 @@ def test_frame(spark):
     q = sorted([r for r in ok if r[0] % 20 == 0], key=lambda r: r[0])
     assert got == brute([i for i, _ in ok], [e for _, e in ok], [i for i, _ in q], [e for _, e in q], 20) and not pad
     assert top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_large_components_empty_vectors_and_ties(spark):
+    big = float(2**25)
+    rows = [(20, [big, 1.0]), (1, [big, 0.5]), (2, [-big, 3.0]), (3, []), (4, [0.0, 0.0]), (40, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    v = whole(df)
+    got = [(r.query_id, r.vec_id, r.score) for r in top_k(v, v.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
+    ints = {i: [int(np.floor(64 * np.float64(np.float32(c)))) for c in e] + [0] * (2 - len(e)) for i, e in rows}
+    want = []
+    for q in (20, 40):
+        s = sorted((-sum(a * b for a, b in zip(ints[q], e)), i) for i, e in ints.items() if i != q)
+        want += [(q, i, -n) for n, i in s]
+    assert max(abs(w[2]) for w in want) >= 2**62 and got == want
