@@ -18,14 +18,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (score of 0.7 or more)."""
+    """Documents that the quality classifier accepts (score of 0.7 or more).
+
+    Null and empty texts get the model's score of no evidence; rows that repeat an id are scored each.
+    """
     docs = docs.select(*COLUMNS)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model).where("score >= 0.7").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id."""
+    """One document of each group of near duplicates, that with the smallest id.
+
+    Rows without id, and null and empty texts, are groups of their own; all rows of a kept id stay.
+    """
     kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("own")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("own")), "left_semi").select(*COLUMNS)
 
@@ -37,7 +43,10 @@ def whole_characters(kept: pd.Series) -> pd.Series:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the passages that also start earlier."""
+    """All documents without the passages that also start earlier.
+
+    A document that loses all its bytes stays with an empty text; null texts become empty; rows that repeat an id get each of its texts.
+    """
     out = suffix_dedup.remove_repeats(docs).select(F.col("doc_id").alias("own"), "kept").distinct()
     out = stage(spark, out, "kept")
     texts = out.select("own", whole_characters("kept").alias("text"))
@@ -46,9 +55,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in random order within output shards."""
+    """Documents as often as the mix takes them, in random order within output shards; a null source is a source of its own."""
     out = mixing.mix(docs.select(*COLUMNS))
-    out = out.repartition(partitions(spark), "mix_shard", F.pmod("mix_order", F.lit(64))).sortWithinPartitions("mix_shard", "mix_order")
+    n = partitions(spark)
+    out = out.repartition(n, "mix_shard", F.pmod("mix_order", F.lit(n))).sortWithinPartitions("mix_shard", "mix_order")
     return out.select(*COLUMNS)
 
 
