@@ -124,3 +124,16 @@ def pixel_angle(fov_y: float, rows: int) -> float:
 def detail_level(distance: Num, angle: Num, metres: Num = 1.0) -> Column:
     """The finest level worth reading: log2 of the texels that a pixel covers."""
     return F.floor(F.log2(F.greatest(_c(distance) * _c(angle) / _c(metres), F.lit(1.0)))).cast("int")
+
+
+def tile_range(level: Num, west: Num, north: Num, width: Num, height: Num, base: Num = 1.0) -> tuple[Column, Column, Column, Column]:
+    """(tx, ty, across, down) of the tiles that an extent touches; half a texel inside its far edges, so that none beyond counts."""
+    inside = _c(base) * 0.5
+    tx, ty = tile_of_metres(level, west, north, base)
+    lx, ly = tile_of_metres(level, _c(west) + _c(width) - inside, _c(north) - _c(height) + inside, base)
+    return tx, ty, lx - tx + 1, ly - ty + 1
+
+
+def fitting_degrees(width: Num, height: Num, tiles: Num, most: int) -> Column:
+    """The shorter side of a box, shrunk so that its tiles would number ``most``."""
+    return F.greatest(F.least(_c(width), _c(height)), F.lit(0.0)) * F.sqrt(F.lit(float(most)) / F.greatest(_c(tiles), F.lit(1)))

@@ -35,6 +35,20 @@ def mean_f32(cells: DataFrame, value: str = "h") -> DataFrame:
     return kids.select("x", "y", (total / n).cast("float").alias(value))
 
 
+def mean_chain(cells: DataFrame, levels: int, value: str = "h") -> DataFrame:
+    """level, x, y, value: each level the single-precision mean of the one below.
+
+    A level's shuffle is the input of the next and of its own rows; the branches
+    of the union share it, so no level is computed twice.
+    """
+    now = cells.select("x", "y", F.col(value).cast("float").alias(value))
+    out = now.select(F.lit(0).alias("level"), "x", "y", value)
+    for k in range(1, levels + 1):
+        now = mean_f32(now, value)
+        out = out.unionByName(now.select(F.lit(k).alias("level"), "x", "y", value))
+    return out
+
+
 def mean_colour(cells: DataFrame) -> DataFrame:
     """Mean in linear light of r, g, b bytes; black is nodata."""
     lit = cells.where("r <> 0 or g <> 0 or b <> 0")

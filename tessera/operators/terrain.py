@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 # Neighbours in tie order.
 NEIGHBOURS = [(-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (1, -1), (-1, 1), (1, 1)]
+OPPOSITE = [1, 0, 3, 2, 7, 6, 5, 4]
 SPREAD = 1.1
 
 
@@ -31,12 +32,14 @@ def neighbours(cells: DataFrame, value: str = "h") -> DataFrame:
 
 
 def creep(cells: DataFrame, rate: float, value: str = "h") -> DataFrame:
-    """One diffusion sweep over the four sides; beyond an edge the surface goes on straight (2 * here - opposite)."""
-    near = neighbours(cells, value).where("slot < 4").groupBy("x", "y").agg(*(F.max(F.when(F.col("slot") == k, F.col("other"))).alias(f"n{k}") for k in range(4)))
+    """One diffusion sweep over the eight neighbours, corners at half weight, the sum halved; beyond an edge the surface goes on straight (2 * here - opposite)."""
+    near = neighbours(cells, value).groupBy("x", "y").agg(*(F.max(F.when(F.col("slot") == k, F.col("other"))).alias(f"n{k}") for k in range(8)))
     all_ = cells.join(near, ["x", "y"], "left")
-    here = F.col(value)
-    side = lambda k, o: F.coalesce(F.col(f"n{k}"), 2 * here - F.col(f"n{o}"), here)
-    return all_.select("x", "y", (here + rate * (side(0, 1) + side(1, 0) + side(2, 3) + side(3, 2) - 4 * here)).alias(value))
+    here, bend = F.col(value), F.lit(0.0)
+    for k, o in enumerate(OPPOSITE):
+        side = F.coalesce(F.col(f"n{k}"), 2 * here - F.col(f"n{o}"), here)
+        bend = bend + (1.0 if k < 4 else 0.5) * (side - here)
+    return all_.select("x", "y", (here + rate * bend / 2).alias(value))
 
 
 def thermal(cells: DataFrame, talus: float, share: float = 0.5, value: str = "h") -> DataFrame:
@@ -45,7 +48,7 @@ def thermal(cells: DataFrame, talus: float, share: float = 0.5, value: str = "h"
     excess = F.greatest((F.col(value) - F.col("other")) - talus * F.col("reach"), F.lit(0.0))
     pairs = pairs.withColumn("excess", F.coalesce(excess, F.lit(0.0)))
     shed = pairs.groupBy("x", "y").agg(F.first(value).alias(value), F.max("excess").alias("top"), F.sum("excess").alias("all"))
-    out = F.when(F.col("all") > 0, share * F.col("top") / 2).otherwise(F.lit(0.0))
+    out = F.when(F.col("all") > 0, share * F.col("top")).otherwise(F.lit(0.0))
     moved = pairs.where("excess > 0").join(shed.select("x", "y", out.alias("out"), "all"), ["x", "y"])
     step = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in NEIGHBOURS))
     to = F.element_at(step, F.col("slot") + 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
 from collections.abc import Iterable
 
 import pandas as pd
@@ -75,30 +76,38 @@ def clip_segment(x0: Column, y0: Column, x1: Column, y1: Column, box: tuple[floa
     return F.when(ok, enter), F.when(ok, leave)
 
 
+def ring_closed(chain: list) -> bool:
+    """A ring has at least four ids, the last of them the first again."""
+    return len(chain) >= 4 and chain[0] == chain[-1]
+
+
 def stitch(fragments: Iterable[list]) -> list[list]:
-    """Chain fragments of ids end to end, turning one where needed; closed chains repeat their first id."""
-    left, out = [list(f) for f in fragments if len(f) >= 2], []
-    ends: dict = {}
-    for i, f in enumerate(left):
-        for e in {f[0], f[-1]}:
-            ends.setdefault(e, []).append(i)
-    used = [False] * len(left)
-    for i, f in enumerate(left):
-        if used[i]:
-            continue
-        used[i], chain, turned = True, list(f), False
-        while chain[0] != chain[-1]:
-            k = next((j for j in ends.get(chain[-1], ()) if not used[j]), None)
-            if k is None:
-                if turned:
-                    break
-                chain.reverse()
-                turned = True
-                continue
-            used[k] = True
-            more = left[k] if left[k][0] == chain[-1] else left[k][::-1]
-            chain += more[1:]
-        out.append(chain[::-1] if turned and chain[0] != chain[-1] else chain)
+    """Walk the multigraph whose vertices are end ids and whose edges are fragments; a walk ends in a ring or where no edge is left at either end.
+
+    Of several edges at an end the earliest is taken; fragments under two ids are left out.
+    """
+    edges = {i: list(f) for i, f in enumerate(fragments) if len(f) >= 2}
+    meeting: defaultdict[object, deque[int]] = defaultdict(deque)
+    for i, f in edges.items():
+        for end in {f[0], f[-1]}:
+            meeting[end].append(i)
+
+    def onward(chain: list) -> list:
+        while not ring_closed(chain):
+            here = meeting[chain[-1]]
+            while here and here[0] not in edges:
+                here.popleft()
+            if not here:
+                break
+            f = edges.pop(here.popleft())
+            chain.extend(f[1:] if f[0] == chain[-1] else f[-2::-1])
+        return chain
+
+    out = []
+    for i in list(edges):
+        if i in edges:
+            chain = onward(edges.pop(i))
+            out.append(chain if ring_closed(chain) else onward(chain[::-1])[::-1])
     return out
 
 
@@ -107,7 +116,7 @@ def stitch_rings(ways: DataFrame, relation: str = "relation") -> DataFrame:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         chains = stitch(list(r) for r in rows.sort_values("pos")["refs"])
-        return pd.DataFrame({relation: rows[relation].iloc[0], "ring": range(len(chains)), "closed": [c[0] == c[-1] and len(c) >= 4 for c in chains], "refs": chains})
+        return pd.DataFrame({relation: rows[relation].iloc[0], "ring": range(len(chains)), "closed": [ring_closed(c) for c in chains], "refs": chains})
 
     return ways.groupBy(relation).applyInPandas(run, f"{relation} long, ring int, closed boolean, refs array<long>")
 
@@ -126,12 +135,12 @@ def scan_convert(edges: DataFrame, ring: str = "ring") -> DataFrame:
 
 
 def stroke_convert(segments: DataFrame, key: str = "stroke") -> DataFrame:
-    """key, x, y of the texels whose centre is within half the width w of a segment (x, y)-(nx, ny)."""
-    r = F.col("w") / 2
+    """key, x, y of the texels whose centre is within half the width w of a segment (x, y)-(nx, ny); segments of no length paint nothing."""
+    segments, r = segments.where("x <> nx or y <> ny"), F.col("w") / 2
     span = lambda lo, hi: F.explode(F.sequence(F.ceil(lo - r - 0.5), F.floor(hi + r - 0.5)))
     rows = segments.withColumn("cy", span(F.least("y", "ny"), F.greatest("y", "ny"))).withColumn("cx", span(F.least("x", "nx"), F.greatest("x", "nx")))
     dx, dy, px, py = F.col("nx") - F.col("x"), F.col("ny") - F.col("y"), F.col("cx") + 0.5 - F.col("x"), F.col("cy") + 0.5 - F.col("y")
-    t = F.least(F.greatest(F.coalesce(F.try_divide(px * dx + py * dy, dx * dx + dy * dy), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    t = F.least(F.greatest((px * dx + py * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
     near = (px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy) <= r * r
     return rows.where(near).select(key, F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
 
@@ -153,3 +162,17 @@ def nearest_distance(cells: DataFrame, seeds: DataFrame, reach: int) -> DataFram
     dx, dy = F.abs(F.col("x") - F.col("sx")), F.abs(F.col("y") - F.col("sy"))
     found = near.where((dx <= reach) & (dy <= reach)).groupBy("x", "y").agg(F.min(3 * F.greatest(dx, dy) + F.least(dx, dy)).alias("distance"))
     return cells.select("x", "y").join(found, ["x", "y"], "left")
+
+
+def paint_all(areas: DataFrame, strokes: DataFrame, ident: str = "id") -> DataFrame:
+    """x, y, id after areas of the layers up to 3, then strokes in order of their index, then the layers above.
+
+    ``areas``: x, y, id, layer, area, index; ``strokes``: x, y, id, index.
+    """
+    lines = strokes.select("x", "y", ident, F.lit(3.5).alias("layer"), F.lit(0.0).alias("area"), "index")
+    return paint(areas.select("x", "y", ident, F.col("layer").cast("double").alias("layer"), F.col("area").cast("double").alias("area"), "index").unionByName(lines), ident)
+
+
+def wanted(nodes: DataFrame, ways: DataFrame, refs: str = "refs") -> DataFrame:
+    """The nodes that some way refers to."""
+    return nodes.join(ways.select(F.explode(refs).alias("node")).distinct(), "node", "left_semi")

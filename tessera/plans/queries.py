@@ -337,7 +337,7 @@ def painter_order(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with s as (select s_suppkey, s_suppkey % 50 + 0.5 as x, s_nationkey + 0.25 as y, s_suppkey % 50 + 0.5 + s_suppkey % 7 as nx, s_nationkey + 0.25 + s_suppkey % 5 as ny from supplier),
  c as (select *, cx + 0.5 - x as px, cy + 0.5 - y as py, nx - x as dx, ny - y as dy from s, range(-3, 62) p(cx), range(-3, 35) q(cy)),
- t as (select *, case when dx = 0 and dy = 0 then 0 else least(greatest((px * dx + py * dy) / (dx * dx + dy * dy), 0), 1) end as t from c)
+ t as (select *, least(greatest((px * dx + py * dy) / (dx * dx + dy * dy), 0), 1) as t from c where dx <> 0 or dy <> 0)
 select s_suppkey as stroke, cx as x, cy as y from t where pow(px - t * dx, 2) + pow(py - t * dy, 2) <= 2.25""")
 def stroke_scan_convert(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").selectExpr("s_suppkey as stroke", "s_suppkey % 50 + 0.5D as x", "s_nationkey + 0.25D as y", "s_suppkey % 50 + 0.5D + s_suppkey % 7 as nx", "s_nationkey + 0.25D + s_suppkey % 5 as ny", "3.0D as w")
@@ -356,13 +356,6 @@ def segment_clip(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.round(a, 8).alias("t0"), F.round(b, 8).alias("t1"))
 
 
-@query(f"""with {CELLS}, n as (select c.x, c.y, greatest(abs(c.x - s.x), abs(c.y - s.y)) as u, least(abs(c.x - s.x), abs(c.y - s.y)) as v from cells c join cells s on s.h % 50 = 0 and abs(c.x - s.x) <= 6 and abs(c.y - s.y) <= 6)
-select x, y, min(3 * u + v) as distance from n group by 1, 2""")
-def nearest_fill_distance(spark: SparkSession, d: str) -> DataFrame:
-    c = cells(spark, d)
-    return vector.nearest_distance(c, c.where("h % 50 = 0"), 6).where("distance is not null")
-
-
 #: Cover of the mapped cells, an eighth of it water; holes have id 0.
 _COVER = "case when h is null then 0 when h % 8 = 0 then 511 when h % 8 < 4 then 1023 else 1804 end"
 #: 4000 m at 4 m a cell, 3 a side.
@@ -430,7 +423,12 @@ def bayer_drop(spark: SparkSession, d: str) -> DataFrame:
 _SIDES = "(select c.*, w.h as n0, e.h as n1, n.h as n2, s.h as n3 from cells c left join cells w on w.x = c.x - 1 and w.y = c.y left join cells e on e.x = c.x + 1 and e.y = c.y left join cells n on n.x = c.x and n.y = c.y - 1 left join cells s on s.x = c.x and s.y = c.y + 1)"
 
 
-@query(f"with {CELLS} select x, y, cast(round(h + 0.1 * (coalesce(n0, 2 * h - n1, h) + coalesce(n1, 2 * h - n0, h) + coalesce(n2, 2 * h - n3, h) + coalesce(n3, 2 * h - n2, h) - 4 * h), 3) as double) as h from {_SIDES}")
+_EIGHT = [(-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (1, -1), (-1, 1), (1, 1)]
+_BEND = " + ".join(f"{1.0 if k < 4 else 0.5}::double * (coalesce(n{k}, 2 * h - n{o}, h) - h)" for k, o in enumerate((1, 0, 3, 2, 7, 6, 5, 4)))
+_AROUND = "(select c.*, " + ", ".join(f"a{k}.h as n{k}" for k in range(8)) + " from cells c " + " ".join(f"left join cells a{k} on a{k}.x = c.x + {dx} and a{k}.y = c.y + {dy}" for k, (dx, dy) in enumerate(_EIGHT)) + ")"
+
+
+@query(f"with {CELLS} select x, y, round(h + 0.1::double * ({_BEND}) / 2, 3) as h from {_AROUND}")
 def creep_step(spark: SparkSession, d: str) -> DataFrame:
     return terrain.creep(cells(spark, d), 0.1).withColumn("h", F.round("h", 3))
 
@@ -444,7 +442,7 @@ def receiver_d8(spark: SparkSession, d: str) -> DataFrame:
     return terrain.receivers(cells(spark, d)).withColumn("fall", F.round("fall", 4))
 
 
-@query(f"""with {CELLS}, {_NEAR}, e as (select *, greatest(h - other - 5000 * reach, 0) as excess from near), s as (select x, y, max(excess) / 4 as out, sum(excess) as total from e group by 1, 2),
+@query(f"""with {CELLS}, {_NEAR}, e as (select *, greatest(h - other - 5000 * reach, 0) as excess from near), s as (select x, y, max(excess) / 2 as out, sum(excess) as total from e group by 1, 2),
  m as (select e.x + dx as x, e.y + dy as y, sum(case when total > 0 then out * excess / total else 0 end) as got from e join s using (x, y)
    join (values (-1, 0, 0), (1, 0, 1), (0, -1, 2), (0, 1, 3), (-1, -1, 4), (1, -1, 5), (-1, 1, 6), (1, 1, 7)) v(dx, dy, slot) using (slot) where excess > 0 group by 1, 2)
 select c.x, c.y, round(c.h - coalesce(s.out, 0) + coalesce(m.got, 0), 3) as h from cells c left join s using (x, y) left join m on m.x = c.x and m.y = c.y""")
@@ -482,9 +480,11 @@ def droplet_erosion(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ray_march(spark: SparkSession, d: str) -> DataFrame:
-    n = np.arange(65)
-    h = 20 + 10 * np.sin(n[None, :] / 5) * np.cos(n[:, None] / 7)
-    r = table(spark, d, "supplier").selectExpr("s_suppkey as ray", "s_suppkey % 60 + 0.5D as ox", "s_nationkey * 2 + 1.25D as oy", "45.0D as oz", "(s_suppkey % 7 - 3) / 4.0D as dx", "(s_suppkey % 5 - 2) / 4.0D as dy", "-0.5D as dz")
+    """Against the embedded cells with their holes, half a million to a cell's width; some rays start under ground, some fall straight down."""
+    h = np.full((64, 64), np.nan)
+    for r in cells(spark, d).collect():  # 4096 cells at every scale
+        h[r["y"], r["x"]] = r["h"] / 500_000
+    r = table(spark, d, "supplier").selectExpr("s_suppkey as ray", "s_suppkey % 60 + 0.5D as ox", "s_nationkey * 2 + 1.25D as oy", "if(s_suppkey % 4 = 0, 6.0D, 25.0D) as oz", "(s_suppkey % 7 - 3) / 4.0D as dx", "(s_suppkey % 5 - 2) / 4.0D as dy", "-0.5D as dz")
     return rays.cast(r, h)
 
 

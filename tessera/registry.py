@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from .plans import more as _more
 from .plans import queries as _plans
 
 
 def queries() -> dict:
-    return dict(_plans.QUERIES)
+    return _plans.QUERIES | _more.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_plans.ORACLES)
+    return _plans.ORACLES | _more.ORACLES

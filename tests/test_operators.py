@@ -137,9 +137,9 @@ def test_rays_match_fine_steps():
     for _ in range(60):
         o = np.array([*RNG.uniform(1, 31, 2), 18.0])
         d = np.array([*RNG.uniform(-1, 1, 2), RNG.uniform(-0.6, 0.1)])
-        outcome, t = rays.march(h, m, o, d)
+        outcome, t = (v[0] for v in rays.march(h, m, o[None], d[None]))
         steps = np.arange(0, 80, 0.01)
-        first = next((s for s in steps if 0 <= (o + d * s)[0] <= 32 and 0 <= (o + d * s)[1] <= 32 and (o + d * s)[2] <= rays.surface(h, *(o + d * s)[:2])), None)
+        first = next((s for s in steps if 0 <= (o + d * s)[0] <= 32 and 0 <= (o + d * s)[1] <= 32 and (o + d * s)[2] <= rays.surface(h, *((o + d * s)[:2, None]))[0]), None)
         assert (outcome == "hit") == (first is not None)
         if first is not None:
             hits += 1
@@ -178,3 +178,49 @@ def test_text_and_grid(spark):
     assert list(sizes) == ["0 B", "1.0 KiB", "1.0 MiB", "142.2 GiB"]
     r = one.select(text.last_segment(F.lit("a/b/c/")), text.content_range(F.lit("bytes 5-9/20"))["total"], text.md5_line(F.lit("x")), *grid.tile_of_texel(-513, 0)[:1]).first()
     assert list(r) == ["c", 20, None, -2]
+
+
+def test_rays_plumb_under_ground_and_holes():
+    h = np.full((9, 9), 5.0)
+    h[4:6, 4:6] = np.nan
+    o = np.array([[1.5, 1.5, 9.0], [1.5, 1.5, 9.0], [1.5, 1.5, 3.0], [4.5, 4.5, 9.0], [20.0, 1.0, 9.0], [0.5, 1.5, 9.0], [0.5, 4.5, 9.0]])
+    d = np.array([[0, 0, -2.0], [0, 0, 1.0], [1.0, 0, 0], [0, 0, -1.0], [0, 0, -1.0], [1.0, 0, -1.0], [1.0, 0, -1.0]])
+    outcome, t = rays.march(h, rays.bounds_of(h), o, d)
+    assert outcome.tolist() == ["hit", "none", "abandoned", "none", "none", "hit", "hit"]
+    assert abs(t[0] - 2) < 1e-9 and abs(t[5] - 4) < 1e-6 and abs(t[6] - 5.5) < 1e-6
+
+
+def test_stitching_goes_on_below_four_ids():
+    assert vector.stitch([[1, 2, 1], [1, 5, 6]]) == [[1, 2, 1, 5, 6]]
+    assert vector.stitch([[7], [], [1, 2], [3, 2], [3, 4]]) == [[1, 2, 3, 4]]
+
+
+def test_creep_is_round_and_keeps_planes(spark):
+    rows = [(x, y, 100.0 if (x, y) == (8, 8) else 0.0) for x in range(17) for y in range(17)]
+    grid = spark.createDataFrame(rows, "x long, y long, h double")
+    got = {(r.x, r.y): r.h for r in terrain.creep(grid, 0.06).collect()}
+    assert abs(got[8, 8] - (100 - 0.06 * 6 * 100 / 2)) < 1e-9 and abs(got[7, 8] - 3) < 1e-9 and abs(got[7, 7] - 1.5) < 1e-9
+    plane = spark.createDataFrame([(x, y, 3.0 * x - 2.0 * y) for x in range(6) for y in range(6)], "x long, y long, h double")
+    assert all(abs(r.h - (3 * r.x - 2 * r.y)) < 1e-9 for r in terrain.creep(plane, 0.5).collect())
+
+
+def test_half_ceiling(spark):
+    from tessera.functions import view
+
+    v = [0.0, 1.0, 1.0001, -1.0001, 65504.0, 65505.0, -65505.0, -65520.0, 1e-8, -1e-8, 0.1, 2047.5, 2049.0, -2049.0]
+    got = [r.c for r in spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, v double").select("i", view.ceiling_half(F.col("v")).alias("c")).orderBy("i").collect()]
+    for x, c in zip(v, got, strict=True):
+        half = np.float16(np.float32(x))
+        want = half if float(half) >= np.float32(x) or np.isinf(half) else np.nextafter(half, np.float16(np.inf))
+        assert c == float(want), (x, c, want)
+
+
+def test_one_camera_carries_everything_onto_itself(spark):
+    from tessera.functions import view
+
+    cam = view.Camera((3.0, 1.0, 2.0), (0.8, 0.0, 0.6), (0.0, 0.5, 0.0), (0.6, 0.0, -0.8), 0.25, 32, 16)
+    rows = [(x, y, 128, 64, 0.5 if (x + y) % 3 else 0.0, x + y) for x in range(32) for y in range(16)]
+    frame = spark.createDataFrame(rows, "px long, py long, ox int, oy int, depth double, material int")
+    got = {(r.px, r.py): (round(r.depth, 9), r.material) for r in view.carry(frame, cam, cam).collect()}
+    assert got == {(x, y): (0.5, m) for x, y, _, _, dep, m in rows if dep}
+    assert view.work_list(view.carry(frame, cam, cam).limit(0), 0, 32, 16).count() == 32 * 16
