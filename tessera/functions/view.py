@@ -75,6 +75,11 @@ def motion(px: Column, py: Column, depth: Column, now: Camera, was: Camera) -> t
     return F.coalesce(cx - wx, F.lit(0.0)), F.coalesce(cy - wy, F.lit(0.0))
 
 
+def _once(**named: Column) -> Column:
+    """Columns that later expressions refer to instead of repeating: a generated row is not merged into what reads it."""
+    return F.inline(F.array(F.struct(*(v.alias(k) for k, v in named.items()))))
+
+
 def carry(frame: DataFrame, was: Camera, now: Camera) -> DataFrame:
     """px, py, ox, oy, depth, material of the pixels of ``now`` that points of the last frame land on; of several the nearest wins, then the larger material.
 
@@ -82,8 +87,9 @@ def carry(frame: DataFrame, was: Camera, now: Camera) -> DataFrame:
     """
     seen = frame.where("depth > 0")
     point = was.place(F.col("px") + F.col("ox") / OFFSET_SCALE, F.col("py") + F.col("oy") / OFFSET_SCALE, F.col("depth"))
-    x, y, ahead = now.screen(*point)
-    landed = seen.select(x.alias("lx"), y.alias("ly"), now.depth(ahead).alias("depth"), "material")
+    seen = seen.select("material", _once(x=point[0], y=point[1], z=point[2]))
+    x, y, ahead = now.screen(F.col("x"), F.col("y"), F.col("z"))
+    landed = seen.select("material", _once(lx=x, ly=y, depth=now.depth(ahead)))
     landed = landed.where((F.col("lx") >= 0) & (F.col("lx") < now.width) & (F.col("ly") >= 0) & (F.col("ly") < now.height))
     px, py = F.floor("lx"), F.floor("ly")
     landed = landed.select(px.alias("px"), py.alias("py"), offset_step(F.col("lx") - px).alias("ox"), offset_step(F.col("ly") - py).alias("oy"), "depth", "material")

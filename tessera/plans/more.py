@@ -125,8 +125,8 @@ def mean_chain(spark: SparkSession, d: str) -> DataFrame:
 
 # --- views -----------------------------------------------------------------
 
-_WAS = view.Camera((0.0, 50.0, 0.0), (1.0, 0.0, 0.0), (0.0, 0.5625, 0.0), (0.0, 0.0, -1.0), 0.1, 64, 36)
-_NOW = view.Camera((1.5, 50.25, -2.0), (0.96, 0.0, 0.28), (0.0, 0.5625, 0.0), (0.28, 0.0, -0.96), 0.1, 64, 36)
+_WAS = view.Camera((0.0, 50.0, 0.0), (1.0, 0.0, 0.0), (0.0, 0.5625, 0.0), (0.0, 0.0, -1.0), 10.0, 64, 36)
+_NOW = view.Camera((1.5, 50.25, -2.0), (0.96, 0.0, 0.28), (0.0, 0.5625, 0.0), (0.28, 0.0, -0.96), 10.0, 64, 36)
 
 
 def _frame(spark: SparkSession, d: str) -> DataFrame:
@@ -181,7 +181,7 @@ def march_work(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {_FRAME}, r as (select px, py, {", ".join(f"{_ray(_NOW, '(px + 0.5::double)', '(py + 0.5::double)', i)} as {a}" for i, a in enumerate(("rx", "ry", "rz")))}, depth, material from frame)
 select px, py, round(rx / sqrt(rx * rx + ry * ry + rz * rz), 9) as dx, round(ry / sqrt(rx * rx + ry * ry + rz * rz), 9) as dy, round(rz / sqrt(rx * rx + ry * ry + rz * rz), 9) as dz,
- case when depth > 0 then round(0.1::double / depth, 9) end as distance from r""")
+ case when depth > 0 then round(10.0::double / depth, 9) end as distance from r""")
 def pixel_ray(spark: SparkSession, d: str) -> DataFrame:
     dx, dy, dz = view.normalised(*_NOW.ray(F.col("px") + 0.5, F.col("py") + 0.5))
     return _frame(spark, d).select("px", "py", F.round(dx, 9).alias("dx"), F.round(dy, 9).alias("dy"), F.round(dz, 9).alias("dz"), F.round(_NOW.distance(F.when(F.col("depth") > 0, F.col("depth"))), 9).alias("distance"))
@@ -261,7 +261,7 @@ def region_of_point(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with r as (select *, {_REGION} from ({RECTS})), b as (select s_suppkey as box, s_suppkey % 90 + 0.25::double as x, s_nationkey * 2 + 0.5::double as y from supplier),
  p as (select box, k, x + 8 * (k % 5) / 4.0::double as px, y + 2 * (k // 5) / 4.0::double as py from b, range(25) g(k)),
- h as (select box, k, region, part from p join r on px > cx and px < cx + w and py > cy and py < cy + t group by 1, 2, 3, 4 having count(*) filter (hole) = 0),
+ h as (select box, k, region, part from p join r on px >= cx and px < cx + w and py >= cy and py < cy + t group by 1, 2, 3, 4 having count(*) filter (hole) = 0),
  a as (select box, region from (select distinct box, k, region from h) group by 1, 2 having count(*) = 25),
  f as (select region, (max(cx + w) - min(cx)) * (max(cy + t) - min(cy)) as footprint from r where not hole group by 1)
 select box, cast(arg_min(region, footprint * 1000000 + region) as bigint) as region from a join f using (region) group by 1""")
