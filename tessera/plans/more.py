@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour, grid, ground, nodata, perimeter, view
 from ..operators import pyramid, regions, vector
+from ..sources import geotiff
 from .embeddings import CELLS, POINTS, RECTS, cells, points, rectangles, table
 
 QUERIES: dict = {}
@@ -287,3 +288,21 @@ def paint_with_strokes(spark: SparkSession, d: str) -> DataFrame:
 def wanted_nodes(spark: SparkSession, d: str) -> DataFrame:
     ways = table(spark, d, "lineitem").where("l_quantity > 45").groupBy("l_orderkey").agg(F.collect_list("l_suppkey").alias("refs"))
     return vector.wanted(table(spark, d, "supplier").selectExpr("s_suppkey as node", "s_acctbal as x"), ways)
+
+
+# --- files -----------------------------------------------------------------
+
+
+@query(f"with {CELLS} select x - 20 as x, y - 40 as y, round(h / 1000.0::double, 0)::float::double as h from cells where round(h / 1000.0::double, 0) >= 1000")
+def geotiff_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Cells as files of 32 texels a side, on both sides of the origin, read back; texels under a bound are left out."""
+    c = cells(spark, d).select((F.col("x") - 20).alias("x"), (F.col("y") - 40).alias("y"), F.round(F.col("h") / 1000.0, 0).alias("h"))
+    files = geotiff.tile_files(c, 32, 3979, 2.0, nodata.HEIGHT_NODATA)
+    return geotiff.read_cells(files, 1000.0).withColumn("h", F.col("h").cast("double"))
+
+
+@query(f"with {CELLS}, t as (select floor((x - 20) / 32.0)::int as tx, floor((y - 40) / 32.0)::int as ty, count(*) as n from cells group by 1, 2) select tx, ty, tx * 64.0::double as west, ty * -64.0::double as north, n from t")
+def geotiff_places(spark: SparkSession, d: str) -> DataFrame:
+    c = cells(spark, d).select((F.col("x") - 20).alias("x"), (F.col("y") - 40).alias("y"), "h")
+    files = geotiff.tile_files(c, 32, 3979, 2.0, nodata.HEIGHT_NODATA)
+    return geotiff.places(files).select("tx", "ty", "west", "north", "n")

@@ -34,14 +34,56 @@ def covers_same_ground(a: dict, b: dict) -> bool:
 
 
 def write_product(cells: DataFrame, root: str, manifest: dict) -> None:
-    """Cells (level, x, y, value) by level and tile, then the manifest; what has none is not there."""
+    """Cells (level, x, y, value) by level and tile, then the manifest; what has none is not there.
+
+    On a rewrite the old manifest goes first, so that a run that is killed
+    leaves no product rather than a mixed one.
+    """
     check(manifest)
+    _delete(cells.sparkSession, f"{root}/{manifest['product']}/manifest")
     tile = lambda c: F.floor(F.col(c) / TILE).cast("int")
     out = cells.withColumn("tx", tile("x")).withColumn("ty", tile("y"))
     out.repartition("level", "tx", "ty").sortWithinPartitions("ty", "tx", "y", "x").write.mode("overwrite").partitionBy("level").parquet(f"{root}/{manifest['product']}/cells")
     cells.sparkSession.createDataFrame([manifest], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{root}/{manifest['product']}/manifest")
 
 
+def _path(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path, files = _path(spark, at)
+    files.delete(path, True)
+
+
+def find_product(spark: SparkSession, root: str, product: str) -> DataFrame | None:
+    """The product's cells, or None where no manifest is."""
+    path, files = _path(spark, f"{root}/{product}/manifest")
+    return read_product(spark, root, product) if files.exists(path) else None
+
+
+def typed(product: DataFrame, value: str, kind: str) -> DataFrame:
+    """The product, if its values are of a type (``float`` heights, ``int`` materials); else an error."""
+    have = product.schema[value].dataType.simpleString()
+    if have != kind:
+        raise TypeError(f"{value} is {have}, not {kind}")
+    return product
+
+
+def dense_rect(product: DataFrame, level: int, x0: int, y0: int, width: int, height: int, nodata: float, value: str = "h") -> DataFrame:
+    """x, y, value of every place of a rectangle; ``nodata`` where the product has no cell."""
+    spark = product.sparkSession
+    places = spark.range(width * height).select((F.col("id") % width + x0).alias("x"), (F.floor(F.col("id") / width) + y0).alias("y"))
+    have = read_rect(product, level, x0, y0, width, height).select("x", "y", value)
+    return places.join(have, ["x", "y"], "left").withColumn(value, F.coalesce(value, F.lit(nodata)))
+
+
+def resident(stored: DataFrame, derived: DataFrame, top: int) -> DataFrame:
+    """level, x, y, h: stored levels up to ``top`` and derived ones above it."""
+    return stored.where(F.col("level") <= top).select("level", "x", "y", "h").unionByName(derived.where(F.col("level") > top).select("level", "x", "y", "h"))
+
+
 def read_manifest(spark: SparkSession, root: str, product: str) -> dict:
     return check(spark.read.schema(MANIFEST).json(f"{root}/{product}/manifest").first().asDict())
 
