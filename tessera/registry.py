@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import landscape as _landscape
 from .plans import more as _more
 from .plans import queries as _plans
 
 
 def queries() -> dict:
-    return _plans.QUERIES | _more.QUERIES
+    return _plans.QUERIES | _more.QUERIES | _landscape.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _plans.ORACLES | _more.ORACLES
+    return _plans.ORACLES | _more.ORACLES | _landscape.ORACLES
