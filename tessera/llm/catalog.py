@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("mixing", "quality", "language", "katz", "bpe", "near_dedup", "vafile", "suffix_dedup", "ogg", "warc", "periodic_runs", "url_filter")
+_MODULES = ("mixing", "quality", "language", "katz", "bpe", "near_dedup", "vafile", "suffix_dedup", "ogg", "warc", "periodic_runs", "url_filter", "lexical_search")
 
 
 def _all(what: str) -> dict:
