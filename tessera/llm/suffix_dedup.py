@@ -1,7 +1,8 @@
 """Removal of long repeated passages by sorting suffixes around shared anchors.
 
 A byte goes if it lies in a string of ``LENGTH`` bytes that also starts earlier
-(smaller id, or same document and earlier start).  Sorting every suffix of the
+(smaller id, or same document and earlier start).  A document is an id with a
+text: its key is the id and ``version``, a hash of the text, in that order.  Sorting every suffix of the
 corpus is not needed to find them: equal strings of 100 bytes select equal
 40-byte anchors (a minimum over the 61 hashes inside, ties kept), so only
 suffixes that begin within 60 bytes before an anchor that occurs twice matter.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import BYTE_EXACT, by_bucket, lean, mix, pack, partitions, prefix_hash, range_hash, stage, text_slices, unpack
@@ -33,6 +34,8 @@ from .shared import BYTE_EXACT, by_bucket, lean, mix, pack, partitions, prefix_h
 LENGTH, ANCHOR = 100, 40
 BEFORE = LENGTH - ANCHOR
 WIDTH = BEFORE + 1
+#: Bytes of text whose anchors make a bucket, at most as far as hashes deal evenly; a bucket is held by one task.
+BUCKET_BYTES = 8 << 20
 #: Eight-byte words that multikey quicksort looks at, besides the anchor's hash, before blind tries take over.
 SHALLOW = 3
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -81,14 +84,14 @@ def _first_of(key: np.ndarray) -> np.ndarray:
     return out
 
 
-def _settle(doc: np.ndarray, pos: np.ndarray, anchor: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by (doc, pos); in it, which elements are the first with their context, and which repeat one at another place."""
-    order = np.lexsort((pos, doc))
+def _settle(doc: np.ndarray, version: np.ndarray, pos: np.ndarray, anchor: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by (doc, version, pos); in it, which elements are the first with their context, and which repeat one at another place."""
+    order = np.lexsort((pos, version, doc))
     first = _first_of(mix(anchor[order]) ^ context[order])
     own = np.arange(len(order))
     lead = first == own
-    d, p = doc[order], pos[order]
-    return order, lead, ~lead & ((d != d[first]) | (p != p[first]))
+    d, v, p = doc[order], version[order], pos[order]
+    return order, lead, ~lead & ((d != d[first]) | (v != v[first]) | (p != p[first]))
 
 
 def _scan(buckets: int):
@@ -96,17 +99,18 @@ def _scan(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for ids, data, offs in text_slices(batch.column(0), batch.column(1), 1 << 19):
+            docs, versions = np.asarray(batch.column(0)), np.asarray(batch.column(2))
+            for rows, data, offs in text_slices(pa.array(np.arange(batch.num_rows)), batch.column(1), 1 << 19):
                 a = anchors(data, offs)
-                a["doc"] = np.asarray(ids)[a.pop("row")]
-                parts.append(a)
+                row = np.asarray(rows)[a.pop("row")]
+                parts.append(a | {"doc": docs[row], "version": versions[row]})
             if not parts:
                 continue
             a = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-            order, lead, again = _settle(a["doc"], a["pos"], a["anchor"], a["context"])
+            order, lead, again = _settle(a["doc"], a["version"], a["pos"], a["anchor"], a["context"])
             a = {k: v[order] for k, v in a.items()}
             live = {k: v[lead] for k, v in a.items()}
-            done = {k: a[k][again] for k in ("anchor", "doc", "pos")}
+            done = {k: a[k][again] for k in ("anchor", "doc", "version", "pos")}
             lo, lb = by_bucket((live["anchor"] % np.uint64(buckets)).astype(np.int64), buckets)
             do, db = by_bucket((done["anchor"] % np.uint64(buckets)).astype(np.int64), buckets)
             which, blobs = [], []
@@ -114,26 +118,26 @@ def _scan(buckets: int):
                 x, y = lo[lb[b] : lb[b + 1]], do[db[b] : db[b + 1]]
                 if len(x) or len(y):
                     which.append(b)
-                    blobs.append(pack(a=live["anchor"][x], c=live["context"][x], d=live["doc"][x], p=live["pos"][x].astype(np.uint32), rd=done["doc"][y], rp=done["pos"][y].astype(np.uint32)))
+                    blobs.append(pack(a=live["anchor"][x], c=live["context"][x], d=live["doc"][x], v=live["version"][x], p=live["pos"][x].astype(np.uint32), rd=done["doc"][y], rv=done["version"][y], rp=done["pos"][y].astype(np.uint32)))
             yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(blobs, pa.large_binary())], schema=pa.schema([("bucket", pa.int32()), ("blob", pa.large_binary())]))
 
     return run
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """All anchors of a bucket -> (doc_id, pos, anchor), anchor null for positions whose context is settled."""
+    """All anchors of a bucket -> (doc_id, version, pos, anchor), anchor null for positions whose context is settled."""
     blobs = [unpack(x) for x in table["blob"].to_pylist()]
-    a, c, d, p, rd, rp = (np.concatenate([b[k] for b in blobs]) for k in ("a", "c", "d", "p", "rd", "rp"))
-    order, lead, again = _settle(d, p, a, c)
-    a, d, p = a[order], d[order], p[order]
+    a, c, d, v, p, rd, rv, rp = (np.concatenate([b[k] for b in blobs]) for k in ("a", "c", "d", "v", "p", "rd", "rv", "rp"))
+    order, lead, again = _settle(d, v, p, a, c)
+    a, d, v, p = a[order], d[order], v[order], p[order]
     la = a[lead]
     _, inverse, n = np.unique(la, return_inverse=True, return_counts=True)
     several = np.flatnonzero(lead)[n[inverse] > 1]
-    doc = np.concatenate((rd, d[again], d[several]))
+    doc, version = np.concatenate((rd, d[again], d[several])), np.concatenate((rv, v[again], v[several]))
     pos = np.concatenate((rp, p[again], p[several])).astype(np.int64)
     anchor = np.concatenate((np.zeros(len(rd) + int(again.sum()), np.uint64), a[several])).view(np.int64)
     settled = np.arange(len(doc)) < len(doc) - len(several)
-    return pa.table({"doc_id": doc, "pos": pos, "anchor": pa.array(anchor, mask=settled)})
+    return pa.table({"doc_id": doc, "version": version, "pos": pos, "anchor": pa.array(anchor, mask=settled)})
 
 
 def _union(start: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,8 +161,8 @@ def _finish(raw: bytes, start: np.ndarray, end: np.ndarray) -> dict:
     return {"n_bytes": len(raw), "n_removed": len(raw) - len(kept), "n_spans": len(start), "kept_sha256": hashlib.sha256(kept).hexdigest(), "spans": bounds[1:-1], "kept": kept}
 
 
-_PART = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary, open binary, raw binary"
-_PART_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary()), ("open", pa.binary()), ("raw", pa.binary())])
+_PART = "doc_id long, version long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary, open binary, raw binary"
+_PART_ARROW = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary()), ("open", pa.binary()), ("raw", pa.binary())])
 
 
 def _in_pieces(rows: Iterator[dict], schema: pa.Schema, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
@@ -183,7 +187,7 @@ def _mark(keep_text: bool):
             for i in range(batch.num_rows):
                 x = batch.column("text")[i]
                 raw = x.as_buffer().to_pybytes() if x.is_valid else b""
-                n, row = len(raw), {"doc_id": batch.column("doc_id")[i].as_py()}
+                n, row = len(raw), {k: batch.column(k)[i].as_py() for k in ("doc_id", "version")}
                 if marks[i].is_valid:
                     own = marks[i].values
                     pos, anchor = np.asarray(own.field("pos")), own.field("anchor")
@@ -212,7 +216,7 @@ def _contexts(buckets: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            A, D, P, B, R, S = [], [], [], [], [], []
+            A, D, V, P, B, R, S = [], [], [], [], [], [], []
             for i in range(batch.num_rows):
                 o = unpack(batch.column("open")[i].as_py())
                 raw = np.frombuffer(batch.column("raw")[i].as_buffer(), np.uint8)
@@ -221,19 +225,20 @@ def _contexts(buckets: int):
                 A.append(o["a"])
                 P.append(at)
                 D.append(np.full(len(at), batch.column("doc_id")[i].as_py(), np.int64))
+                V.append(np.full(len(at), batch.column("version")[i].as_py(), np.int64))
                 B.append(np.minimum(BEFORE, at))
                 R.append(np.minimum(LENGTH, n - at))
                 around = padded[at[:, None] + np.arange(BEFORE + LENGTH)]
                 S.append(np.concatenate((around[:, BEFORE - 1 :: -1], around[:, BEFORE + ANCHOR :]), 1))
             if not A:
                 continue
-            a, d, p, b, r, s = (np.concatenate(v) for v in (A, D, P, B, R, S))
+            a, d, v, p, b, r, s = (np.concatenate(x) for x in (A, D, V, P, B, R, S))
             order, bounds = by_bucket((a % np.uint64(buckets)).astype(np.int64), buckets)
             full = np.flatnonzero(np.diff(bounds))
             blobs = []
             for k in full:
                 x = order[bounds[k] : bounds[k + 1]]
-                blobs.append(pack(a=a[x], d=d[x], p=p[x], b=b[x].astype(np.uint8), r=r[x].astype(np.uint8), s=s[x].ravel()))
+                blobs.append(pack(a=a[x], d=d[x], v=v[x], p=p[x], b=b[x].astype(np.uint8), r=r[x].astype(np.uint8), s=s[x].ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.large_binary())], schema=pa.schema([("bucket", pa.int32()), ("blob", pa.large_binary())]))
 
     return run
@@ -327,10 +332,10 @@ def _classes(group: np.ndarray, strings: np.ndarray) -> np.ndarray:
 def _resolve(table: pa.Table) -> pa.Table:
     """Open contexts of a bucket -> intervals that they cover."""
     blobs = [unpack(x) for x in table["blob"].to_pylist()]
-    a, d, p, b, r = (np.concatenate([x[k] for x in blobs]) for k in "adpbr")
+    a, d, v, p, b, r = (np.concatenate([x[k] for x in blobs]) for k in "advpbr")
     s = np.concatenate([x["s"].reshape(-1, 2 * BEFORE) for x in blobs])
-    order = np.lexsort((p, d))
-    a, d, p, b, r, s = a[order], d[order], p[order], b[order].astype(np.int64), r[order].astype(np.int64), s[order]
+    order = np.lexsort((p, v, d))
+    a, d, v, p, b, r, s = a[order], d[order], v[order], p[order], b[order].astype(np.int64), r[order].astype(np.int64), s[order]
     left, right = _classes(a, s[:, :BEFORE]), _classes(a, s[:, BEFORE:])
     hit = np.zeros((BEFORE + 2, len(a)), bool)
     for j in range(BEFORE + 1):
@@ -338,11 +343,11 @@ def _resolve(table: pa.Table) -> pa.Table:
         if len(ok):
             key = left[j, ok].astype(np.int64) * len(a) + right[BEFORE - j, ok]
             first = ok[_first_of(key)]
-            hit[j, ok] = (d[first] != d[ok]) | (p[first] != p[ok])
+            hit[j, ok] = (d[first] != d[ok]) | (v[first] != v[ok]) | (p[first] != p[ok])
     edge = np.diff(np.concatenate((np.zeros((1, len(a)), np.int8), hit.astype(np.int8))), axis=0)
     rise, fall = np.argwhere(edge.T == 1), np.argwhere(edge.T == -1)
     row, j0, j1 = rise[:, 0], rise[:, 1], fall[:, 1] - 1
-    return pa.table({"doc_id": d[row], "start": p[row] - j1, "end": p[row] - j0 + LENGTH})
+    return pa.table({"doc_id": d[row], "version": v[row], "start": p[row] - j1, "end": p[row] - j0 + LENGTH})
 
 
 def _close(keep_text: bool):
@@ -354,7 +359,7 @@ def _close(keep_text: bool):
                 more = batch.column("more")[i]
                 if more.is_valid:
                     spans = np.concatenate((spans, np.stack((np.asarray(more.values.field("start")), np.asarray(more.values.field("end"))), 1)))
-                row = {"doc_id": batch.column("doc_id")[i].as_py()} | _finish(raw, *_union(spans[:, 0], spans[:, 1], len(raw)))
+                row = {k: batch.column(k)[i].as_py() for k in ("doc_id", "version")} | _finish(raw, *_union(spans[:, 0], spans[:, 1], len(raw)))
                 if not keep_text:
                     row["kept"] = None
                 yield row
@@ -363,24 +368,33 @@ def _close(keep_text: bool):
     return lambda batches: _in_pieces(rows(batches), schema)
 
 
+def version_of(text: Column) -> Column:
+    """What tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end, start, end, ...), kept (the bytes that stay, null unless keep_text).
+    """One row a row of docs: doc_id, version, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end, start, end, ...), kept (the bytes that stay, null unless keep_text).
 
-    Null and empty texts have no bytes.  Ids name documents: rows that repeat an
-    id are read as repeated rows of one document and all get its result.  Rows
-    whose id is null keep all their bytes.  Other columns are ignored.
+    Null and empty texts have no bytes.  Rows with one id and one text are
+    repeated rows of one document and all get its result; rows with one id and
+    different texts are documents of their own, told apart and ordered by
+    ``version``.  Rows whose id is null keep all their bytes.  Other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    buckets = partitions(spark) * 2
+    text = F.col(text_col)
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), version_of(text).alias("version"))
+    size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(partitions(spark) * 2, size // BUCKET_BYTES)
     met = slim.where("doc_id is not null").mapInArrow(_scan(buckets), "bucket int, blob binary")
-    marks = stage(spark, met.groupBy("bucket").applyInArrow(_meet, "doc_id long, pos long, anchor long"), "anchors")
-    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "anchor")).alias("marks"))
-    part = stage(spark, slim.join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(_mark(keep_text), _PART), "marked")
+    marks = stage(spark, met.groupBy("bucket").applyInArrow(_meet, "doc_id long, version long, pos long, anchor long"), "anchors")
+    key = ["doc_id", "version"]
+    marks = marks.groupBy(*key).agg(F.collect_list(F.struct("pos", "anchor")).alias("marks"))
+    part = stage(spark, slim.join(marks, key, "left").select(*key, "text", "marks").mapInArrow(_mark(keep_text), _PART), "marked")
     pending = part.where("open is not null")
-    found = pending.select("doc_id", "open", "raw").mapInArrow(_contexts(buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_resolve, "doc_id long, start long, end long")
-    more = stage(spark, found, "intervals").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("more"))
-    closed = pending.select("doc_id", "spans", "raw").join(more, "doc_id", "left").mapInArrow(_close(keep_text), _PART.partition(", open")[0])
+    found = pending.select(*key, "open", "raw").mapInArrow(_contexts(buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_resolve, "doc_id long, version long, start long, end long")
+    more = stage(spark, found, "intervals").groupBy(*key).agg(F.collect_list(F.struct("start", "end")).alias("more"))
+    closed = pending.select(*key, "spans", "raw").join(more, key, "left").mapInArrow(_close(keep_text), _PART.partition(", open")[0])
     return part.where("open is null").drop("open", "raw").unionByName(closed)
 
 

@@ -2,8 +2,9 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tessera.llm.suffix_dedup import deep_shallow, remove_repeats
+from tessera.llm.suffix_dedup import deep_shallow, remove_repeats, version_of
 
 
 def brute(rows):
@@ -63,3 +64,32 @@ def test_deep_shallow_sorts():
     order = deep_shallow(g, s)
     keys = [(int(g[i]), s[i].tobytes()) for i in order]
     assert keys == sorted(keys) and sorted(order) == list(range(400))
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    """An id with several texts: what one of them repeats is not cut out of the others, and only the first of them keeps what they share."""
+    rnd = random.Random(9)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    x, y, z = text(400), text(400), text(900)
+    rows = [(1, x), (2, x), (2, y), (2, y), (3, x[100:350] + z), (3, z[:500]), (4, y[5:] + "#" + x), (4, None), (4, "")]
+    for _ in range(12):
+        i = rnd.randrange(5, 9)
+        rows.append((i, text(rnd.randrange(0, 200)) + z[: rnd.randrange(0, 900)] + rnd.choice([x, y, ""])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    version = {(r.doc_id, r.text): r.version for r in df.select("doc_id", "text", version_of(F.col("text")).alias("version")).collect()}
+    got = remove_repeats(df).collect()
+    assert len(got) == len(rows)
+    key = {(i, t or ""): (i, version[i, t]) for i, t in rows}
+    want = brute([(k, t) for (_, t), k in key.items()])
+    assert {((r.doc_id, r.version), (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got} == set(want.items())
+    assert next(r for r in got if (r.doc_id, r.version) == key[2, y]).n_removed == 0 == next(r for r in got if (r.doc_id, r.version) == key[1, x]).n_removed
+
+
+def test_a_text_of_a_megabyte(spark):
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(5000)]
+    big = " ".join(rnd.choice(words) for _ in range(130000))
+    rows = [(1, big[500000:500400]), (2, big), (3, big[:700] + "!" + big[-900:]), (4, "q" * 1000000)]
+    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[i].n_removed, got[i].n_spans) for i in (1, 2, 3, 4)] == [(0, 0), (400, 1), (1600, 2), (999999, 1)]
+    assert bytes(got[2].kept).decode() == big[:500000] + big[500400:] and bytes(got[3].kept) == b"!"
