@@ -45,12 +45,14 @@ def whole_characters(kept: pd.Series) -> pd.Series:
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the passages that also start earlier.
 
-    A document that loses all its bytes stays with an empty text; null texts become empty; rows that repeat an id get each of its texts.
+    A document that loses all its bytes stays with an empty text; null texts become empty; rows that repeat an id keep what is left of their own text.
     """
-    out = suffix_dedup.remove_repeats(docs).select(F.col("doc_id").alias("own"), "kept").distinct()
+    key = [F.col("doc_id").alias("own"), F.col("version").alias("own_version")]
+    out = suffix_dedup.remove_repeats(docs).select(*key, "kept").dropDuplicates(["own", "own_version"])
     out = stage(spark, out, "kept")
-    texts = out.select("own", whole_characters("kept").alias("text"))
-    rest = docs.select("doc_id", "lang", "source").join(texts, F.col("doc_id").eqNullSafe(F.col("own")))
+    texts = out.select("own", "own_version", whole_characters("kept").alias("text"))
+    rest = docs.select("doc_id", "lang", "source", suffix_dedup.version_of(F.col("text")).alias("version"))
+    rest = rest.join(texts, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("version") == F.col("own_version")))
     return rest.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
