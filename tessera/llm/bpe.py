@@ -24,11 +24,14 @@ from pyspark.sql import functions as F
 
 from .shared import lean
 
-#: Encoded words, and pre-tokens, that a worker remembers between batches; beyond it, it starts afresh.
-REMEMBERED, ENTRY, LONG = 48 << 20, 400, 64
+#: Bytes of encoded words, and again of pre-tokens, that a worker remembers between batches, in two generations: the young one
+#: becomes the old one when it holds half of them, and what is asked for in the old one is taken over.
+REMEMBERED, LONG = 48 << 20, 64
+#: Words of a text that are looked up at once; bytes of a slot of a dictionary with the head of its key, and of the heads of values.
+_AT_ONCE, _SLOT, _TEXT, _PAIR = 1 << 14, 180, 49, 138
 
 
-_BIT = [1 << i for i in range(256)]
+_BIT = [1 << i for i in range(4096)]
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -41,55 +44,81 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n, get = len(piece), ranks.get
+    n, get, bit = len(piece), ranks.get, _BIT
     end, before, current = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n  # current: rank of the pair that starts here
     top, words, buckets = 0, [0] * (len(ranks) + 255 >> 8), {}
-    fresh = [(get(piece[i : i + 2]), i) for i in range(n - 1)]
-    while True:
-        for r, i in fresh:
-            if r is None:
-                continue
-            current[i] = r
-            held = buckets.get(r)
-            if held is None:
-                buckets[r] = i
-                w = r >> 8
-                words[w] |= _BIT[r & 255]
-                top |= _BIT[w] if w < 256 else 1 << w
-            elif held.__class__ is int:
-                buckets[r] = [held, i] if held < i else [i, held]
+    for i in range(n - 1):  # left to right, so lists are heaps as they are
+        r = get(piece[i : i + 2])
+        if r is None:
+            continue
+        current[i] = r
+        if r in buckets:
+            held = buckets[r]
+            if held.__class__ is int:
+                buckets[r] = [held, i]
             else:
-                heapq.heappush(held, i)
-        if not top:
-            break
+                held.append(i)
+        else:
+            buckets[r] = i
+            w = r >> 8
+            words[w] |= bit[r & 255]
+            top |= bit[w]
+    while top:
         w = (top & -top).bit_length() - 1
         word = words[w]
         rank = w << 8 | (word & -word).bit_length() - 1
-        held = buckets[rank]
-        if held.__class__ is int or len(held) == 1:
-            i = held if held.__class__ is int else held[0]
+        i = buckets[rank]
+        if i.__class__ is int:
             del buckets[rank]
+        else:
+            held = i
+            i = heapq.heappop(held)
+            if not held:
+                del buckets[rank]
+                held = None
+        if rank not in buckets:
             words[w] = word = word & word - 1
             if not word:
                 top &= top - 1
-        else:
-            i = heapq.heappop(held)
-        fresh = ()
         if current[i] != rank:
             continue  # stale
         j = end[i]
         stop = end[i] = end[j]
         current[j] = current[i] = -1
-        if stop < n:
-            before[stop] = i
-            fresh = [(get(piece[i : end[stop]]), i)]
         h = before[i]
         if h >= 0:
             r = get(piece[h:stop])
             if r is None:
                 current[h] = -1
             elif r != current[h]:
-                fresh = [*fresh, (r, h)]
+                current[h] = r
+                if r in buckets:
+                    held = buckets[r]
+                    if held.__class__ is int:
+                        buckets[r] = [held, h] if held < h else [h, held]
+                    else:
+                        heapq.heappush(held, h)
+                else:
+                    buckets[r] = h
+                    w = r >> 8
+                    words[w] |= bit[r & 255]
+                    top |= bit[w]
+        if stop < n:
+            before[stop] = i
+            r = get(piece[i : end[stop]])
+            if r is not None:
+                current[i] = r
+                if r in buckets:
+                    held = buckets[r]
+                    if held.__class__ is int:
+                        buckets[r] = [held, i] if held < i else [i, held]
+                    else:
+                        heapq.heappush(held, i)
+                else:
+                    buckets[r] = i
+                    w = r >> 8
+                    words[w] |= bit[r & 255]
+                    top |= bit[w]
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -97,6 +126,23 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Memo:
+    """What was computed for keys of up to ``LONG`` characters, in two generations; sizes are upper bounds of what the objects take."""
+
+    def __init__(self, limit: int) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+        self.size, self.limit = 0, limit // 2
+
+    def keep(self, key: str, value, size: int) -> None:
+        self.young[key] = value
+        self.size += size + 4 * len(key) + _SLOT
+
+    def age(self) -> None:
+        if self.size > self.limit:
+            self.old, self.young, self.size = self.young, {}, 0
+
+
 #: White space before a space that more white space, or the end, follows: only there may a space go with what precedes it.
 _AWKWARD = re.compile(r"\s \s|\s \Z").search
 
@@ -111,27 +157,22 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern).findall
         self.by_text = {str(v): k for k, v in self.ranks.items()}
-        self.pieces: dict[str, str] = {}
-        self.memo: dict[str, tuple[str, bytes]] = {}
-        self.held = [0, 0]
+        self.pieces, self.words = Memo(REMEMBERED), Memo(REMEMBERED)
 
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.split(text) for i in merge(piece.encode(), self.ranks)]
 
     def _chunk(self, chunk: str) -> tuple[str, bytes]:
         """Ids of a chunk in decimal, joined by commas, and the bytes that they decode to."""
-        ids = []
+        ids, memo = [], self.pieces
         for p in self.split(chunk):
-            t = self.pieces.get(p)
+            t = memo.young.get(p)
             if t is None:
-                t = ",".join(map(str, merge(p.encode(), self.ranks)))
+                t = memo.old.get(p) or ",".join(map(str, merge(p.encode(), self.ranks)))
                 if len(p) <= LONG:
-                    self.held[0] += ENTRY
-                    if self.held[0] > REMEMBERED:
-                        self.pieces.clear()
-                        self.held[0] = ENTRY
-                    self.pieces[p] = t
+                    memo.keep(p, t, len(t) + _TEXT)
             ids.append(t)
+        memo.age()
         t = ",".join(ids)
         return t, self.decode_text(t)
 
@@ -150,17 +191,20 @@ class Codec:
             chunks = [" " + x for x in rest]
             if first:
                 chunks.insert(0, first)
-        memo, long = self.memo, {}
-        missing = set(chunks).difference(memo)
-        if self.held[1] + len(missing) * ENTRY > REMEMBERED:
-            memo.clear()
-            self.held[1], missing = 0, set(chunks)
-        for c in missing:
-            (memo if len(c) <= LONG else long)[c] = self._chunk(c)
-        self.held[1] = len(memo) * ENTRY
-        if self.held[1] > REMEMBERED:  # one text with very many different words
-            self.memo, self.held[1] = {}, 0
-        ids, raw = zip(*map((memo | long if long else memo).__getitem__, chunks), strict=True)
+        ids, raw, memo = [], [], self.words
+        for k in range(0, len(chunks), _AT_ONCE):
+            part, long = chunks[k : k + _AT_ONCE], {}
+            for c in set(part).difference(memo.young):
+                found = memo.old.get(c) or self._chunk(c)
+                if len(c) <= LONG:
+                    memo.keep(c, found, len(found[0]) + len(found[1]) + _PAIR)
+                else:
+                    long[c] = found
+            known = memo.young
+            t, r = zip(*([long.get(c) or known[c] for c in part] if long else map(known.__getitem__, part)), strict=True)
+            ids += t
+            raw += r
+            memo.age()
         return ",".join(ids), b"".join(raw)
 
     def decode_text(self, ids: str) -> bytes:
