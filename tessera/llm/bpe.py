@@ -194,6 +194,11 @@ def merge_many(pieces: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarr
             take = (k - start) % 2 == 0
             at, joined = at[take], joined[take]
         stop = after[joined]
+        beside = np.flatnonzero(stop[:-1] == at[1:])  # these pairs last until the next merge of this rank
+        hasty = stop[:-1][beside]
+        if len(hasty):
+            brief = v.rank_of(np.full(len(hasty), r), token[hasty])
+            hasty = hasty[(brief >= 0) & (brief <= r)]
         token[at], token[joined], rank[joined] = r, -1, -1
         after[at], before[stop] = stop, at
         left = before[at]
@@ -202,11 +207,10 @@ def merge_many(pieces: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarr
         rank[spot] = new
         rank[n] = -1
         fit = (new >= 0) & (spot < n)
-        if not fit.any():
-            continue
         new, spot = new[fit], spot[fit]
-        if new.min() <= r:
-            odd = np.searchsorted(offs, spot[new <= r], "right") - 1
+        low = new <= r
+        if len(hasty) or low.any():
+            odd = np.searchsorted(offs, np.concatenate((spot[low], hasty)), "right") - 1
             for k in set(odd.tolist()):
                 alone.add(k)
                 rank[offs[k] : offs[k + 1]] = -1
