@@ -1,17 +1,18 @@
-"""Named regions of polygons with holes: which contain a point or a box, and the smallest that does."""
+"""Named regions of polygons with holes: which contain a point or a box, and the deepest that does."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lists import hops
 from .vector import points_in_rings
 
-#: Points a side that a box is probed with.
-SAMPLES = 5
+# Points a side that a box is probed with, and parents that are followed.
+SAMPLES, MOST_DEPTH = 5, 100
 
 
-def containing(points: DataFrame, rings: DataFrame, edges: DataFrame, cell: int, keys: tuple[str, ...]) -> DataFrame:
+def containing(points: DataFrame, rings: DataFrame, edges: DataFrame, cell: float, keys: tuple[str, ...]) -> DataFrame:
     """keys and region of points inside any polygon's exterior and none of its holes.
 
     ``rings``: ring, region, part, hole.  ``edges`` as of ``ring_edges``.
@@ -29,7 +30,7 @@ def probes(boxes: DataFrame, key: str = "box") -> DataFrame:
     return wide.select(key, "i", across("west", "east", F.col("i") % SAMPLES).alias("px"), across("south", "north", F.floor(F.col("i") / SAMPLES)).alias("py"))
 
 
-def containing_boxes(boxes: DataFrame, rings: DataFrame, edges: DataFrame, cell: int, key: str = "box") -> DataFrame:
+def containing_boxes(boxes: DataFrame, rings: DataFrame, edges: DataFrame, cell: float, key: str = "box") -> DataFrame:
     """key and region of boxes all of whose probes are inside."""
     hit = containing(probes(boxes, key), rings, edges, cell, (key, "i"))
     return hit.groupBy(key, "region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == SAMPLES * SAMPLES).drop("n")
@@ -41,6 +42,15 @@ def footprints(rings: DataFrame, points: DataFrame) -> DataFrame:
     return out.agg(((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("footprint"))
 
 
-def smallest(hits: DataFrame, sizes: DataFrame, key: str = "box") -> DataFrame:
-    """key, region: of the regions that contain a box that of the least footprint, then of the least name."""
-    return hits.join(sizes, "region").groupBy(key).agg(F.min(F.struct("footprint", "region")).alias("b")).select(key, "b.region")
+def depths(regions: DataFrame) -> DataFrame:
+    """region, depth: parents above each region (region, parent), by doubling pointers; a parent that is no region counts as none, a loop as ``MOST_DEPTH``."""
+    known = regions.select(F.col("region").alias("parent"), F.lit(True).alias("there"))
+    links = regions.join(known, "parent", "left").select(F.col("region").alias("key"), F.when(F.col("there"), F.col("parent")).alias("prev"))
+    out = hops(links)
+    return out.select(F.col("key").alias("region"), F.when(F.col("up").isNull(), F.least("hops", F.lit(MOST_DEPTH))).otherwise(MOST_DEPTH).cast("int").alias("depth"))
+
+
+def chosen(hits: DataFrame, levels: DataFrame, sizes: DataFrame, key: str = "box") -> DataFrame:
+    """key, region: of the regions that contain a box the deepest, then that of the least footprint, then of the least name."""
+    ranked = hits.join(levels, "region").join(sizes, "region").groupBy(key).agg(F.min(F.struct((-F.col("depth")).alias("d"), "footprint", "region")).alias("b"))
+    return ranked.select(key, "b.region")

@@ -48,18 +48,59 @@ def ring_area(edges: DataFrame, ring: str = "ring") -> DataFrame:
     return edges.groupBy(ring).agg((twice / 2).alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
 
 
-def points_in_rings(points: DataFrame, edges: DataFrame, cell: int, keys: tuple[str, ...], ring: str = "ring") -> DataFrame:
-    """keys and ring of points inside by the even-odd rule.
+#: Cell borders lie at odd fractions of a cell, so that no ordinary coordinate falls on one.
+_SHIFT_X, _SHIFT_Y = 0.41421356237309515, 0.7320508075688772
 
-    Edges are binned by rows of ``cell``, so that the range join has an equality.
+
+def _cells_of(c: Column, cell: float, shift: float) -> Column:
+    return F.floor(c / cell - shift)
+
+
+def ring_cells(edges: DataFrame, cell: float, ring: str = "ring", group: tuple[str, ...] = ()) -> DataFrame:
+    """Rings as an index of square cells: group, ring, __i, __j, x, y, nx, ny.
+
+    A cell that an edge passes has a row for that edge; a cell whose upper right
+    corner is inside has one more, without an edge.  Corners are settled row by
+    row: the crossings of a row's upper border, in order, enclose the corners
+    inside by pairs.
+    """
+    own = [*group, ring]
+    slim = edges.select(*own, *(F.col(c).cast("double").alias(c) for c in ("x", "y", "nx", "ny")))
+    dx, dy = F.col("nx") - F.col("x"), F.col("ny") - F.col("y")
+    row = lambda c: _cells_of(c, cell, _SHIFT_Y)
+    rows = slim.withColumn("__j", F.explode(F.sequence(row(F.least("y", "ny")), row(F.greatest("y", "ny")))))
+    at = lambda y: F.col("x") + (y - F.col("y")) / dy * dx
+    floor, top = (F.col("__j") + _SHIFT_Y) * cell, (F.col("__j") + 1 + _SHIFT_Y) * cell
+    low, high = F.greatest(F.least("y", "ny"), floor), F.least(F.greatest("y", "ny"), top)
+    x0, x1 = F.when(dy == 0, F.col("x")).otherwise(at(low)), F.when(dy == 0, F.col("nx")).otherwise(at(high))
+    near = lambda c, d: _cells_of(c + d * 1e-6 * cell, cell, _SHIFT_X)  # noqa: E731  a cell too many does no harm
+    passed = rows.select(*own, F.explode(F.sequence(near(F.least(x0, x1), -1), near(F.greatest(x0, x1), 1))).alias("__i"), "__j", "x", "y", "nx", "ny")
+    crossed = rows.where((F.col("y") > top) != (F.col("ny") > top)).select(*own, "__j", _cells_of(at(top), cell, _SHIFT_X).alias("__i"))
+    by = Window.partitionBy(*own, "__j").orderBy("__i")
+    pairs = crossed.withColumn("to", F.lead("__i").over(by)).withColumn("n", F.row_number().over(by)).where("n % 2 = 1 and to > __i")
+    inside = pairs.select(*own, F.explode(F.sequence(F.col("__i"), F.col("to") - 1)).alias("__i"), "__j", *(F.lit(None).cast("double").alias(c) for c in ("x", "y", "nx", "ny")))
+    return passed.unionByName(inside)
+
+
+def points_in_rings(points: DataFrame, edges: DataFrame, cell: float, keys: tuple[str, ...], ring: str = "ring", group: tuple[str, ...] = ()) -> DataFrame:
+    """group, keys and ring of points (px, py) inside by the even-odd rule, among the rings of their group.
+
+    A point meets what ``ring_cells`` holds for its own cell alone: the edges
+    between it and the cell's upper right corner, going right and then up, and
+    the parity of that corner.  ``cell`` should be a fraction of the rings'
+    size: the index has a row for each edge and cell that it passes, and for each cell inside.
     """
-    low, high = F.least("y", "ny"), F.greatest("y", "ny")
-    bins = edges.where("y <> ny").withColumn("bin", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
-    at = points.select(*keys, F.col("px"), F.col("py"), F.floor(F.col("py") / cell).alias("bin"))
-    cross = (F.col("y") > F.col("py")) != (F.col("ny") > F.col("py"))
+    index = ring_cells(edges, cell, ring, group)
+    at = points.select(*group, *keys, F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py"))
+    at = at.withColumn("__i", _cells_of(F.col("px"), cell, _SHIFT_X)).withColumn("__j", _cells_of(F.col("py"), cell, _SHIFT_Y))
+    right, top = (F.col("__i") + 1 + _SHIFT_X) * cell, (F.col("__j") + 1 + _SHIFT_Y) * cell
     meets = F.col("x") + (F.col("py") - F.col("y")) / (F.col("ny") - F.col("y")) * (F.col("nx") - F.col("x"))
-    hits = at.join(bins, "bin").where(cross & (F.col("px") < meets))
-    return hits.groupBy(*keys, ring).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").drop("n")
+    rises = F.col("y") + (right - F.col("x")) / (F.col("nx") - F.col("x")) * (F.col("ny") - F.col("y"))
+    across = ((F.col("y") > F.col("py")) != (F.col("ny") > F.col("py"))) & (F.col("px") < meets) & (meets < right)
+    upward = ((F.col("x") > right) != (F.col("nx") > right)) & (F.col("py") < rises) & (rises < top)
+    crossings = F.when(F.col("x").isNull(), F.lit(1)).otherwise(F.coalesce(across, F.lit(False)).cast("int") + F.coalesce(upward, F.lit(False)).cast("int"))
+    hits = at.join(index, [*group, "__i", "__j"]).withColumn("n", crossings).where("n > 0")
+    return hits.groupBy(*group, *keys, ring).agg(F.sum("n").alias("n")).where("n % 2 = 1").drop("n")
 
 
 def clip_segment(x0: Column, y0: Column, x1: Column, y1: Column, box: tuple[float, float, float, float]) -> tuple[Column, Column]:
@@ -151,19 +192,6 @@ def paint(covers: DataFrame, ident: str = "id") -> DataFrame:
     return covers.groupBy("x", "y").agg(F.max_by(ident, rank).alias(ident))
 
 
-def nearest_distance(cells: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
-    """x, y, distance of every cell: the 3-4 chamfer distance to the nearest seed within a box of ``reach`` cells, null where there is none.
-
-    Seeds are binned by the reach, so that a cell meets those of nine bins only.
-    """
-    bins = [F.floor(F.col(c) / reach).alias(f"b{c}") for c in "xy"]
-    around = F.array(*(F.struct((F.floor(F.col("x") / reach) + i).alias("bx"), (F.floor(F.col("y") / reach) + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    near = cells.select("x", "y", F.inline(around)).join(seeds.select(F.col("x").alias("sx"), F.col("y").alias("sy"), *bins), ["bx", "by"])
-    dx, dy = F.abs(F.col("x") - F.col("sx")), F.abs(F.col("y") - F.col("sy"))
-    found = near.where((dx <= reach) & (dy <= reach)).groupBy("x", "y").agg(F.min(3 * F.greatest(dx, dy) + F.least(dx, dy)).alias("distance"))
-    return cells.select("x", "y").join(found, ["x", "y"], "left")
-
-
 def paint_all(areas: DataFrame, strokes: DataFrame, ident: str = "id") -> DataFrame:
     """x, y, id after areas of the layers up to 3, then strokes in order of their index, then the layers above.
 

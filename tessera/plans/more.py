@@ -257,20 +257,24 @@ _IN = "count(*) filter (not hole and {p}) > 0 and count(*) filter (hole and {p})
 def region_of_point(spark: SparkSession, d: str) -> DataFrame:
     rings, corners = _regions(spark, d)
     p = table(spark, d, "supplier").selectExpr("s_suppkey", "s_suppkey % 130 + 0.25D as px", "s_nationkey * 3 + 0.5D as py")
-    return regions.containing(p, rings, vector.ring_edges(corners), 16, ("s_suppkey",))
+    return regions.containing(p, rings, vector.ring_edges(corners), 2.0, ("s_suppkey",))
 
 
-@query(f"""with r as (select *, {_REGION} from ({RECTS})), b as (select s_suppkey as box, s_suppkey % 90 + 0.25::double as x, s_nationkey * 2 + 0.5::double as y from supplier),
+@query(f"""with recursive r as (select *, {_REGION} from ({RECTS})), b as (select s_suppkey as box, s_suppkey % 90 + 0.25::double as x, s_nationkey * 2 + 0.5::double as y from supplier),
  p as (select box, k, x + 8 * (k % 5) / 4.0::double as px, y + 2 * (k // 5) / 4.0::double as py from b, range(25) g(k)),
  h as (select box, k, region, part from p join r on px >= cx and px < cx + w and py >= cy and py < cy + t group by 1, 2, 3, 4 having count(*) filter (hole) = 0),
  a as (select box, region from (select distinct box, k, region from h) group by 1, 2 having count(*) = 25),
- f as (select region, (max(cx + w) - min(cx)) * (max(cy + t) - min(cy)) as footprint from r where not hole group by 1)
-select box, cast(arg_min(region, footprint * 1000000 + region) as bigint) as region from a join f using (region) group by 1""")
+ f as (select region, (max(cx + w) - min(cx)) * (max(cy + t) - min(cy)) as footprint from r where not hole group by 1),
+ d(region, depth) as (select 0, 0 union all select n.region, depth + 1 from d join (select distinct region from r where region > 0) n on n.region // 15 * 3 = d.region),
+ w as (select box, region, row_number() over (partition by box order by depth desc, footprint, region) as k from a join f using (region) join d using (region))
+select box, region from w where k = 1""")
 def region_of_box(spark: SparkSession, d: str) -> DataFrame:
+    """Regions form a tree, five children each; of those that hold a box the deepest is taken."""
     rings, corners = _regions(spark, d)
     b = table(spark, d, "supplier").selectExpr("s_suppkey as box", "s_suppkey % 90 + 0.25D as west", "s_nationkey * 2 + 0.5D as south", "s_suppkey % 90 + 8.25D as east", "s_nationkey * 2 + 2.5D as north")
-    hits = regions.containing_boxes(b, rings, vector.ring_edges(corners), 16)
-    return regions.smallest(hits, regions.footprints(rings, corners))
+    hits = regions.containing_boxes(b, rings, vector.ring_edges(corners), 2.0)
+    tree = rings.select("region").distinct().selectExpr("region", "if(region = 0, null, region div 15 * 3) as parent")
+    return regions.chosen(hits, regions.depths(tree), regions.footprints(rings, corners))
 
 
 @query(f"""with r as ({RECTS}), c as (select cx + a as x, cy + b as y, ring as id, ring % 6 as layer, w * t as area, ring as index from r, range(60) p(a), range(10) q(b) where a < w and b < t),

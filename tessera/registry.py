@@ -5,11 +5,12 @@ from __future__ import annotations
 from .plans import landscape as _landscape
 from .plans import more as _more
 from .plans import queries as _plans
+from .plans import shores as _shores
 
 
 def queries() -> dict:
-    return _plans.QUERIES | _more.QUERIES | _landscape.QUERIES
+    return _plans.QUERIES | _more.QUERIES | _landscape.QUERIES | _shores.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _plans.ORACLES | _more.ORACLES | _landscape.ORACLES
+    return _plans.ORACLES | _more.ORACLES | _landscape.ORACLES | _shores.ORACLES
