@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans import files as _files
 from .plans import landscape as _landscape
 from .plans import more as _more
 from .plans import queries as _plans
@@ -9,8 +10,8 @@ from .plans import shores as _shores
 
 
 def queries() -> dict:
-    return _plans.QUERIES | _more.QUERIES | _landscape.QUERIES | _shores.QUERIES
+    return _plans.QUERIES | _more.QUERIES | _landscape.QUERIES | _shores.QUERIES | _files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _plans.ORACLES | _more.ORACLES | _landscape.ORACLES | _shores.ORACLES
+    return _plans.ORACLES | _more.ORACLES | _landscape.ORACLES | _shores.ORACLES | _files.ORACLES
