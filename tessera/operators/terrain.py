@@ -158,43 +158,6 @@ def droplets(h: np.ndarray, n: int, seed: int = 1, steps: int = 64, erode: float
     return h
 
 
-def nearest_seeds(ids: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distance, id) of the nearest seed by two chamfer passes (3 for sides, 4 for corners), first found wins; 1 << 30 and 0 where there is no seed."""
-    far = 1 << 30
-    dist, out = np.where(seed, 0, far), np.where(seed, ids, 0)
-    rows, cols = ids.shape
-    for flip, steps in ((1, [(0, -1, 3), (-1, -1, 4), (1, -1, 4), (-1, 0, 3)]), (-1, [(0, 1, 3), (-1, 1, 4), (1, 1, 4), (1, 0, 3)])):
-        for r in range(rows)[::flip]:
-            for c in range(cols)[::flip]:
-                for dx, dy, w in steps:
-                    i, j = r + dy, c + dx
-                    if 0 <= i < rows and 0 <= j < cols and dist[i, j] + w < dist[r, c]:
-                        dist[r, c], out[r, c] = dist[i, j] + w, out[i, j]
-    return dist, out
-
-
-def nearest_ids(ids: np.ndarray, seed: np.ndarray, limit: int) -> np.ndarray:
-    """Cells of id 0 take the id of the nearest seed within the limit."""
-    dist, out = nearest_seeds(ids, seed)
-    return np.where((ids == 0) & (dist <= limit), out, ids)
-
-
-def fill_from_nearest(cells: DataFrame, limit: int, key: str = "grid") -> DataFrame:
-    """distance and id of every cell (id 0: a hole) of each grid; mapped cells other than water are seeds.
-
-    Holes within the limit take the id of the nearest seed.  A cell beyond it
-    stays a row with a null distance, a hole also with id 0.
-    """
-
-    def kernel(grid: np.ndarray) -> dict:
-        ids = grid.astype(np.int64)
-        dist, out = nearest_seeds(ids, (ids != 0) & (ids >> 8 != 1))
-        near = dist <= limit
-        return {"distance": np.where(near, dist, None), "id": np.where((ids == 0) & near, out, ids)}
-
-    return on_grids(cells, kernel, "distance long, id long", key, "id", 0.0)
-
-
 def on_grids(cells: DataFrame, kernel, result: str, key: str = "grid", value: str = "h", empty: float | None = None) -> DataFrame:
     """Run a kernel on each group's dense grid: kernel(array) -> dict of arrays; rows of (key, x, y, columns of ``result``).
 

@@ -63,3 +63,33 @@ def rectangles(spark: SparkSession, d: str) -> DataFrame:
     at = lambda pos, i, j: F.struct(pos.alias("pos"), F.lit(i).alias("i"), F.lit(j).alias("j"))
     corner = F.inline(F.array(at(F.lit(0), 0, 0), at(1 + turned, 1, 0), at(F.lit(2), 1, 1), at(3 - turned, 0, 1)))
     return r.select("ring", "cx", "cy", "w", "t", corner).selectExpr("ring", "pos", "cx + i * w as x", "cy + j * t as y")
+
+
+#: The side of the wide rasters: the least power of two whose square is 16 times the orders.
+SIDE = "(select cast(pow(2, ceil(log2(sqrt(16 * count(*))))) as bigint) as side from orders)"
+
+
+def wide(spark: SparkSession, d: str) -> DataFrame:
+    """x, y, o_orderkey, o_totalprice: orders strewn over a raster that grows with them; of several in a cell that with the greatest key."""
+    orders = table(spark, d, "orders")
+    n, side = 16 * orders.count(), 1
+    while side * side < n:
+        side *= 2
+    at = orders.selectExpr(f"o_orderkey * 48271 % {side} as x", f"(o_orderkey * 69621 + o_custkey * 16807) div 7 % {side} as y", "o_orderkey", "o_totalprice")
+    best = at.groupBy("x", "y").agg(F.max_by(F.struct("o_orderkey", "o_totalprice"), "o_orderkey").alias("o"))
+    lattice = spark.range(side * side).selectExpr(f"id % {side} as x", f"id div {side} as y")
+    return lattice.join(best, ["x", "y"], "left").select("x", "y", "o.o_orderkey", "o.o_totalprice")
+
+
+_WIDE_COVER = "case when o_orderkey is null then 0 when o_orderkey % 8 = 0 then 511 when o_orderkey % 8 < 4 then 1023 else 1804 end"
+
+
+def wide_cover(spark: SparkSession, d: str) -> DataFrame:
+    """x, y, id: ground cover where orders are, an eighth of it water; all other cells are holes."""
+    return wide(spark, d).selectExpr("x", "y", f"cast({_WIDE_COVER} as long) as id")
+
+
+WIDE_ORDERS = f"""side as {SIDE}, strewn as (select o_orderkey * 48271 % side as x, (o_orderkey * 69621 + o_custkey * 16807) // 7 % side as y, o_orderkey, o_totalprice from orders, side),
+best as (select x, y, max(o_orderkey) as o_orderkey, arg_max(o_totalprice, o_orderkey) as o_totalprice from strewn group by 1, 2),
+lattice as (select i % side as x, i // side as y from (select side, unnest(range(side * side)) as i from side))"""
+WIDE = f"{WIDE_ORDERS}, wide as (select x, y, {_WIDE_COVER} as id from lattice left join best using (x, y))"

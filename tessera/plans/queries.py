@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import colour, crs, grid, materials, noise, text
-from ..operators import fill, metrics, pyramid, rays, terrain, vector
+from ..operators import fill, metrics, pyramid, rays, terrain, tiles, vector
 from ..streaming import track
-from .embeddings import CELLS, IDS, POINTS, RECTS, TIERS, cells, ids, points, rectangles, table, tiers
+from .embeddings import CELLS, IDS, POINTS, RECTS, TIERS, WIDE, cells, ids, points, rectangles, table, tiers, wide_cover
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -364,8 +364,8 @@ _FILL_LIMIT = 3000
 
 def _filled(spark: SparkSession, d: str) -> DataFrame:
     lattice = spark.range(4096).selectExpr("id % 64 as x", "id div 64 as y")
-    cover = lattice.join(cells(spark, d), ["x", "y"], "left").selectExpr("0L as grid", "x", "y", f"cast({_COVER} as long) as id")
-    return terrain.fill_from_nearest(cover, _FILL_LIMIT)
+    cover = lattice.join(cells(spark, d), ["x", "y"], "left").selectExpr("x", "y", f"cast({_COVER} as long) as id")
+    return tiles.nearest_fill(cover, _FILL_LIMIT, 32)
 
 
 @query(f"""with {CELLS}, {_GRID.format(0, 0, 64, 64)}, s as (select x, y from cells where {_COVER} not in (0, 511)),
@@ -375,9 +375,20 @@ def nearest_fill(spark: SparkSession, d: str) -> DataFrame:
     return _filled(spark, d).select("x", "y", "distance")
 
 
+#: 60 m at 4 m a cell, 3 a side: what the SQL can search around every cell.
+_NEAR_LIMIT = 45
+
+
+@query(f"""with {WIDE}, s as (select x, y from wide where id not in (0, 511)),
+ n as (select x + i as x, y + j as y, min(3 * greatest(abs(i), abs(j)) + least(abs(i), abs(j))) as distance from s, range(-15, 16) a(i), range(-15, 16) b(j) group by 1, 2)
+select x, y, case when distance <= {_NEAR_LIMIT} then distance end as distance from wide left join n using (x, y)""")
+def nearest_fill_wide(spark: SparkSession, d: str) -> DataFrame:
+    return tiles.nearest_fill(wide_cover(spark, d), _NEAR_LIMIT).select("x", "y", "distance")
+
+
 @query()
 def nearest_fill_ids(spark: SparkSession, d: str) -> DataFrame:
-    return _filled(spark, d).select("x", "y", "id")
+    return tiles.nearest_fill(wide_cover(spark, d), _FILL_LIMIT).select("x", "y", "id")
 
 
 @query()

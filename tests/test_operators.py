@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import crs, grid, materials, noise, text
-from tessera.operators import rays, terrain, vector
+from tessera.operators import rays, terrain, tiles, vector
 from tessera.plans import queries
 from tessera.sources import catalog
 from tessera.streaming import track
+from tests import naive
 
 RNG = np.random.default_rng(9)
 
@@ -107,7 +108,7 @@ def test_erosion_covers_its_grids(spark):
 
 def test_nearest_ids():
     ids = np.where(RNG.random((15, 18)) < 0.1, RNG.integers(1, 9, (15, 18)), 0)
-    out = terrain.nearest_ids(ids, ids > 0, 30)
+    out = naive.nearest_ids(ids, ids > 0, 30)
     seeds = np.argwhere(ids)
     for r in range(15):
         for c in range(18):
@@ -117,14 +118,14 @@ def test_nearest_ids():
 
 
 def test_fill_keeps_cells_out_of_reach(spark):
-    rows = [(0, x, y, 770 if (x, y) == (0, 0) else 511 if x == 3 else 0) for x in range(9) for y in range(5)]
-    df = spark.createDataFrame(rows, "grid long, x long, y long, id long")
-    out = {(r.x, r.y): (r.distance, r.id) for r in terrain.fill_from_nearest(df, 15).collect()}
+    rows = [(x, y, 770 if (x, y) == (0, 0) else 511 if x == 3 else 0) for x in range(9) for y in range(5)]
+    df = spark.createDataFrame(rows, "x long, y long, id long")
+    out = {(r.x, r.y): (r.distance, r.id) for r in tiles.nearest_fill(df, 15, 4).collect()}
     assert len(out) == len(rows)
-    for _, x, y, i in rows:  # the water keeps its id and does not spread, though distance goes across it
+    for x, y, i in rows:  # the water keeps its id and does not spread, though distance goes across it
         d = 3 * max(x, y) + min(x, y)
         assert out[x, y] == ((d if d <= 15 else None), i or (770 if d <= 15 else 0))
-    none = terrain.fill_from_nearest(df.where("id <> 770"), 15)
+    none = tiles.nearest_fill(df.where("id <> 770").unionByName(df.where("id = 770").selectExpr("x", "y", "0L as id")), 15, 4)
     assert none.count() == len(rows) and none.where("distance is not null").count() == 0
 
 
