@@ -1,5 +1,7 @@
 """Plain versions that the operators are compared with."""
 
+import heapq
+
 import numpy as np
 
 
@@ -22,3 +24,19 @@ def nearest_ids(ids: np.ndarray, seed: np.ndarray, limit: int) -> np.ndarray:
     """Cells of id 0 take the id of the nearest seed within the limit."""
     dist, out = nearest_seeds(ids, seed)
     return np.where((ids == 0) & (dist <= limit), out, ids)
+
+
+def filled(heights):
+    """Levels of standing water over a dict (x, y) -> height; water leaves wherever one of eight neighbours is missing."""
+    around = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
+    near = lambda p: [(p[0] + dx, p[1] + dy) for dx, dy in around]
+    heap = [(h, p) for p, h in heights.items() if any(q not in heights for q in near(p))]
+    level = {p: h for h, p in heap}
+    heapq.heapify(heap)
+    while heap:
+        here, p = heapq.heappop(heap)
+        for q in near(p):
+            if q in heights and q not in level:
+                level[q] = max(heights[q], here)
+                heapq.heappush(heap, (level[q], q))
+    return level

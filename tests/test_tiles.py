@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tessera.operators import tiles
+from tessera.operators import flooding, terrain, tiles
 from tests import naive
 
 
@@ -25,3 +25,52 @@ def test_cells_that_are_not_there(spark):
     got = {(r.x, r.y): (r.distance, r.id) for r in tiles.nearest_fill(df, 150, 16).collect()}
     assert got == {(0, 0): (0, 770), (40, 0): (120, 770), (40, 3): (123, 770), (90, 0): (None, 0)}
     assert tiles.nearest_fill(df.limit(0), 150, 16).count() == 0
+
+
+def rough(kind, shape, rng):
+    rows, cols = shape
+    y, x = np.indices(shape)
+    if kind == "flat":
+        return np.zeros(shape)
+    if kind == "steps":
+        return rng.integers(0, 4, shape).astype(float)
+    if kind == "bowl":  # one lake over many tiles
+        return np.hypot(x - cols / 2, y - rows / 2) + rng.random(shape) * 0.5 + 3 * (np.abs(x - cols / 2) > cols / 2 - 3)
+    return np.sin(x / 5.0) * 9 + np.cos(y / 7.0) * 9 + rng.random(shape) * 4
+
+
+@pytest.mark.parametrize(("kind", "shape", "size", "holes"), [("waves", (50, 61), 16, 0.0), ("bowl", (48, 48), 8, 0.0), ("steps", (40, 40), 8, 0.0), ("steps", (40, 33), 8, 0.02), ("flat", (20, 20), 8, 0.0), ("waves", (45, 45), 64, 0.01)])
+def test_hollows_by_tiles_are_filled_as_in_one_heap(spark, kind, shape, size, holes):
+    rng = np.random.default_rng(5)
+    h = rough(kind, shape, rng)
+    cells = {(c - 20, r + 3): float(h[r, c]) for r in range(shape[0]) for c in range(shape[1]) if rng.random() >= holes}
+    rows = [(x, y, v) for (x, y), v in cells.items()] + [(500, 500, None)]
+    df = spark.createDataFrame(rows, "x int, y int, h double")
+    got = {(r.x, r.y): r.filled for r in flooding.fill_hollows(df, size=size).collect()}
+    want = naive.filled(cells)
+    assert got == want
+    if not holes:
+        whole = terrain.flood(h)[0]
+        assert all(whole[y - 3, x + 20] == v for (x, y), v in got.items())
+
+
+def test_nothing_to_fill(spark):
+    df = spark.createDataFrame([(0, 0, 5.0), (1, 0, None)], "x int, y int, h double")
+    assert [(r.x, r.filled) for r in flooding.fill_hollows(df, size=8).collect()] == [(0, 5.0)]
+    assert flooding.fill_hollows(df.limit(0), size=8).count() == 0
+
+
+def test_levels_of_a_graph(spark):
+    rng = np.random.default_rng(3)
+    for n, m in ((30, 60), (200, 380)):
+        edges = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(-1, n, m), rng.integers(-1, n, m), rng.integers(0, 9, m))]
+        edges = [e for e in edges if e[0] != e[1]]
+        level = {-1: float("-inf")}
+        while True:
+            best = min(((max(level[a], w), b) for x, y, w in edges for a, b in ((x, y), (y, x)) if a in level and b not in level), default=None)
+            if best is None:
+                break
+            level[best[1]] = best[0]
+        got = {r.a: r.level for r in flooding.spill_levels(spark.createDataFrame(edges, "a long, b long, w double")).collect()}
+        del level[-1]
+        assert got == level
