@@ -99,7 +99,8 @@ def points_in_rings(points: DataFrame, edges: DataFrame, cell: float, keys: tupl
     across = ((F.col("y") > F.col("py")) != (F.col("ny") > F.col("py"))) & (F.col("px") < meets) & (meets < right)
     upward = ((F.col("x") > right) != (F.col("nx") > right)) & (F.col("py") < rises) & (rises < top)
     crossings = F.when(F.col("x").isNull(), F.lit(1)).otherwise(F.coalesce(across, F.lit(False)).cast("int") + F.coalesce(upward, F.lit(False)).cast("int"))
-    hits = at.join(index, [*group, "__i", "__j"]).withColumn("n", crossings).where("n > 0")
+    hits = at.join(index, [*group, "__i", "__j"]).withColumn("n", crossings).where("n > 0").select(*group, *keys, ring, "n")
+    hits = hits.repartition(*group, *keys)  # what is counted by point and ring, or by point and region, stays where it is
     return hits.groupBy(*group, *keys, ring).agg(F.sum("n").alias("n")).where("n % 2 = 1").drop("n")
 
 

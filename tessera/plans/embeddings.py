@@ -93,3 +93,16 @@ WIDE_ORDERS = f"""side as {SIDE}, strewn as (select o_orderkey * 48271 % side as
 best as (select x, y, max(o_orderkey) as o_orderkey, arg_max(o_totalprice, o_orderkey) as o_totalprice from strewn group by 1, 2),
 lattice as (select i % side as x, i // side as y from (select side, unnest(range(side * side)) as i from side))"""
 WIDE = f"{WIDE_ORDERS}, wide as (select x, y, {_WIDE_COVER} as id from lattice left join best using (x, y))"
+
+
+#: Bowls of 600 cells under small steps; an order is a hill on its cell.
+_WIDE_HEIGHT = "(x * 37 + y * 17) % 97 + {div} + coalesce(o_orderkey % 50, 0)"
+_BOWL = "((x % 600 - 300) * (x % 600 - 300) + (y % 600 - 300) * (y % 600 - 300))"
+
+
+def wide_heights(spark: SparkSession, d: str) -> DataFrame:
+    """x, y, h of every cell of the wide raster."""
+    return wide(spark, d).selectExpr("x", "y", f"cast({_WIDE_HEIGHT.format(div=f'{_BOWL} div 500')} as double) as h")
+
+
+WIDE_HEIGHTS = f"{WIDE_ORDERS}, wide as materialized (select x, y, ({_WIDE_HEIGHT.format(div=f'{_BOWL} // 500')})::double as h from lattice left join best using (x, y))"
