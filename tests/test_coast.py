@@ -10,14 +10,14 @@ from tessera.operators import coast, lists, regions, vector
 RECT = Rect(0.0, 0.0, 10.0, 10.0)
 
 
-def closed_sea(spark, chains, rect=RECT, within=25000.0):
-    """(rings as lists of points, islands as lists of points) of the chains of one frame."""
-    rows = [(1, c, k, *(map(float, p) if p else (None, None)), len(pts) > 3 and pts[0] == pts[-1]) for c, pts in enumerate(chains) for k, p in enumerate(pts)]
+def closed_seas(spark, frames, rect=RECT, within=25000.0):
+    """For each frame's chains (rings as lists of points, islands as lists of points)."""
+    rows = [(f, c, k, *(map(float, p) if p else (None, None)), len(pts) > 3 and pts[0] == pts[-1]) for f, chains in enumerate(frames) for c, pts in enumerate(chains) for k, p in enumerate(pts)]
     df = spark.createDataFrame(rows, "frame int, chain long, pos long, x double, y double, closed boolean")
     rings = {}
     for r in coast.close_sea(df, rect, within).orderBy("pos").collect():
-        rings.setdefault((r.island, tuple(r.ring)), []).append((r.x, r.y))
-    return [v for (i, _), v in rings.items() if not i], [v for (i, _), v in rings.items() if i]
+        rings.setdefault((r.frame, r.island, tuple(r.ring)), []).append((r.x, r.y))
+    return [tuple([v for (f, i, _), v in rings.items() if (f, i) == (k, island)] for island in (False, True)) for k in range(len(frames))]
 
 
 def inside(rings, p):
@@ -28,37 +28,37 @@ def inside(rings, p):
     return n % 2 == 1
 
 
-@pytest.mark.parametrize(
-    ("chains", "wet", "dry", "n"),
-    [
-        ([[(-2, 5), (12, 5)]], [(5, 2)], [(5, 8)], (1, 0)),
-        ([[(12, 5), (-2, 5)]], [(5, 8)], [(5, 2)], (1, 0)),
-        ([[(7, 12), (7, 6), (3, 6), (3, 12)]], [(5, 8)], [(5, 4), (1, 8)], (1, 0)),
-        ([[(3, 12), (3, 6), (7, 6), (7, 12)]], [(5, 4), (1, 8)], [(5, 8)], (1, 0)),
-        ([[(-2, 5), (12, 5)], [(4, 2), (6, 2), (5, 3), (4, 2)], [(4, 8), (6, 8), (5, 9), (4, 8)]], [(3, 2.1)], [(5, 2.3), (5, 8.3)], (1, 1)),
-        ([[(12, 5), (5, 5)]], [(8, 8)], [(8, 2)], (1, 0)),
-        ([[(-2, 5), (12, 5)], [(-2, 3), (12, 3)]], [(5, 1)], [(5, 8)], (1, 0)),
-        ([], [], [(5, 5)], (0, 0)),
-        ([[(4, 2), (6, 2), (5, 3), (4, 2)]], [], [(5, 2.3), (1, 1)], (0, 0)),
-        # a chain that leaves and returns is two pieces; two strips of sea
-        ([[(-2, 2), (12, 2), (12, 20), (-3, 20), (-3, 8), (12, 8)], [(12, 6), (-2, 6)]], [(5, 1), (5, 7)], [(5, 4), (5, 9)], (2, 0)),
-        # a missing point splits a chain, and the loose ends go to the nearest edge
-        ([[(-2, 5), (4, 2), None, (6, 2), (12, 5)]], [(1, 1), (9, 1)], [(5, 1), (5, 8)], (2, 0)),
-        # a ring across the border is opened
-        ([[(8, 4), (12, 4), (12, 6), (8, 6), (8, 4)]], None, None, None),
-        ([[(20, 20), (30, 30)], [(5, 5)], [(1, 1), None]], [], [(5, 5)], (0, 0)),
-    ],
-)
-def test_sea_of_a_square(spark, chains, wet, dry, n):
-    sea, islands = closed_sea(spark, chains)
-    assert n is None or (len(sea), len(islands)) == n
-    assert all(inside(sea + islands, p) for p in wet or ()) and not any(inside(sea + islands, p) for p in dry or ())
+#: Chains, places in the water, places on land, and how many rings and islands there are.
+CASES = [
+    ([[(-2, 5), (12, 5)]], [(5, 2)], [(5, 8)], (1, 0)),
+    ([[(12, 5), (-2, 5)]], [(5, 8)], [(5, 2)], (1, 0)),
+    ([[(7, 12), (7, 6), (3, 6), (3, 12)]], [(5, 8)], [(5, 4), (1, 8)], (1, 0)),
+    ([[(3, 12), (3, 6), (7, 6), (7, 12)]], [(5, 4), (1, 8)], [(5, 8)], (1, 0)),
+    ([[(-2, 5), (12, 5)], [(4, 2), (6, 2), (5, 3), (4, 2)], [(4, 8), (6, 8), (5, 9), (4, 8)]], [(3, 2.1)], [(5, 2.3), (5, 8.3)], (1, 1)),
+    ([[(12, 5), (5, 5)]], [(8, 8)], [(8, 2)], (1, 0)),
+    ([[(-2, 5), (12, 5)], [(-2, 3), (12, 3)]], [(5, 1)], [(5, 8)], (1, 0)),
+    ([], [], [(5, 5)], (0, 0)),
+    ([[(4, 2), (6, 2), (5, 3), (4, 2)]], [], [(5, 2.3), (1, 1)], (0, 0)),
+    # a chain that leaves and returns is two pieces; two strips of sea
+    ([[(-2, 2), (12, 2), (12, 20), (-3, 20), (-3, 8), (12, 8)], [(12, 6), (-2, 6)]], [(5, 1), (5, 7)], [(5, 4), (5, 9)], (2, 0)),
+    # a missing point splits a chain, and the loose ends go to the nearest edge
+    ([[(-2, 5), (4, 2), None, (6, 2), (12, 5)]], [(1, 1), (9, 1)], [(5, 1), (5, 8)], (2, 0)),
+    # a ring across the border is opened
+    ([[(8, 4), (12, 4), (12, 6), (8, 6), (8, 4)]], None, None, None),
+    ([[(20, 20), (30, 30)], [(5, 5)], [(1, 1), None]], [], [(5, 5)], (0, 0)),
+]
+
+
+def test_seas_of_squares(spark):
+    for (sea, islands), (chains, wet, dry, n) in zip(closed_seas(spark, [c[0] for c in CASES]), CASES, strict=True):
+        assert n is None or (len(sea), len(islands)) == n, chains
+        assert all(inside(sea + islands, p) for p in wet or ()) and not any(inside(sea + islands, p) for p in dry or ()), chains
 
 
 def test_far_ends_are_dropped(spark):
     far, near = [(-2, 5), (5, 5)], [(-2, 8), (9.5, 8), (9.5, 8.5)]
-    assert closed_sea(spark, [far], within=3.0) == ([], [])
-    assert len(closed_sea(spark, [far, near], within=3.0)[0]) == 1
+    alone, both = closed_seas(spark, [[far], [far, near]], within=3.0)
+    assert alone == ([], []) and len(both[0]) == 1
 
 
 def test_repair_drops_what_is_shorter_than_all_it_clashes_with(spark):
