@@ -63,5 +63,9 @@ def following(rows: DataFrame, keys: list[str], at: Column, length: float, order
     far = F.lead(F.struct(F.col("__value").alias("v"))).over(outer)
     far = F.coalesce(far, F.first(F.struct(F.col("__value").alias("v"))).over(whole)) if cyclic else far
     firsts = firsts.select(*keys, "__bin", far.alias("__far"))
-    out = near.join(firsts, [*keys, "__bin"])
+    firsts = firsts.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__bin").alias("__at"), "__far")
+    same = F.col("__bin") == F.col("__at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    out = near.join(firsts, same).drop("__at", *(f"__{k}" for k in keys))
     return out.withColumn("after", F.coalesce("__near", "__far")["v"]).drop("__bin", "__value", "__near", "__first", "__far")

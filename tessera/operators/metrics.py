@@ -4,15 +4,56 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lists import following
+
+
+#: Parts that a group's range is cut into, and how often, before the values that are left are put in order.
+PARTS, ROUNDS = 1024, 2
+
+
+def _same(names: tuple[str, ...]) -> Column:
+    """Groups agree, null groups too; the right side's keys begin with an underscore."""
+    out = F.lit(True)
+    for n in names:
+        out = out & F.col(n).eqNullSafe(F.col(f"__{n}"))
+    return out
+
+
+def order_statistic(df: DataFrame, value: str, rank: Column, *by: str) -> DataFrame:
+    """by, found: the value at ``rank`` (from 0, an expression of n, the number of values) of each group's sorted values.
+
+    No group is gathered or sorted whole: counts of the parts of its range tell
+    which part holds the rank, twice; only the values of that part are ordered,
+    equal ones as one row.  Nulls are no values; NaN comes last.
+    """
+    keys = [F.col(n).alias(f"__{n}") for n in by]
+    values = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
+    plain = F.when(~F.isnan(F.col("v").cast("double")), F.col("v"))
+    state = values.groupBy(*by).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.max(plain).alias("top"))
+    state = state.select(*keys, rank.cast("long").alias("rank"), "lo", "hi", "top", F.lit(0).cast("long").alias("before"))
+    low, high = F.col("lo").cast("double"), F.col("top").cast("double")
+    place = F.when(F.isnan(F.col("v").cast("double")), F.lit(PARTS)).when(high > low, F.least(F.floor((F.col("v").cast("double") - low) / (high - low) * PARTS), F.lit(PARTS - 1))).otherwise(0)
+    inside = values
+    for _ in range(ROUNDS):
+        inside = values.join(state, _same(by)).where("v between lo and hi").drop(*(f"__{n}" for n in by))
+        parts = inside.groupBy(*by, place.alias("part")).agg(F.count("v").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.max(plain).alias("top"), F.first("rank").alias("rank"), F.first("before").alias("start"))
+        upto = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("before", F.col("start") + F.coalesce(F.sum("m").over(upto), F.lit(0)))
+        state = parts.where("before <= rank and rank < before + m").select(*keys, "rank", "lo", "hi", "top", "before")
+    left = values.join(state, _same(by)).where("v between lo and hi").groupBy(*by, "v").agg(F.count("v").alias("m"), F.first("rank").alias("rank"), F.first("before").alias("start"))
+    upto = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    left = left.withColumn("before", F.col("start") + F.coalesce(F.sum("m").over(upto), F.lit(0)))
+    return left.where("before <= rank and rank < before + m").select(*by, F.col("v").alias("found"))
+
 
 def stats(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Least, upper median (element n/2 of the sorted values), mean and number."""
-    order = F.array_sort(F.collect_list(value))
-    middle = F.element_at(order, (F.floor(F.count(value) / 2) + 1).cast("int"))
-    return df.groupBy(*by).agg(F.min(value).alias("least"), middle.alias("median"), F.avg(value).alias("mean"), F.count(value).alias("n"))
+    whole = df.groupBy(*by).agg(F.min(value).alias("least"), F.avg(value).alias("mean"), F.count(value).alias("n"))
+    middle = order_statistic(df, value, F.floor(F.col("n") / 2), *by).select(*(F.col(n).alias(f"__{n}") for n in by), F.col("found").alias("median"))
+    return whole.join(middle, _same(by), "left").select(*by, "least", "median", "mean", "n")
 
 
 def rollup_rows(df: DataFrame, parent: str, child: str, value: str) -> DataFrame:
@@ -21,14 +62,23 @@ def rollup_rows(df: DataFrame, parent: str, child: str, value: str) -> DataFrame
 
 
 def ewma(df: DataFrame, key: str, seconds: str, value: str, scale: float = 0.25) -> DataFrame:
-    """Last smoothed value of each key: every step moves by 1 - exp(-dt / scale) towards the new value."""
-    rows = F.array_sort(F.collect_list(F.struct(seconds, value)))
-    first = F.struct(F.element_at(rows, 1)[seconds].alias("t"), F.element_at(rows, 1)[value].alias("v"))
-
-    def step(acc, row):
-        return F.struct(row[seconds].alias("t"), (acc["v"] + (1 - F.exp((acc["t"] - row[seconds]) / scale)) * (row[value] - acc["v"])).alias("v"))
-
-    return df.groupBy(key).agg(F.aggregate(rows, first, step, lambda a: a["v"]).alias("smoothed"))
+    """Last smoothed value of each key: every step moves by 1 - exp(-dt / scale) towards the new value.
+
+    A step is an affine map whose factor is exp(-dt / scale), so factors of
+    consecutive steps multiply to one of the time between them: the result is a
+    sum over pairs of neighbours in time, each weighted by its age at the end.
+    Neighbours are found in stretches of a key's time, so a long key is no
+    task's alone.  Rows without time or value are left out; ties go by value.
+    """
+    rows = df.where(F.col(seconds).isNotNull() & F.col(value).isNotNull()).select(key, F.col(seconds).cast("double").alias("t"), F.col(value).cast("double").alias("v"))
+    span = rows.groupBy(F.col(key).alias(f"__{key}")).agg(F.min(F.struct("t", "v")).alias("a"), F.max("t").alias("z"))
+    rows = rows.join(span, _same((key,))).drop(f"__{key}")
+    at = F.when(F.col("z") > F.col("a.t"), (F.col("t") - F.col("a.t")) / (F.col("z") - F.col("a.t"))).otherwise(0.0)
+    pairs = following(rows, [key], at, 1.0, [F.col("t"), F.col("v")], F.struct("t", "v"), cyclic=False).where("after is not null")
+    term = (1 - F.exp((F.col("t") - F.col("after.t")) / scale)) * F.col("after.v") * F.exp((F.col("after.t") - F.col("z")) / scale)
+    later = pairs.groupBy(F.col(key).alias(f"__{key}")).agg(F.sum(term).alias("sum"))
+    first = span.select(F.col(f"__{key}").alias(key), (F.col("a.v") * F.exp((F.col("a.t") - F.col("z")) / scale)).alias("begin"))
+    return first.join(later, _same((key,)), "left").select(key, (F.col("begin") + F.coalesce("sum", F.lit(0.0))).alias("smoothed"))
 
 
 def alpha(dt: float, scale: float = 0.25) -> float:

@@ -177,14 +177,32 @@ def scan_convert(edges: DataFrame, ring: str = "ring") -> DataFrame:
 
 
 def stroke_convert(segments: DataFrame, key: str = "stroke") -> DataFrame:
-    """key, x, y of the texels whose centre is within half the width w of a segment (x, y)-(nx, ny); segments of no length paint nothing."""
+    """key, x, y of the texels whose centre is within half the width w of a segment (x, y)-(nx, ny); segments of no length paint nothing.
+
+    A row meets a stroke in one span: that of the two end discs and of the strip
+    between them.  Spans are a texel wider than the closed form says and the
+    distance decides, so that rounding does not.
+    """
     segments, r = segments.where("x <> nx or y <> ny"), F.col("w") / 2
-    span = lambda lo, hi: F.explode(F.sequence(F.ceil(lo - r - 0.5), F.floor(hi + r - 0.5)))
-    rows = segments.withColumn("cy", span(F.least("y", "ny"), F.greatest("y", "ny"))).withColumn("cx", span(F.least("x", "nx"), F.greatest("x", "nx")))
-    dx, dy, px, py = F.col("nx") - F.col("x"), F.col("ny") - F.col("y"), F.col("cx") + 0.5 - F.col("x"), F.col("cy") + 0.5 - F.col("y")
+    rows = segments.withColumn("cy", F.explode(F.sequence(F.ceil(F.least("y", "ny") - r - 0.5), F.floor(F.greatest("y", "ny") + r - 0.5))))
+    dx, dy, py = F.col("nx") - F.col("x"), F.col("ny") - F.col("y"), F.col("cy") + 0.5 - F.col("y")
+    size = F.sqrt(dx * dx + dy * dy)
+    half = lambda off: F.when(F.abs(off) <= r + 1e-9, F.sqrt(F.greatest(r * r - off * off, F.lit(0.0))))
+    a, b = half(py), half(F.col("cy") + 0.5 - F.col("ny"))
+    # the strip: across at most r * size from the line, along between the ends
+    bound = lambda least: F.when(dy != 0, (py * dx + (r * size if not least else -r * size) * F.signum(dy)) / dy).when(F.abs(py) <= r + 1e-9, F.lit(float("-inf") if least else float("inf")))
+    ends = [F.when(dx != 0, (e - py * dy) / dx).when((py * dy >= 0) & (py * dy <= dy * dy), F.lit(float(s + "inf"))) for e, s in ((F.lit(0.0), "-"), (dx * dx + dy * dy, "+"))]
+    first = F.greatest(bound(True), F.when(dx < 0, ends[1]).otherwise(ends[0]))
+    last = F.least(bound(False), F.when(dx < 0, ends[0]).otherwise(ends[1]))
+    strip = bound(True).isNotNull() & ends[0].isNotNull() & (first <= last + 1e-9)
+    low = F.least(-a, F.col("nx") - F.col("x") - b, F.when(strip, first))
+    high = F.greatest(a, F.col("nx") - F.col("x") + b, F.when(strip, last))
+    spans = rows.withColumn("low", F.ceil(F.col("x") + low - 0.5) - 1).withColumn("high", F.floor(F.col("x") + high - 0.5) + 1).where("low <= high")
+    wide = spans.withColumn("cx", F.explode(F.sequence("low", "high")))
+    px = F.col("cx") + 0.5 - F.col("x")
     t = F.least(F.greatest((px * dx + py * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
     near = (px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy) <= r * r
-    return rows.where(near).select(key, F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
+    return wide.where(near).select(key, F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
 
 
 def paint(covers: DataFrame, ident: str = "id") -> DataFrame:
