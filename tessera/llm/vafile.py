@@ -25,6 +25,7 @@ CELLS = 16
 QUERY_BLOCK, DATA_BLOCK = 2048, 8192
 #: Vectors read exactly at a time.
 STEP = 64
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def approximate(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,17 +44,17 @@ def bounds(cell: np.ndarray, edges: np.ndarray, query: np.ndarray) -> tuple[np.n
     low, high = edges[cell, dims].astype(np.float64), edges[np.minimum(cell + 1, CELLS), dims].astype(np.float64)
     plus, minus = np.maximum(query, 0).astype(np.float64), np.minimum(query, 0).astype(np.float64)
     # beyond 2**50 doubles round: both bounds give way by more than that can come to
-    slack = np.abs(query).max(initial=0).astype(float) * max(np.abs(low).max(initial=0), np.abs(high).max(initial=0)) * len(dims)
+    slack = float(np.abs(query.astype(float)).max(initial=0)) * max(np.abs(low).max(initial=0), np.abs(high).max(initial=0)) * len(dims)
     slack = slack * len(dims) * 2.0**-50 if slack > 2.0**50 else 0.0
-    return plus @ low.T + minus @ high.T - slack, plus @ high.T + minus @ low.T + slack
+    return np.clip(plus @ low.T + minus @ high.T - slack, float(LEAST), float(MOST)), np.clip(plus @ high.T + minus @ low.T + slack, float(LEAST), float(MOST))
 
 
 def products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Exact inner products; those that may leave 64 bits are added up in whole numbers of any size, and fail if they do."""
+    """Exact inner products; those that may leave 64 bits are added up in whole numbers of any size, and beyond 64 bits count as the nearest number within."""
     most = float(np.abs(x.astype(float)).max(initial=0)) * float(np.abs(query.astype(float)).max(initial=0)) * max(1, x.shape[1])
     if most < 2.0**62:
         return x @ query
-    return np.array([sum(map(int.__mul__, row, query.tolist())) for row in x.tolist()], np.int64)
+    return np.array([min(max(sum(map(int.__mul__, row, query.tolist())), LEAST), MOST) for row in x.tolist()], np.int64)
 
 
 def search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -113,7 +114,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     Vectors are arrays of whole numbers.  Null ids and null vectors, and vectors
     with a null in them, take no part; vectors of fewer dimensions count as
     padded with zeros, empty ones too.  Equal scores go to the smaller id.  Rows
-    that repeat an id are rows of their own.  A score outside 64 bits fails.  No
+    that repeat an id are rows of their own.  Components and scores beyond
+    64 bits count as the nearest number within.  No
     queries or no vectors give no rows.
     """
     spark = vectors.sparkSession

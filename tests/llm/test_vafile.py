@@ -46,3 +46,16 @@ def test_large_components_empty_vectors_and_ties(spark):
         s = sorted((-sum(a * b for a, b in zip(ints[q], e)), i) for i, e in ints.items() if i != q)
         want += [(q, i, -n) for n, i in s]
     assert max(abs(w[2]) for w in want) >= 2**62 and got == want
+
+
+def test_scores_beyond_64_bits(spark):
+    rows = [(20, [1e30, 1.0]), (7, [3e38, -3e38]), (1, [1e18, 1.0]), (2, [-1e30, 0.0]), (3, [5e16, 2.0]), (4, [1.0, 1.0]), (5, [-2e17, 1.0]), (40, [1.0, 1.0])]
+    v = whole(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = [(r.query_id, r.vec_id, r.score) for r in top_k(v, v.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
+    fit = lambda n: min(max(n, -(1 << 63)), (1 << 63) - 1)
+    ints = {i: [fit(int(np.floor(64 * np.float64(np.float32(c))))) for c in e] for i, e in rows}
+    want = []
+    for q in (20, 40):
+        s = sorted((-fit(sum(a * b for a, b in zip(ints[q], e))), i) for i, e in ints.items() if i != q)
+        want += [(q, i, -n) for n, i in s]
+    assert got == want and {(1 << 63) - 1, -(1 << 63)} <= {w[2] for w in want}
