@@ -88,6 +88,58 @@ def deltas(v: np.ndarray) -> np.ndarray:
     return np.diff(v.astype(np.int64), prepend=np.int64(0))
 
 
+def number(v: int) -> bytes:
+    """One unsigned number in base 128."""
+    out = bytearray()
+    while v > 127:
+        out.append(v & 127 | 128)
+        v >>= 7
+    out.append(v)
+    return bytes(out)
+
+
+def packed(values: list[int]) -> bytes | None:
+    """A packed field of unsigned numbers; none for none.  Short ones are not worth an array."""
+    if not values:
+        return None
+    return b"".join(map(number, values)) if len(values) < 64 else pack_varints(np.array(values, np.uint64))
+
+
+def packed_deltas(values: list[int]) -> bytes | None:
+    """A packed field of zigzag differences."""
+    if len(values) >= 64:
+        return pack_varints(zigzag(deltas(np.array(values, np.int64))))
+    steps = [b - a for a, b in zip([0, *values], values, strict=False)]
+    return packed([(d << 1 ^ d >> 63) & 0xFFFFFFFFFFFFFFFF for d in steps])
+
+
+def unpacked(data: bytes) -> list[int]:
+    """The unsigned numbers of a packed field as a list."""
+    if len(data) >= 64:
+        return varints(data).tolist()
+    out, v, shift = [], 0, 0
+    for c in data:
+        v |= (c & 127) << shift
+        shift += 7
+        if c < 128:
+            out.append(v)
+            v = shift = 0
+    if shift:
+        raise ValueError("a packed field ends inside a number")
+    return out
+
+
+def unpacked_deltas(data: bytes) -> list[int]:
+    """The running sums of zigzag differences."""
+    if len(data) >= 64:
+        return np.cumsum(signed(varints(data))).tolist()
+    out, at = [], 0
+    for v in unpacked(data):
+        at += v >> 1 ^ -(v & 1)
+        out.append(at)
+    return out
+
+
 # --- messages ----------------------------------------------------------------
 
 
@@ -122,15 +174,13 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 def message(*parts: tuple[int, int | bytes | None]) -> bytes:
-    out = bytearray()
-    for number, value in parts:
-        if value is None:
-            continue
+    out = []
+    for field, value in parts:
         if isinstance(value, int):
-            out += pack_varints(np.array([number << 3, value], np.uint64))
-        else:
-            out += pack_varints(np.array([number << 3 | 2, len(value)], np.uint64)) + value
-    return bytes(out)
+            out += (number(field << 3), number(value))
+        elif value is not None:
+            out += (number(field << 3 | 2), number(len(value)), value)
+    return b"".join(out)
 
 
 def inflate(blob: bytes) -> bytes:
@@ -183,7 +233,7 @@ def first_kind(data: bytes) -> str | None:
 
 
 def _pairs(words: list[str], keys: bytes, values: bytes) -> list[tuple[str, str]]:
-    return list({words[k]: words[v] for k, v in reversed(list(zip(varints(keys).tolist(), varints(values).tolist(), strict=True)))}.items())[::-1]
+    return list({words[k]: words[v] for k, v in reversed(list(zip(unpacked(keys), unpacked(values), strict=True)))}.items())[::-1]
 
 
 def _dense(group: bytes, words: list[str], place) -> tuple[list, ...]:
@@ -229,9 +279,9 @@ def elements(data: bytes, kind: str) -> pa.RecordBatch:
                 i, lat, lon = signed(one).tolist()
                 row = (i, float(place(lat, 8)), float(place(lon, 9)), tags)
             elif kind == "way":
-                row = (as_signed(got[1]), np.cumsum(signed(varints(got.get(8, b"")))).tolist(), tags)
+                row = (as_signed(got[1]), unpacked_deltas(got.get(8, b"")), tags)
             else:
-                ids, roles, types = np.cumsum(signed(varints(got.get(9, b"")))).tolist(), varints(got.get(8, b"")).tolist(), varints(got.get(10, b"")).tolist()
+                ids, roles, types = unpacked_deltas(got.get(9, b"")), unpacked(got.get(8, b"")), unpacked(got.get(10, b""))
                 row = (as_signed(got[1]), [{"type": KINDS[t], "ref": m, "role": words[r]} for m, r, t in zip(ids, roles, types, strict=True)], tags)
             for column, x in zip(rows, row, strict=True):
                 column.append(x)
@@ -258,7 +308,6 @@ def block(rows: list[dict], kind: str) -> bytes:
     words: dict[str, int] = {"": 0}
     sid = lambda w: words.setdefault(w, len(words))
     tags = [[(sid(k), sid(v if v is not None else "")) for k, v in (r["tags"] or [])] for r in rows]
-    packed = lambda x: pack_varints(np.array(x, np.uint64)) if len(x) else None
     ids = np.array([r["id"] for r in rows], np.int64)
     if kind == "node":
         lat, lon = (np.array([round((r[c] or 0.0) / _NANO / _GRANULARITY) for r in rows], np.int64) for c in ("lat", "lon"))
@@ -269,12 +318,10 @@ def block(rows: list[dict], kind: str) -> bytes:
         for r, own in zip(rows, tags, strict=True):
             common = [(1, r["id"] & 0xFFFFFFFFFFFFFFFF), (2, packed([k for k, _ in own])), (3, packed([v for _, v in own]))]
             if kind == "way":
-                refs = np.array(r["refs"] or [], np.int64)
-                parts.append((3, message(*common, (8, pack_varints(zigzag(deltas(refs))) if len(refs) else None))))
+                parts.append((3, message(*common, (8, packed_deltas(r["refs"] or [])))))
             else:
                 members = r["members"] or []
-                refs = np.array([m["ref"] for m in members], np.int64)
-                parts.append((4, message(*common, (8, packed([sid(m["role"] or "") for m in members])), (9, pack_varints(zigzag(deltas(refs))) if len(refs) else None), (10, packed([KINDS.index(m["type"]) for m in members])))))
+                parts.append((4, message(*common, (8, packed([sid(m["role"] or "") for m in members])), (9, packed_deltas([m["ref"] for m in members])), (10, packed([KINDS.index(m["type"]) for m in members])))))
         group = message(*parts)
     return message((1, message(*((1, w.encode()) for w in words))), (2, group))
 
