@@ -36,6 +36,8 @@ HASHES, BANDS, ROWS, BITS = 256, 32, 4, 4
 SLACK = 0.14
 #: Members of a bucket are compared list by list; a list has about this many members and shingles.
 LIST, LIST_ITEMS = 256, 1 << 19
+#: Lists of buckets that are settled whole: a task holds two of them, and members travel once for each list of others.
+OPEN_LIST = 512
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -307,10 +309,19 @@ def _vertices(spark: SparkSession, feat: DataFrame) -> DataFrame:
     return own
 
 
+def _met(rows: DataFrame, *tables: DataFrame) -> DataFrame:
+    """rows (doc_id, ...) joined with tables that hold documents; a document meets them once, however many buckets hold it."""
+    places = [c for c in rows.columns if c != "doc_id"]
+    out = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*places)).alias("__places"))
+    for t in tables:
+        out = out.join(t, "doc_id")
+    return out.select(*(c for c in out.columns if c != "__places"), F.inline("__places"))
+
+
 def _chosen(cand: DataFrame, sigs: DataFrame) -> DataFrame:
     """(a, b): each member with the nearest of its lists, and with the most central member of a bucket of several lists."""
     dealt = cand.withColumn("lists", F.expr(f"n div {LIST} + 1")).withColumn("list", F.expr("pmod(xxhash64(doc_id), lists)"))
-    lists = dealt.join(sigs, "doc_id").groupBy("key", "list").agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
+    lists = _met(dealt.select("key", "list", "doc_id"), sigs).groupBy("key", "list").agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
     near = stage(cand.sparkSession, lists.mapInArrow(_nearest, "key long, a long, b long, est double, mean double"), "nearest")
     best = near.where(f"est > {-1.5}").groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
     wide = dealt.where("lists > 1").select("key", "doc_id", "n")
@@ -342,29 +353,33 @@ def _open(cand: DataFrame, sigs: DataFrame, sets: DataFrame, label: DataFrame, p
     then, where those leave a pair a chance, with the full sets.
     """
     sized = sigs.groupBy("doc_id").agg(F.max("n_shingles").alias("size"))
-    placed = cand.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(sized, "doc_id").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), "size")
-    placed = stage(cand.sparkSession, placed, "placed")
+    known = sized.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
+    placed = stage(cand.sparkSession, _met(cand.select("key", "doc_id"), known), "placed")
     parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("w"))
     still = parts.groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("top"), F.sum("w").alias("w"), F.max_by("component", F.struct("c", "component")).alias("main"), F.max_by("w", F.struct("c", "component")).alias("wm")).where("n > top")
-    lists = F.greatest(F.expr(f"n div {LIST}"), F.expr(f"w div {LIST_ITEMS}")) + 1
-    groups = F.greatest(F.expr(f"(n - top) div {LIST}"), F.expr(f"(w - wm) div {LIST_ITEMS}")) + 1
+    lists = F.greatest(F.expr(f"n div {OPEN_LIST}"), F.expr(f"w div {LIST_ITEMS}")) + 1
+    groups = F.greatest(F.expr(f"(n - top) div {OPEN_LIST}"), F.expr(f"(w - wm) div {LIST_ITEMS}")) + 1
     still = stage(cand.sparkSession, still.select("key", "n", "main", lists.alias("lists"), groups.alias("groups")), "open")
     around = skew_join(placed.drop("size"), still.drop("n"), ["key"], still.select("key", "n"), "doc_id")
-    single, each = F.col("lists") == 1, lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    base = ["key", "doc_id", "component"]
-    whole = around.where(single).select(*base, F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(False).alias("other"))
-    around = around.where(~single)
-    members = around.select(*base, F.expr("pmod(xxhash64(doc_id), lists)").alias("i"), each("groups").alias("j"), F.lit(False).alias("other"))
-    others = around.where("component <> main").withColumn("j", F.expr("pmod(xxhash64(doc_id), groups)")).select(*base, each("lists").alias("i"), "j", F.lit(True).alias("other"))
-    rows = whole.unionByName(members).unionByName(others).join(sigs.select("doc_id", "sig", "n_shingles"), "doc_id")
     fields = ["doc_id", "component", "n_shingles", "sig", "other"]
-    lists = rows.groupBy("key", "i", "j").agg(F.collect_list(F.struct(*fields)).alias("members"))
+    sign = sigs.select("doc_id", "sig", "n_shingles")
+    lists = _dealt(_met(around, sign)).groupBy("key", "i", "j").agg(F.collect_list(F.struct(*fields)).alias("members"))
     hope = stage(cand.sparkSession, lists.select("key", "members").mapInArrow(_hopeful(percent / 100), "key long, doc_id long").distinct(), "hope")
-    rows = rows.join(hope, ["key", "doc_id"], "left_semi").join(sets, "doc_id")
+    rows = _dealt(_met(around.join(hope, ["key", "doc_id"], "left_semi"), sign, sets))
     lists = rows.groupBy("key", "i", "j").agg(F.collect_list(F.struct(*fields, "items")).alias("members"))
     return lists.select("members").mapInArrow(_settled(percent), "a long, b long").distinct()
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """A row for each pair of lists (i, j) that a member of a bucket (component, main, lists, groups) takes part in; ``other``: as one of the others."""
+    zero, at = F.lit(0).cast("long"), lambda i, j, other: F.struct(i.alias("i"), j.alias("j"), F.lit(other).alias("other"))
+    own = lambda n: F.expr(f"pmod(xxhash64(doc_id), {n})")
+    each = lambda n, f: F.transform(F.sequence(zero, F.col(n) - 1), f)
+    among = each("groups", lambda j: at(own("lists"), j, False))
+    against = F.when(F.col("component") != F.col("main"), each("lists", lambda i: at(i, own("groups"), True))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint,other:boolean>>"))
+    return members.select("*", F.inline(F.when(F.col("lists") == 1, F.array(at(zero, zero, False))).otherwise(F.concat(among, against)))).drop("main", "lists", "groups")
+
+
 def _labelled(own: DataFrame, label: DataFrame | None) -> DataFrame:
     comp = F.coalesce("vertex", "doc_id")
     if label is not None:
