@@ -13,10 +13,11 @@ def numbers(text: Column, n: int, separator: str = ",") -> Column:
     return F.when(~bad, parts).otherwise(F.raise_error(F.concat(F.lit(f"expected {n} numbers: "), text)).cast("array<double>"))
 
 
-def byte_count(n: Column) -> Column:
-    """1.0 KiB, 142.2 GiB; whole bytes below that."""
+def byte_count(n: Column, largest: str = "TiB") -> Column:
+    """1.0 KiB, 142.2 GiB; whole bytes below that, no unit above the largest."""
+    units = ("KiB", "MiB", "GiB", "TiB")
     out = F.format_string("%d B", n)
-    for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
+    for k, unit in enumerate(units[: units.index(largest) + 1], 1):
         out = F.when(n >= F.lit(1 << 10 * k), F.format_string(f"%.1f {unit}", F.bround(n / F.lit(float(1 << 10 * k)), 1))).otherwise(out)
     return out
 

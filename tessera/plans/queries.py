@@ -552,7 +552,7 @@ def palette_shade(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select o_orderkey, case when n < 1024 then n || ' B' when n < 1048576 then printf('%.1f KiB', n / 1024.0::double) when n < 1073741824 then printf('%.1f MiB', n / 1048576.0::double) else printf('%.1f GiB', n / 1073741824.0::double) end as size from (select o_orderkey, o_orderkey * o_orderkey * 97 as n from orders)")
 def byte_count(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", text.byte_count(F.expr("o_orderkey * o_orderkey * 97")).alias("size"))
+    return table(spark, d, "orders").select("o_orderkey", text.byte_count(F.expr("o_orderkey * o_orderkey * 97"), "GiB").alias("size"))
 
 
 @query("select event_id, cast(json_extract(props, '$.k') as int) as k from events")
