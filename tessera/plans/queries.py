@@ -93,10 +93,12 @@ select c_custkey, max(depth) as depth, max(case when depth = 2 then node end) as
 def parent_chain(spark: SparkSession, d: str) -> DataFrame:
     for t in ("customer", "nation"):
         table(spark, d, t).createOrReplaceTempView(f"chain_{t}")
-    return spark.sql("""with recursive up(c_custkey, node, depth) as (
-      select c_custkey, concat('n', c_nationkey), 1 from chain_customer
-      union all select up.c_custkey, concat('r', n.n_regionkey), up.depth + 1 from up join chain_nation n on up.node = concat('n', n.n_nationkey))
-    select c_custkey, max(depth) as depth, max(case when depth = 2 then node end) as root from up group by c_custkey""")
+    # The chains of the nodes that customers start from, once each: what recursion may return is limited.
+    return spark.sql("""with recursive up(start, node, depth) as (
+      select node, node, 1 from (select distinct concat('n', c_nationkey) as node from chain_customer)
+      union all select up.start, concat('r', n.n_regionkey), up.depth + 1 from up join chain_nation n on up.node = concat('n', n.n_nationkey)),
+    chains as (select start, max(depth) as depth, max(case when depth = 2 then node end) as root from up group by start)
+    select c_custkey, max(depth) as depth, max(root) as root from chain_customer join chains on concat('n', c_nationkey) <=> start group by c_custkey""")
 
 
 _LAMBERT = f"""select s_suppkey, round(r * sin(theta), 3) as x, round({crs._R0!r}e0 - r * cos(theta), 3) as y from (
