@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import colour, crs, grid, materials, noise, text
 from ..operators import fill, metrics, pyramid, rays, terrain, tiles, vector
+from ..staging import shared_dir
 from ..streaming import track
 from .embeddings import CELLS, IDS, POINTS, RECTS, TIERS, WIDE, cells, ids, points, rectangles, table, tiers, wide_cover
 
@@ -577,9 +580,7 @@ def smoothed_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what there is and read what it appended."""
-    import uuid
-
-    table_name = f"{name}_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(table_name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(table_name)
+    """Run a stream over what there is and read what it appended: tasks write it to the shared folder."""
+    at = f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", at).option("checkpointLocation", f"{at}-progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(at)
