@@ -206,9 +206,14 @@ def stroke_convert(segments: DataFrame, key: str = "stroke") -> DataFrame:
 
 
 def paint(covers: DataFrame, ident: str = "id") -> DataFrame:
-    """x, y, id of the last painter of each cell: higher layer, then smaller area, then later index."""
-    rank = F.struct(F.col("layer"), -F.col("area"), F.col("index"))
-    return covers.groupBy("x", "y").agg(F.max_by(ident, rank).alias(ident))
+    """x, y, id of the last painter of each cell: higher layer, then smaller area, then later index.
+
+    One column is ranked at a time, so that plain values are kept for each
+    group and no cover is sorted.
+    """
+    last = covers.groupBy("x", "y", "layer", "area").agg(F.max_by(ident, "index").alias(ident))
+    last = last.groupBy("x", "y", "layer").agg(F.min_by(ident, "area").alias(ident))
+    return last.groupBy("x", "y").agg(F.max_by(ident, "layer").alias(ident))
 
 
 def paint_all(areas: DataFrame, strokes: DataFrame, ident: str = "id") -> DataFrame:
