@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lists import hops
-from .vector import points_in_rings
+from .vector import at_spots, spots_in_rings
 
 # Points a side that a box is probed with, and parents that are followed.
 SAMPLES, MOST_DEPTH = 5, 100
@@ -17,9 +17,16 @@ def containing(points: DataFrame, rings: DataFrame, edges: DataFrame, cell: floa
 
     ``rings``: ring, region, part, hole.  ``edges`` as of ``ring_edges``.
     """
-    inside = points_in_rings(points, edges, cell, keys).join(rings.select("ring", "region", "part", "hole"), "ring")
-    parts = inside.groupBy(*keys, "region", "part").agg(F.bool_or(~F.col("hole")).alias("out"), F.bool_or("hole").alias("in"))
-    return parts.where("out and not in").select(*keys, "region").distinct()
+    at, spots = at_spots(points, keys)
+    return _spots(spots, rings, edges, cell).join(at.distinct(), ["px", "py"]).select(*keys, "region")
+
+
+def _spots(spots: DataFrame, rings: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
+    """px, py, region of different points inside; dealt by region once, where all that is known of it is counted."""
+    named = edges.join(rings.select("ring", "region", "part", "hole"), "ring")
+    inside = spots_in_rings(spots, named, cell, also=("region", "part", "hole"), by=("region",))
+    parts = inside.groupBy("px", "py", "region", "part").agg(F.bool_or(~F.col("hole")).alias("out"), F.bool_or("hole").alias("in"))
+    return parts.where("out and not in").select("px", "py", "region").distinct()
 
 
 def probes(boxes: DataFrame, key: str = "box") -> DataFrame:
@@ -32,10 +39,20 @@ def probes(boxes: DataFrame, key: str = "box") -> DataFrame:
 
 def containing_boxes(boxes: DataFrame, rings: DataFrame, edges: DataFrame, cell: float, key: str = "box") -> DataFrame:
     """key and region of boxes all of whose probes are inside."""
-    hit = containing(probes(boxes, key), rings, edges, cell, (key, "i"))
+    at, spots = at_spots(probes(boxes, key), (key, "i"))
+    hit = _spots(spots, rings, edges, cell).join(at.distinct(), ["px", "py"])
     return hit.groupBy(key, "region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == SAMPLES * SAMPLES).drop("n")
 
 
+def deepest(boxes: DataFrame, rings: DataFrame, corners: DataFrame, edges: DataFrame, tree: DataFrame, cell: float, key: str = "box") -> DataFrame:
+    """key, region: of the regions that hold a box the one that is ``chosen``; boxes that coincide are tested once."""
+    sides = ["west", "south", "east", "north"]
+    own = boxes.groupBy(*sides).agg(F.min(key).alias("first"))
+    best = chosen(containing_boxes(own, rings, edges, cell, "first"), depths(tree), footprints(rings, corners), "first")
+    same = boxes.select(key, *sides).join(own.join(best, "first").select(*sides, "region"), sides)
+    return same.select(key, "region").distinct()
+
+
 def footprints(rings: DataFrame, points: DataFrame) -> DataFrame:
     """region, footprint: the area of the box around a region's exteriors."""
     out = points.join(rings.where("not hole").select("ring", "region"), "ring").groupBy("region")

@@ -56,15 +56,15 @@ def _cells_of(c: Column, cell: float, shift: float) -> Column:
     return F.floor(c / cell - shift)
 
 
-def ring_cells(edges: DataFrame, cell: float, ring: str = "ring", group: tuple[str, ...] = ()) -> DataFrame:
-    """Rings as an index of square cells: group, ring, __i, __j, x, y, nx, ny.
+def ring_cells(edges: DataFrame, cell: float, ring: str = "ring", group: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> DataFrame:
+    """Rings as an index of square cells: group, ring, also (columns that a ring has once), __i, __j, x, y, nx, ny.
 
     A cell that an edge passes has a row for that edge; a cell whose upper right
     corner is inside has one more, without an edge.  Corners are settled row by
     row: the crossings of a row's upper border, in order, enclose the corners
     inside by pairs.
     """
-    own = [*group, ring]
+    own = [*group, ring, *also]
     slim = edges.select(*own, *(F.col(c).cast("double").alias(c) for c in ("x", "y", "nx", "ny")))
     dx, dy = F.col("nx") - F.col("x"), F.col("ny") - F.col("y")
     row = lambda c: _cells_of(c, cell, _SHIFT_Y)
@@ -82,26 +82,38 @@ def ring_cells(edges: DataFrame, cell: float, ring: str = "ring", group: tuple[s
     return passed.unionByName(inside)
 
 
-def points_in_rings(points: DataFrame, edges: DataFrame, cell: float, keys: tuple[str, ...], ring: str = "ring", group: tuple[str, ...] = ()) -> DataFrame:
-    """group, keys and ring of points (px, py) inside by the even-odd rule, among the rings of their group.
+def spots_in_rings(spots: DataFrame, edges: DataFrame, cell: float, ring: str = "ring", group: tuple[str, ...] = (), also: tuple[str, ...] = (), by: tuple[str, ...] = ("px", "py")) -> DataFrame:
+    """group, px, py, ring and also of different points inside by the even-odd rule, among the rings of their group; dealt ``by`` group and these columns.
 
     A point meets what ``ring_cells`` holds for its own cell alone: the edges
     between it and the cell's upper right corner, going right and then up, and
     the parity of that corner.  ``cell`` should be a fraction of the rings'
     size: the index has a row for each edge and cell that it passes, and for each cell inside.
     """
-    index = ring_cells(edges, cell, ring, group)
-    at = points.select(*group, *keys, F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py"))
-    at = at.withColumn("__i", _cells_of(F.col("px"), cell, _SHIFT_X)).withColumn("__j", _cells_of(F.col("py"), cell, _SHIFT_Y))
+    index = ring_cells(edges, cell, ring, group, also)
+    at = spots.withColumn("__i", _cells_of(F.col("px"), cell, _SHIFT_X)).withColumn("__j", _cells_of(F.col("py"), cell, _SHIFT_Y))
     right, top = (F.col("__i") + 1 + _SHIFT_X) * cell, (F.col("__j") + 1 + _SHIFT_Y) * cell
     meets = F.col("x") + (F.col("py") - F.col("y")) / (F.col("ny") - F.col("y")) * (F.col("nx") - F.col("x"))
     rises = F.col("y") + (right - F.col("x")) / (F.col("nx") - F.col("x")) * (F.col("ny") - F.col("y"))
     across = ((F.col("y") > F.col("py")) != (F.col("ny") > F.col("py"))) & (F.col("px") < meets) & (meets < right)
     upward = ((F.col("x") > right) != (F.col("nx") > right)) & (F.col("py") < rises) & (rises < top)
     crossings = F.when(F.col("x").isNull(), F.lit(1)).otherwise(F.coalesce(across, F.lit(False)).cast("int") + F.coalesce(upward, F.lit(False)).cast("int"))
-    hits = at.join(index, [*group, "__i", "__j"]).withColumn("n", crossings).where("n > 0").select(*group, *keys, ring, "n")
-    hits = hits.repartition(*group, *keys)  # what is counted by point and ring, or by point and region, stays where it is
-    return hits.groupBy(*group, *keys, ring).agg(F.sum("n").alias("n")).where("n % 2 = 1").drop("n")
+    found = [*group, "px", "py", ring, *also]
+    hits = at.join(index, [*group, "__i", "__j"]).withColumn("n", crossings).where("n > 0").select(*found, "n")
+    hits = hits.repartition(*group, *by)  # what is counted by these columns and others stays where it is
+    return hits.groupBy(*found).agg(F.sum("n").alias("n")).where("n % 2 = 1").drop("n")
+
+
+def at_spots(points: DataFrame, keys: tuple[str, ...], group: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(group, keys, px, py) as doubles, and the different (group, px, py) among them: points that coincide are tested once."""
+    at = points.select(*group, *keys, F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py"))
+    return at, at.select(*group, "px", "py").distinct()
+
+
+def points_in_rings(points: DataFrame, edges: DataFrame, cell: float, keys: tuple[str, ...], ring: str = "ring", group: tuple[str, ...] = ()) -> DataFrame:
+    """group, keys and ring of points (px, py) inside by the even-odd rule, among the rings of their group; see ``spots_in_rings``."""
+    at, spots = at_spots(points, keys, group)
+    return spots_in_rings(spots, edges, cell, ring, group).join(at, [*group, "px", "py"]).select(*group, *keys, ring)
 
 
 def clip_segment(x0: Column, y0: Column, x1: Column, y1: Column, box: tuple[float, float, float, float]) -> tuple[Column, Column]:

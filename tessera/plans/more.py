@@ -272,9 +272,8 @@ def region_of_box(spark: SparkSession, d: str) -> DataFrame:
     """Regions form a tree, five children each; of those that hold a box the deepest is taken."""
     rings, corners = _regions(spark, d)
     b = table(spark, d, "supplier").selectExpr("s_suppkey as box", "s_suppkey % 90 + 0.25D as west", "s_nationkey * 2 + 0.5D as south", "s_suppkey % 90 + 8.25D as east", "s_nationkey * 2 + 2.5D as north")
-    hits = regions.containing_boxes(b, rings, vector.ring_edges(corners), 2.0)
     tree = rings.select("region").distinct().selectExpr("region", "if(region = 0, null, region div 15 * 3) as parent")
-    return regions.chosen(hits, regions.depths(tree), regions.footprints(rings, corners))
+    return regions.deepest(b, rings, corners, vector.ring_edges(corners), tree, 2.0)
 
 
 @query(f"""with r as ({RECTS}), c as (select cx + a as x, cy + b as y, ring as id, ring % 6 as layer, w * t as area, ring as index from r, range(60) p(a), range(10) q(b) where a < w and b < t),
