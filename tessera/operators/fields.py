@@ -15,32 +15,49 @@ from .fill import _catmull_rom, bilinear
 def sample(points: DataFrame, cells: DataFrame, keys: tuple[str, ...], size: tuple[int, int], metres: float, channels: tuple[str, ...], height: str = "h") -> DataFrame:
     """Smooth samples of each channel at the points (x, y in raster metres), slope and (east, south), the unit vector downhill.
 
-    One join serves all of it: a point meets the 32 cells that any of the five
-    height samples needs, each with the weights that it has in the height and in
-    the two central differences.  Reads beyond the raster are clamped.  Flat
-    ground has no direction (0, 0).  A point with a cell missing is left out, as
-    are points with a null coordinate; an empty table gives no rows.
+    The 32 cells that any of the five height samples at a place needs are
+    gathered once for each place of the raster; a point meets its place in one
+    row, with the weights that the cells have in the height and in the two
+    central differences.  Reads beyond the raster are clamped.  Flat ground has
+    no direction (0, 0).  A point with a cell missing is left out, as are points
+    with a null coordinate; an empty table gives no rows.
     """
     zero = F.lit(0.0)
     px, py = F.col("x") / metres, F.col("y") / metres
-    # Weights of the cells -3 .. 4 around a point, once a point; the pairs of offsets are a literal that rows are made from.
+    # Weights of the cells -3 .. 4 around a point; beyond a few cells outside, all places read the same cells.
     ahead = [F.array(zero, zero, *_catmull_rom(F.col(f"__p{c}") - F.col(f"__{c}0")), zero, zero).alias(f"__w{c}") for c in "xy"]
-    at = points.where("x is not null and y is not null").select(*keys, px.alias("__px"), py.alias("__py"), F.floor(px).alias("__x0"), F.floor(py).alias("__y0")).select(*keys, "__x0", "__y0", *ahead)
-    pairs = [(i, j) for i in range(1, 7) for j in range(1, 7) if 2 <= i <= 5 or 2 <= j <= 5]
-    wide = at.select("*", F.inline(F.array(*(F.struct(F.lit(i).alias("__i"), F.lit(j).alias("__j")) for i, j in pairs))))
-    inside = lambda c, k, n: F.least(F.greatest(F.col(f"__{c}0") + F.col(k) - 3, F.lit(0)), F.lit(n - 1)).alias(c)
-    weight = lambda c, k: F.get(f"__w{c}", F.col(k))
-    apart = lambda c, k: F.get(f"__w{c}", F.col(k) + 1) - F.get(f"__w{c}", F.col(k) - 1)  # noqa: E731  (sample a cell before) - (sample a cell after)
-    wx, wy = weight("x", "__i"), weight("y", "__j")
-    taps = wide.select(*keys, inside("x", "__i", size[0]), inside("y", "__j", size[1]), (wx * wy).alias("w"), (apart("x", "__i") * wy).alias("we"), (wx * apart("y", "__j")).alias("ws"))
-    met = taps.join(cells.select("x", "y", *channels).dropna(), ["x", "y"])
-    fall = lambda w: (F.sum(F.col(w) * F.col(height)) / (2 * metres)).alias(w)
-    out = met.groupBy(*keys).agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in channels), fall("we"), fall("ws"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") == len(pairs))
+    place = [F.least(F.greatest(F.col(f"__{c}0"), F.lit(-3)), F.lit(n + 1)).cast("long").alias(f"__k{c}") for c, n in zip("xy", size, strict=True)]
+    at = points.where("x is not null and y is not null").select(*keys, px.alias("__px"), py.alias("__py"), F.floor(px).alias("__x0"), F.floor(py).alias("__y0")).select(*keys, *place, *ahead)
+    met = at.join(_around(cells.select("x", "y", *channels).dropna(), size, channels), ["__kx", "__ky"])
+    weight = lambda c, k: F.get(f"__w{c}", k)
+    apart = lambda c, k: F.get(f"__w{c}", k + 1) - F.get(f"__w{c}", k - 1)  # noqa: E731  (sample a cell before) - (sample a cell after)
+    total = lambda f: F.aggregate("__cells", zero, lambda sum_, cell: sum_ + f(cell))
+    value = lambda c: total(lambda t: weight("x", t["i"]) * weight("y", t["j"]) * t[c].cast("double"))
+    fall_e = total(lambda t: apart("x", t["i"]) * weight("y", t["j"]) * t[height].cast("double")) / (2 * metres)
+    fall_s = total(lambda t: weight("x", t["i"]) * apart("y", t["j"]) * t[height].cast("double")) / (2 * metres)
+    out = met.select(*keys, *(value(c).alias(c) for c in channels), fall_e.alias("we"), fall_s.alias("ws"))
     slope = F.sqrt(F.col("we") * F.col("we") + F.col("ws") * F.col("ws"))
     way = lambda w: F.when(F.col("slope") > 1e-6, F.col(w) / F.nullif(F.col("slope"), zero)).otherwise(zero)
     return out.withColumn("slope", slope).select(*keys, *channels, "slope", way("we").alias("east"), way("ws").alias("south"))
 
 
+#: Offsets (3 more than the column, 3 more than the row) of the cells that samples at a place and a cell beside it need.
+_PAIRS = [(i, j) for i in range(1, 7) for j in range(1, 7) if 2 <= i <= 5 or 2 <= j <= 5]
+
+
+def _around(cells: DataFrame, size: tuple[int, int], channels: tuple[str, ...]) -> DataFrame:
+    """__kx, __ky, __cells: the cells (i, j, channels) around every place of the raster that has all of them, places outside it included."""
+    spark = cells.sparkSession
+
+    def reach(c: str, n: int, k: str) -> DataFrame:
+        at = spark.range(-3, n + 2).select(F.col("id").alias(f"__k{c}"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias(k))
+        return at.select(f"__k{c}", k, F.least(F.greatest(F.col(f"__k{c}") + F.col(k) - 3, F.lit(0)), F.lit(n - 1)).alias(c))
+
+    wide = cells.join(reach("x", size[0], "i"), "x").join(reach("y", size[1], "j"), "y").where("i between 2 and 5 or j between 2 and 5")
+    near = wide.groupBy("__kx", "__ky").agg(F.collect_list(F.struct("i", "j", *channels)).alias("__cells"))
+    return near.where(F.size("__cells") == len(_PAIRS)).withColumn("__cells", F.sort_array("__cells"))
+
+
 @dataclass(frozen=True)
 class Lattice:
     """Where texels lie: the outer corner of texel (0, 0) and the side of a texel; north is up."""
