@@ -221,11 +221,11 @@ def paint(covers: DataFrame, ident: str = "id") -> DataFrame:
     """x, y, id of the last painter of each cell: higher layer, then smaller area, then later index.
 
     One column is ranked at a time, so that plain values are kept for each
-    group and no cover is sorted.
+    group and no cover is sorted; a missing value ranks last.
     """
-    last = covers.groupBy("x", "y", "layer", "area").agg(F.max_by(ident, "index").alias(ident))
-    last = last.groupBy("x", "y", "layer").agg(F.min_by(ident, "area").alias(ident))
-    return last.groupBy("x", "y").agg(F.max_by(ident, "layer").alias(ident))
+    last = covers.groupBy("x", "y", "layer", "area").agg(F.coalesce(F.max_by(ident, "index"), F.max(ident)).alias(ident))
+    last = last.groupBy("x", "y", "layer").agg(F.coalesce(F.min_by(ident, "area"), F.max(ident)).alias(ident))
+    return last.groupBy("x", "y").agg(F.coalesce(F.max_by(ident, "layer"), F.max(ident)).alias(ident))
 
 
 def paint_all(areas: DataFrame, strokes: DataFrame, ident: str = "id") -> DataFrame:
