@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..staging import discard, stage
 from .lists import hops
-from .tiles import SIZE, to_cells, to_tiles
+from .tiles import SIZE, cells_of, rows_of, to_tiles, unpack
 
 #: The number of what lies outside; border cells are numbered tile by tile from 0 on.
 OUTSIDE = -1
@@ -73,9 +73,13 @@ def least_pairs(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray
     return low[first], high[first], w[first]
 
 
+def _block(row: dict, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return unpack(row["block"], "<f8").reshape(size, size), unpack(row["there"], bool)[: size * size].reshape(size, size)
+
+
 def _tile(row: dict, size: int) -> tuple[np.ndarray, ...]:
     """(heights, there, border names, which cells are seeds, where water leaves) of a tile with the ring of cells around it."""
-    h, there = (np.frombuffer(row[k], kind).reshape(size, size) for k, kind in (("block", "<f8"), ("there", bool)))
+    h, there = _block(row, size)
     ring = np.zeros((size + 2, size + 2), bool)
     ring[1:-1, 1:-1] = there
     if row["around"] is not None:
@@ -115,20 +119,18 @@ def _spills(size: int):
 
 
 def _raise(size: int):
-    """Tiles with the levels of their basins -> tiles whose block is the filled surface."""
+    """Tiles with the levels of their basins -> cells and the filled surface."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                h, there, names, seeds, _ = _tile(row, size)
-                level, basin = flood_tile(h, there, seeds, names)
-                known = sorted((m["a"], m["level"]) for m in row["levels"] or [])
-                keys, values = (np.array([m[k] for m in known], t) for k, t in ((0, np.int64), (1, np.float64)))
-                reached = np.full(basin.shape, -np.inf)
-                inner = there & (basin != OUTSIDE)
-                reached[inner] = values[np.searchsorted(keys, basin[inner])]
-                filled = np.maximum(level, reached)
-                yield pa.RecordBatch.from_arrays([pa.array([row["tx"]], pa.int64()), pa.array([row["ty"]], pa.int64()), pa.array([row["there"]], pa.binary()), pa.array([filled.astype("<f8").tobytes()], pa.binary())], names=["tx", "ty", "there", "block"])
+        for row in rows_of(batches):
+            h, there, names, seeds, _ = _tile(row, size)
+            level, basin = flood_tile(h, there, seeds, names)
+            known = sorted((m["a"], m["level"]) for m in row["levels"] or [])
+            keys, values = (np.array([m[k] for m in known], t) for k, t in ((0, np.int64), (1, np.float64)))
+            reached = np.full(basin.shape, -np.inf)
+            inner = there & (basin != OUTSIDE)
+            reached[inner] = values[np.searchsorted(keys, basin[inner])]
+            yield cells_of(row["tx"], row["ty"], there.ravel(), {"h": h.ravel(), "filled": np.maximum(level, reached).ravel()}, size)
 
     return run
 
@@ -139,7 +141,7 @@ def _borders(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                h, there = (np.frombuffer(row[k], kind).reshape(size, size) for k, kind in (("block", "<f8"), ("there", bool)))
+                h, there = _block(row, size)
                 sides = [np.s_[0, :], np.s_[-1, :], np.s_[:, 0], np.s_[:, -1]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row[k]], pa.int64()) for k in ("tx", "ty", "number")] + [pa.array([np.concatenate([there[s] for s in sides]).tobytes()], pa.binary()), pa.array([np.concatenate([h[s] for s in sides]).tobytes()], pa.binary())], names=["tx", "ty", "number", "is", "high"]
@@ -261,5 +263,4 @@ def fill_hollows(cells: DataFrame, value: str = "h", size: int = SIZE) -> DataFr
     inner = ready.select("number", "there", "block", "around").mapInArrow(_spills(size), kind)
     levels = spill_levels(stage(inner.unionByName(met.mapInArrow(_meet(size, True), kind)), "spills"))
     own = levels.withColumn("number", F.expr(f"a div {size * size}")).groupBy("number").agg(F.collect_list(F.struct("a", "level")).alias("levels"))
-    raised = ready.join(own, "number", "left").select("tx", "ty", "number", "there", "block", "around", "levels").mapInArrow(_raise(size), "tx long, ty long, there binary, block binary")
-    return present.withColumnRenamed("v", "h").join(to_cells(raised, {"filled": ("block", "<f8", "double")}, size), ["x", "y"])
+    return ready.join(own, "number", "left").select("tx", "ty", "number", "there", "block", "around", "levels").mapInArrow(_raise(size), "x long, y long, h double, filled double")

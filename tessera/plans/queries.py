@@ -388,12 +388,14 @@ _NEAR_LIMIT = 45
  n as (select x + i as x, y + j as y, min(3 * greatest(abs(i), abs(j)) + least(abs(i), abs(j))) as distance from s, range(-15, 16) a(i), range(-15, 16) b(j) group by 1, 2)
 select x, y, case when distance <= {_NEAR_LIMIT} then distance end as distance from wide left join n using (x, y)""")
 def nearest_fill_wide(spark: SparkSession, d: str) -> DataFrame:
-    return tiles.nearest_fill(wide_cover(spark, d), _NEAR_LIMIT).select("x", "y", "distance")
+    cover, box = wide_cover(spark, d)
+    return tiles.nearest_fill(cover, _NEAR_LIMIT, box=box).select("x", "y", "distance")
 
 
 @query()
 def nearest_fill_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tiles.nearest_fill(wide_cover(spark, d), _FILL_LIMIT).select("x", "y", "id")
+    cover, box = wide_cover(spark, d)
+    return tiles.nearest_fill(cover, _FILL_LIMIT, box=box).select("x", "y", "id")
 
 
 @query()
