@@ -5,16 +5,19 @@
    spills over and the level at which it does.  Where two such basins touch,
    water passes between them at the higher of two levels.
 2. Basins, and border cells of neighbouring tiles, make a graph whose edges are
-   levels.  The lowest way out of each basin is found by contraction: every
-   basin spills over its lowest edge; those whose spills lead outside are
-   settled, those that spill into each other become one (few rounds, joins alone).
+   levels.  Of a tile's edges, and of those to tiles beside it, a least spanning
+   forest tells the same levels, and of ``GROUP`` by ``GROUP`` tiles a forest
+   over the cells that have edges to other groups.  The lowest way out of each
+   of these is found by contraction: every basin spills over its lowest edge;
+   those whose spills lead outside are settled, those that spill into each other
+   become one (few rounds, joins alone).  Then each group settles its other cells.
 3. Each tile is raised to what its basins reached.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +26,12 @@ from pyspark.sql import functions as F
 
 from ..staging import discard, stage
 from .lists import hops
-from .tiles import SIZE, cells_of, rows_of, to_tiles, unpack
+from .tiles import SIZE, Box, cells_of, rows_of, to_tiles, unpack
 
 #: The number of what lies outside; border cells are numbered tile by tile from 0 on.
 OUTSIDE = -1
+#: Tiles of a group's side.
+GROUP = 8
 _AROUND = ((-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1))
 
 
@@ -73,6 +78,53 @@ def least_pairs(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray
     return low[first], high[first], w[first]
 
 
+def contract(a: np.ndarray, b: np.ndarray, w: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fewest edges between the names in ``kept`` by which each two of them are joined at the least level that they are in the graph (a, b, w)."""
+    names, at = np.unique(np.concatenate((a, b, kept)), return_inverse=True)
+    ends, up, stands = at.tolist(), list(range(len(names))), [-1] * len(names)
+    for k in ends[2 * len(a) :]:
+        stands[k] = k
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    low, high, over = [], [], []
+    for e in np.argsort(w, kind="stable").tolist():
+        x, y = find(ends[e]), find(ends[len(a) + e])
+        if x != y:
+            up[x] = y
+            if stands[y] < 0:
+                stands[y] = stands[x]
+            elif stands[x] >= 0:
+                low.append(stands[x])
+                high.append(stands[y])
+                over.append(e)
+    return names[np.array(low, int)], names[np.array(high, int)], w[np.array(over, int)]
+
+
+def spread(a: np.ndarray, b: np.ndarray, w: np.ndarray, known: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(names, levels): what the graph (a, b, w) reaches from names whose levels are known, each at its least level."""
+    names, at = np.unique(np.concatenate((a, b, known)), return_inverse=True)
+    n = len(a)
+    one, two = np.concatenate((at[:n], at[n : 2 * n])), np.concatenate((at[n : 2 * n], at[:n]))
+    order = np.argsort(one, kind="stable")
+    start = np.searchsorted(one[order], np.arange(len(names) + 1)).tolist()
+    to, over = two[order].tolist(), np.concatenate((w, w))[order].tolist()
+    heap = list(zip(levels.tolist(), at[2 * n :].tolist(), strict=True))
+    heapq.heapify(heap)
+    out: dict[int, float] = {}
+    while heap:
+        here, k = heapq.heappop(heap)
+        if k not in out:
+            out[k] = here
+            for e in range(start[k], start[k + 1]):
+                if to[e] not in out:
+                    heapq.heappush(heap, (max(here, over[e]), to[e]))
+    return names[np.array(list(out), int)], np.array(list(out.values()), float)
+
+
 def _block(row: dict, size: int) -> tuple[np.ndarray, np.ndarray]:
     return unpack(row["block"], "<f8").reshape(size, size), unpack(row["there"], bool)[: size * size].reshape(size, size)
 
@@ -113,6 +165,7 @@ def _spills(size: int):
                     B.append(basin[to][both])
                     W.append(np.maximum(level[at], level[to])[both])
                 a, b, w = least_pairs(*(np.concatenate(c) for c in (A, B, W)))
+                a, b, w = contract(a, b, w, np.concatenate((a, b)))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(w)], names=["a", "b", "w"])
 
     return run
@@ -192,6 +245,7 @@ def _meet(size: int, crossings: bool):
                 B.append(m["number"] * size * size + theirs[k + shift])
                 W.append(np.maximum(h0[k], h1[k + shift]))
         a, b, w = (np.concatenate(c) if c else np.zeros(0, t) for c, t in ((A, np.int64), (B, np.int64), (W, np.float64)))
+        a, b, w = contract(a, b, w, np.concatenate((a, b)))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(w, pa.float64())], names=["a", "b", "w"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,25 +296,62 @@ def spill_levels(edges: DataFrame) -> DataFrame:
         graph, state = merged, after
 
 
-def fill_hollows(cells: DataFrame, value: str = "h", size: int = SIZE) -> DataFrame:
+def grouped_levels(edges: DataFrame, group) -> DataFrame:
+    """What ``spill_levels`` gives, of edges whose names ``group(column)`` deals to groups that have few edges between them; a task holds the edges of one group."""
+    cut = edges.select("a", "b", "w", F.when(F.col("a") != OUTSIDE, group(F.col("a"))).alias("ga"), F.when(F.col("b") != OUTSIDE, group(F.col("b"))).alias("gb"))
+    inner = cut.where("ga is null or gb is null or ga = gb").select(F.coalesce("ga", "gb").alias("g"), "a", "b", "w")
+    between = cut.where("ga <> gb")
+    gates = between.select(F.inline(F.array(F.struct(F.col("ga").alias("g"), "a"), F.struct(F.col("gb").alias("g"), F.col("b").alias("a"))))).distinct()
+
+    def parts(table: pa.Table):
+        """Edges, and rows without a second end: names with a level."""
+        a, w = np.asarray(table["a"]), np.asarray(table["w"])
+        edge = np.asarray(table["b"].is_valid())
+        b = np.asarray(table["b"].fill_null(OUTSIDE))
+        return (a[edge], b[edge], w[edge]), a[~edge], w[~edge]
+
+    def fewer(table: pa.Table) -> pa.Table:
+        graph, kept, _ = parts(table)
+        return pa.table(dict(zip("abw", contract(*graph, np.append(kept, OUTSIDE)), strict=True)))
+
+    def rest(table: pa.Table) -> pa.Table:
+        graph, known, levels = parts(table)
+        names, level = spread(*graph, np.append(known, OUTSIDE), np.append(levels, -np.inf))
+        keep = (names != OUTSIDE) & ~np.isin(names, known)
+        return pa.table({"a": names[keep], "level": level[keep]})
+
+    named = lambda df, w: inner.unionByName(df.select("g", "a", F.lit(None).cast("long").alias("b"), w.alias("w")))
+    short = named(gates, F.lit(0.0)).groupBy("g").applyInArrow(fewer, "a long, b long, w double")
+    levels = spill_levels(stage(short.unionByName(between.select("a", "b", "w")), "spills"))
+    own = named(levels.join(gates, "a"), F.col("level")).groupBy("g").applyInArrow(rest, "a long, level double")
+    return levels.select("a", "level").unionByName(own)
+
+
+def fill_hollows(cells: DataFrame, value: str = "h", size: int = SIZE, box: Box | None = None, elsewhere: Callable | None = None) -> DataFrame:
     """x, y, h, filled of every cell (x, y, value): the level to which water stands before it finds a way off the raster.
 
     Water leaves at every cell that lacks one of its eight neighbours, so null
-    heights are gaps that drain.  A task holds one tile; the graph between tiles
-    has a node for each border cell.
+    heights are gaps that drain.  With a ``box`` its cells that are not given are
+    as high as ``elsewhere(x, y)``.  A task unpacks one tile at a time; the graph
+    between tiles has a node for each border cell, that between groups of tiles for each of theirs.
     """
     present = cells.where(F.col(value).isNotNull()).select("x", "y", F.col(value).cast("double").alias("v"))
-    tiles = to_tiles(present, "v", "<f8", size)
-    tiles = stage(tiles, "tiles")
-    box = tiles.agg(F.min("tx").alias("x0"), F.max("tx").alias("x1"), F.min("ty").alias("y0"))
-    numbered = stage(tiles.crossJoin(F.broadcast(box)).select("tx", "ty", F.expr("(ty - y0) * (x1 - x0 + 1) + tx - x0").alias("number"), "there", "block"), "numbered")
-    shown = stage(numbered.select("tx", "ty", "number", "there", "block").mapInArrow(_borders(size), "tx long, ty long, number long, is binary, high binary"), "borders")
+    tiles = stage(to_tiles(present, "v", "<f8", size, box, elsewhere), "tiles")
+    extent = tiles.agg(F.min("tx").alias("x0"), F.max("tx").alias("x1"), F.min("ty").alias("y0")).first()
+    width = 1 if extent.x0 is None else extent.x1 - extent.x0 + 1
+    numbered = tiles.select("tx", "ty", F.expr(f"(ty - {extent.y0 or 0}) * {width} + tx - {extent.x0 or 0}").alias("number"), "there", "block")
+    shown = stage(numbered.mapInArrow(_borders(size), "tx long, ty long, number long, is binary, high binary"), "borders")
     sent = F.inline(F.array(*(F.struct((F.col("tx") - dx).alias("tx"), (F.col("ty") - dy).alias("ty"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), "number", "is", "high") for dx, dy in ((0, 0), *_AROUND))))
     met = stage(shown.select(sent).groupBy("tx", "ty").agg(F.collect_list(F.struct("dx", "dy", "number", "is", "high")).alias("beside")), "met")
     rings = met.mapInArrow(_meet(size, False), "tx long, ty long, around binary")
     ready = stage(numbered.join(rings, ["tx", "ty"], "left"), "ready")
     kind = "a long, b long, w double"
     inner = ready.select("number", "there", "block", "around").mapInArrow(_spills(size), kind)
-    levels = spill_levels(stage(inner.unionByName(met.mapInArrow(_meet(size, True), kind)), "spills"))
-    own = levels.withColumn("number", F.expr(f"a div {size * size}")).groupBy("number").agg(F.collect_list(F.struct("a", "level")).alias("levels"))
+    edges = stage(inner.unionByName(met.mapInArrow(_meet(size, True), kind)), "spills")
+
+    def group(a):
+        number = F.floor(a / (size * size))
+        return F.floor(F.floor(number / width) / GROUP) * (width // GROUP + 1) + F.floor(number % width / GROUP)
+
+    own = grouped_levels(edges, group).withColumn("number", F.expr(f"a div {size * size}")).groupBy("number").agg(F.collect_list(F.struct("a", "level")).alias("levels"))
     return ready.join(own, "number", "left").select("tx", "ty", "number", "there", "block", "around", "levels").mapInArrow(_raise(size), "x long, y long, h double, filled double")

@@ -16,7 +16,8 @@ TILE = 128
 
 def flood_levels(spark: SparkSession, d: str) -> DataFrame:
     """Every cell with the level to which water stands on it before it leaves the raster."""
-    return flooding.fill_hollows(wide_heights(spark, d), size=TILE).select("x", "y", "filled")
+    heights, box, ground = wide_heights(spark, d)
+    return flooding.fill_hollows(heights, size=TILE, box=box, elsewhere=ground).select("x", "y", "filled")
 
 
 def flood_cells(spark: SparkSession, d: str) -> DataFrame:
