@@ -47,8 +47,9 @@ def osm_extract(spark: SparkSession, d: str) -> DataFrame:
     """All elements as PBF files, written and read by tasks; then the ways that matter, or that relations ask for, with the places of their nodes."""
     pbf.register(spark)
     at = f"{shared_dir(spark)}/extract-{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # files, and so tasks, that grow with the cluster's settings and are not merged again
     for kind, df in map_elements(spark, d).items():
-        df.repartition(4, "id").sortWithinPartitions("id").write.format("osm_pbf").mode("append").option("kind", kind).save(at)
+        df.repartition(parts, "id").sortWithinPartitions("id").write.format("osm_pbf").mode("append").option("kind", kind).save(at)
     got = extract(lambda kind: spark.read.format("osm_pbf").option("kind", kind).load(at), F.col("tags")["status"] == "P", F.col("tags")["segment"] == "BUILDING")
     points = got["way"].select(F.col("id").alias("way"), "own", F.explode_outer("refs").alias("id")).join(got["node"].select("id", "lat", "lon"), "id", "left")
     return points.groupBy("way", "own").agg(F.count("id").alias("refs"), F.count("lat").alias("found"), (F.round(F.coalesce(F.sum("lat"), F.lit(0.0)), 3) + 0.0).alias("lat"), F.coalesce(F.min("lon"), F.lit(0.0)).alias("lon"))
