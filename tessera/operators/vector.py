@@ -116,8 +116,8 @@ def points_in_rings(points: DataFrame, edges: DataFrame, cell: float, keys: tupl
     return spots_in_rings(spots, edges, cell, ring, group).join(at, [*group, "px", "py"]).select(*group, *keys, ring)
 
 
-def clip_segment(x0: Column, y0: Column, x1: Column, y1: Column, box: tuple[float, float, float, float]) -> tuple[Column, Column]:
-    """Parameters (t0, t1) of a segment's part inside a box, both null if there is none (Liang and Barsky)."""
+def clip_span(x0: Column, y0: Column, x1: Column, y1: Column, box: tuple[float, float, float, float]) -> tuple[Column, Column, Column]:
+    """(enter, leave, inside): a segment's part inside a box lies between two parameters, if inside and enter <= leave (Liang and Barsky)."""
     dx, dy = x1 - x0, y1 - y0
     zero, one = F.lit(0.0), F.lit(1.0)
     enter, leave, inside = zero, one, F.lit(True)
@@ -126,6 +126,12 @@ def clip_segment(x0: Column, y0: Column, x1: Column, y1: Column, box: tuple[floa
         enter = F.greatest(enter, F.when(p < 0, t).otherwise(zero))
         leave = F.least(leave, F.when(p > 0, t).otherwise(one))
         inside = inside & ((p != 0) | (q >= 0))
+    return enter, leave, inside
+
+
+def clip_segment(x0: Column, y0: Column, x1: Column, y1: Column, box: tuple[float, float, float, float]) -> tuple[Column, Column]:
+    """Parameters (t0, t1) of a segment's part inside a box, both null if there is none."""
+    enter, leave, inside = clip_span(x0, y0, x1, y1, box)
     ok = inside & (enter <= leave)
     return F.when(ok, enter), F.when(ok, leave)
 

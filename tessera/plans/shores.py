@@ -21,12 +21,15 @@ def chains(spark: SparkSession, d: str) -> DataFrame:
     """frame, chain, pos, x, y, closed: lineitems of an order as points, some missing; every fifth order of three points or more goes back to its first."""
     t = table(spark, d, "lineitem")
     by = Window.partitionBy("chain").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     at = lambda c: F.when(F.col("l_quantity") <= 49, F.expr(c).cast("double"))
-    points = t.withColumn("chain", F.col("l_orderkey")).select("chain", (F.row_number().over(by) - 1).cast("long").alias("pos"), at("l_partkey % 140 - 20").alias("x"), at("l_suppkey * 7 % 100 - 20").alias("y"))
-    whole = points.groupBy("chain").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("x", "y"), "pos").alias("p"))
-    closing = whole.where("chain % 5 = 0 and n >= 3").select("chain", F.col("n").alias("pos"), "p.x", "p.y", F.lit(True).alias("closed"))
-    out = points.join(closing.select("chain", "closed"), "chain", "left").withColumn("closed", F.coalesce("closed", F.lit(False))).unionByName(closing)
-    return out.withColumn("frame", F.col("chain") % 500)
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    points = t.select(F.col("l_orderkey").alias("chain"), *order, at("l_partkey % 140 - 20").alias("x"), at("l_suppkey * 7 % 100 - 20").alias("y"))
+    points = points.select("chain", (F.row_number().over(by) - 1).cast("long").alias("pos"), "x", "y", F.count(F.lit(1)).over(whole).alias("n"), F.first(F.struct("x", "y")).over(whole).alias("p"))
+    points = points.withColumn("closed", F.coalesce(F.expr("chain % 5 = 0 and n >= 3"), F.lit(False)))
+    own, closing = F.struct("pos", "x", "y"), F.struct(F.col("n").alias("pos"), "p.x", "p.y")
+    drawn = F.when(F.col("closed") & (F.col("pos") + 1 == F.col("n")), F.array(own, closing)).otherwise(F.array(own))
+    return points.select("chain", F.inline(drawn), "closed").withColumn("frame", F.col("chain") % 500)
 
 
 def coast_close(spark: SparkSession, d: str) -> DataFrame:

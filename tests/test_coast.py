@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,48 @@ def test_points_in_rings_of_any_shape(spark, cell):
     corners = spark.createDataFrame([(r, i, x, y) for r, ps in rings.items() for i, (x, y) in enumerate(ps)], "ring long, pos long, x double, y double")
     got = {(r.i, r.ring) for r in vector.points_in_rings(spark.createDataFrame(points, "i long, px double, py double"), vector.ring_edges(corners), cell, ("i",)).collect()}
     assert got == {(k, r) for k, x, y in points for r, ring in rings.items() if inside([ring], (x, y))}
+
+
+def settled(metres, entry, exit_):
+    """The rounds of the repair, one by one: pieces left, and whose entry follows whose exit."""
+    left = list(range(len(metres)))
+    while True:
+        ends = sorted((t, p, not comes) for p in left for t, comes in ((entry[p], True), (exit_[p], False)))
+        pairs = [(a[1:], b[1:]) for a, b in zip(ends, ends[1:] + ends[:1])]
+        beside = {}
+        for (p, c), (q, d) in pairs:
+            if c == d:
+                beside.setdefault(p, []).append(q)
+                beside.setdefault(q, []).append(p)
+        gone = {p for p, others in beside.items() if all((metres[p], p) <= (metres[q], q) for q in others)}
+        if not gone:
+            return left, {p: q for (p, c), (q, _) in pairs if c}
+        left = [p for p in left if p not in gone]
+
+
+def test_repair_in_a_task_takes_the_same_rounds():
+    rnd = random.Random(7)
+    for k in range(600):
+        n = rnd.choice([1, 2, 3, 5, 12, 60])
+        place = lambda: rnd.choice([rnd.uniform(0, 40), float(rnd.randrange(8))])
+        metres, entry, exit_ = [float(rnd.randrange(1, n + 3)) for _ in range(n)], [place() for _ in range(n)], [place() for _ in range(n)]
+        left, after = coast.repaired(np.array(metres), np.array(entry), np.array(exit_))
+        own, links = settled(metres, entry, exit_)
+        assert list(np.flatnonzero(left)) == own and {p: after[p] for p in own} == links, k
+
+
+def test_frames_of_a_task_and_larger_ones_agree(spark):
+    rnd = random.Random(8)
+    rows = [(f, (rnd.randrange(5), rnd.randrange(10**6), c), rnd.uniform(0, 40), rnd.uniform(0, 40), float(rnd.randrange(1, 9))) for f, n in ((1, 30), (2, 90), (3, 1)) for c in range(n)] + [(None, (1, 1, 1), 1.0, 2.0, 3.0)]
+    pieces = spark.createDataFrame(rows, "frame int, piece struct<chain: long, run: long, part: int>, entry double, exit double, metres double")
+    got = [sorted(map(tuple, coast.linked(pieces, RECT, most).collect())) for most in (10**6, 30, 0)]
+    assert got[0] == got[1] == got[2] and {r[0] for r in got[0]} == {1, 2, 3}
+
+
+def test_rounds_of_the_repair_are_no_jobs(spark):
+    """Forty strips one above the other, of one length: one goes in each round."""
+    spark.sparkContext.setJobGroup("strips", "strips")
+    ((sea, islands),) = closed_seas(spark, [[[(-2, 1 + c / 10), (12, 1 + c / 10)] for c in range(40)]])
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("strips")
+    spark.sparkContext.setJobGroup("", "")
+    assert (len(sea), len(islands)) == (1, 0) and inside(sea, (5, 4)) and not inside(sea, (5, 5)) and len(jobs) < 60
