@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TILES, LEVELS, BUDGET = 4, 3, 16
+#: Rows that are averaged and handed on at once.
+PIECE = 10000
 
 
 def wanted(x: float, y: float, level: int, tiles: int = TILES) -> list[tuple[int, int, int]]:
@@ -54,17 +57,28 @@ def residency(track: DataFrame, key: str = "user_id") -> DataFrame:
 
 
 def smoothed(metrics: DataFrame, key: str = "user_id", scale: float = 0.25) -> DataFrame:
-    """Time-aware running averages (key, seconds, value -> key, seconds, smoothed), with state across batches."""
+    """Time-aware running averages (key, seconds, value -> key, seconds, smoothed), with state across batches.
+
+    Rows of a key come in any order over chunks and files, so all that a batch has of it are put in order of time, ties by
+    value, before the first is averaged.  Time never runs backwards: a row older than what an earlier batch ended with
+    leaves the average as it is.
+    """
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = zip(*((p["seconds"].to_numpy("float64"), p["value"].to_numpy("float64")) for p in parts), strict=True)
+        seconds, value = (np.concatenate(c) for c in columns)
+        order = np.lexsort((value, seconds))
+        seconds, value = seconds[order], value[order]
         at = state.get if state.exists else None
-        for p in parts:
+        for i in range(0, len(seconds), PIECE):
             out = []
-            for r in p.sort_values("seconds").itertuples(index=False):
-                v = r.value if at is None else at[1] + (1 - math.exp((at[0] - r.seconds) / scale)) * (r.value - at[1])
-                at = (float(r.seconds), float(v))
-                out.append((k[0], r.seconds, v))
-            yield pd.DataFrame(out, columns=[key, "seconds", "smoothed"])
+            for t, v in zip(seconds[i : i + PIECE].tolist(), value[i : i + PIECE].tolist(), strict=True):
+                if at is not None:
+                    v = at[1] + (1 - math.exp(min(at[0] - t, 0.0) / scale)) * (v - at[1])
+                    t = max(at[0], t)
+                at = (t, v)
+                out.append(v)
+            yield pd.DataFrame({key: k[0], "seconds": seconds[i : i + PIECE], "smoothed": out})
         if at is not None:
             state.update(at)
 
